@@ -1,0 +1,203 @@
+"""Named queries over the driver tables: (spark, folder) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.functions.text import iso
+from sessionloom.operators import git as git_ops
+from sessionloom.operators import ledger, sessions, usage
+from sessionloom.operators.pricing import cost_nano, is_long_context, price_epoch, price_lookup, price_responses
+from sessionloom.operators.scope import scope_directories
+from sessionloom.plans.driver_layers import layers
+from sessionloom.schema import COUNTERS
+from sessionloom.views import driver
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def tokens(usage_column: str = "usage", *names: str) -> list[Column]:
+    return [F.col(f"{usage_column}.{n}").alias(f"{n}_tokens") for n in names or COUNTERS]
+
+
+# Ledgers ---------------------------------------------------------------------------
+
+
+@query
+def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).model_usage.select(
+        "repo_id", "model_provider", "model", "calls", "sessions", *tokens(), "cost_micro", "repriced"
+    )
+
+
+@query
+def token_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.counter_usage(driver.counter_records(spark, sf_dir)).filter(F.col("accepted").isNotNull())
+    return rows.select("source_id", "ordinal", "cwd_now", "model", "provider_now", *tokens("accepted", "input", "cached", "output", "reasoning", "total", "cache_write"))
+
+
+@query
+def segment_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = layers(spark, sf_dir).counter_cells
+    scope = scope_directories(cells, driver.repositories(spark, sf_dir))
+    return cells.join(scope, "cwd_now").groupBy("repo_id", "source_id", "relation").agg(
+        F.sum("records").alias("records"), F.sum("responses").alias("responses"), F.sum("total").alias("total_tokens")
+    )
+
+
+@query
+def response_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.response_ledger(driver.response_records(spark, sf_dir))
+    return rows.select("source_id", "key", "copy_ordinal", "model", "is_sidechain", "is_advisor", "stop_reason", F.size("tools").alias("tool_blocks"), *tokens())
+
+
+@query
+def child_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.child_tools(driver.response_records(spark, sf_dir))
+    return rows.select("source_id", "cell", "name", "calls")
+
+
+@query
+def price_lookup_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = driver.counter_records(spark, sf_dir).filter("ctx_model IS NOT NULL").select(
+        F.col("ctx_model").alias("model"), price_epoch(F.col("ts")).alias("epoch")
+    ).distinct()
+    return used.join(price_lookup(used), ["model", "epoch"], "left").select(
+        "model", "epoch", F.col("price.prefix").alias("prefix"), F.col("price.n_input").alias("nano_input"),
+        F.col("price.n_output").alias("nano_output"), F.col("price").isNotNull().alias("is_priced"),
+    )
+
+
+@query
+def response_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of every single response of the response ledger."""
+    rows = ledger.response_ledger(driver.response_records(spark, sf_dir)).filter(F.col("usage").isNotNull())
+    return price_responses(rows, "model", "usage", F.col("ts")).select(
+        "source_id", "key", "model", F.col("cost_nano").cast("bigint").alias("cost_nano"), "cost_micro", "is_priced"
+    )
+
+
+@query
+def priced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).raw.models.select(
+        "repo_id", "session_ref", "provider", "model_provider", "model", "calls",
+        F.col("usage.total").alias("total_tokens"), F.col("priced.total").alias("priced_tokens"),
+        F.col("unpriced.total").alias("unpriced_tokens"), F.col("cost_nano").cast("bigint").alias("cost_nano"),
+    )
+
+
+@query
+def fallback_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models per provider, and whether their price came from the second look-up."""
+    return layers(spark, sf_dir).model_usage.select(
+        "repo_id", "model_provider", "model", F.col("priced.total").alias("priced_tokens"),
+        F.col("unpriced.total").alias("unpriced_tokens"), "cost_micro", "repriced",
+    )
+
+
+# Sessions ----------------------------------------------------------------------------
+
+
+@query
+def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).all_sessions.select(
+        "repo_id", "session_ref", "provider", "source_kind", iso(F.col("started_at")).alias("started_at"),
+        iso(F.col("ended_at")).alias("ended_at"), "start_ordinal", "end_ordinal", "relation", "turns", "assistant_messages",
+        "tool_calls", "plan_turns", "subagents", F.array_join("model_refs", "|").alias("model_refs"),
+        F.array_join("tool_refs", "|").alias("tool_refs"), "summary", *tokens(),
+    )
+
+
+@query
+def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).all_sessions.groupBy("repo_id", "provider", "status").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@query
+def session_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).raw.tools.select("repo_id", "session_ref", "provider", "tool", "calls")
+
+
+@query
+def session_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which file each session was taken from."""
+    return layers(spark, sf_dir).all_sessions.select("repo_id", "session_ref", "source_id", "source_kind")
+
+
+@query
+def evidence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).evidence.select("repo_id", "session_ref", "source", "kind", "event_ordinal", "observed_at", "evidence_id", "digest")
+
+
+# Usage, windows, history ----------------------------------------------------------------
+
+
+@query
+def tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).tool_usage
+
+
+@query
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).totals.select(
+        "repo_id", "sessions", "turns", "tool_calls", "assistant_messages", "plan_turns", "subagents", "completed", "active_days", *tokens()
+    )
+
+
+@query
+def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).costs
+
+
+@query
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions kept when every window starts a week after the first session."""
+    built = layers(spark, sf_dir)
+    later = built.windows.withColumn("window_start", F.col("window_start") + F.expr("INTERVAL 7 DAYS"))
+    return usage.coverage(built.all_sessions, usage.in_window(built.all_sessions, later))
+
+
+@query
+def time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).windows.select(
+        "repo_id", iso(F.col("window_start")).alias("window_start"), iso(F.col("window_end")).alias("window_end"), "start_basis", "end_basis"
+    )
+
+
+@query
+def window_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that touch the second week of their repository's history."""
+    built = layers(spark, sf_dir)
+    week = built.windows.withColumns(
+        {"window_start": F.col("window_start") + F.expr("INTERVAL 7 DAYS"), "window_end": F.col("window_start") + F.expr("INTERVAL 14 DAYS")}
+    )
+    return usage.in_window(built.all_sessions, week).select("repo_id", "session_ref")
+
+
+@query
+def git_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).git
+
+
+@query
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return git_ops.status_counts(driver.status_entries(spark, sf_dir))
+
+
+@query
+def reconcile_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.reconcile_sessions(layers(spark, sf_dir).sessions)
+
+
+@query
+def reconcile_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.reconcile_models(layers(spark, sf_dir).model_usage)

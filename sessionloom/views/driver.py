@@ -1,0 +1,128 @@
+"""The driver's tables seen as logs, commits, conversations, texts and remotes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.functions.text import digest
+from sessionloom.schema import USAGE
+from sessionloom.session import prepare
+from sessionloom.views.shapes import CHANGES, COMMITS, COMMON, COUNTER, RESPONSE, SHIFT_DAYS, STATUS_CODES, pick, spell
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    for name, sql in columns.items():
+        df = df.withColumn(name, F.expr(spell(sql, "spark")))
+    return df
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    shaped = raw.select(
+        "event_id", "user_id", "event_type",
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
+        F.floor(F.col("value") * 100).cast("long").alias("tok"),
+        F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd").alias("week"),
+        F.timestamp_millis(F.unix_millis(ts) + SHIFT_DAYS * 86_400_000).alias("ts"),
+    )
+    return _with(shaped, COMMON)
+
+
+def _usage(present: Column, **fields: Column) -> Column:
+    from sessionloom.schema import COUNTERS
+
+    parts = [fields.get(c, F.lit(None)).cast("long").alias(c) for c in COUNTERS]
+    return F.when(present, F.struct(*parts)).cast(USAGE)
+
+
+def counter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even users: logs with cumulative counters."""
+    zero, c = F.lit(0), F.col
+    rows = _with(events(spark, sf_dir).filter(c("user_id") % 2 == 0), COUNTER)
+    write = F.coalesce(c("cum_write"), zero)
+    return rows.select(
+        "source_id", "source_kind", "ordinal", "ts",
+        F.when((c("rec_type") == "session_meta") & (c("k") % 3 == 0), c("ts") - F.expr("INTERVAL 2 MINUTES")).alias("meta_ts"),
+        F.lit(False).alias("ts_invalid"),
+        "rec_type", "payload_type", "cwd", "default_cwd", "raw_session_id", "model_provider", "meta_model", "ctx_model",
+        "role", "tool_raw",
+        _usage(
+            c("cum_reported").isNotNull(),
+            input=F.greatest(zero, c("cum_reported") - c("cum_cached") - write), cached=c("cum_cached"),
+            output=c("cum_output"), reasoning=c("cum_reasoning"), total=c("cum_reported") + c("cum_output"), cache_write=c("cum_write"),
+        ).alias("cum"),
+        _usage(
+            c("dir_input").isNotNull(), input=c("dir_input"), cached=c("dir_cached"), output=c("dir_output"),
+            reasoning=c("dir_reasoning"), total=c("dir_total"),
+        ).alias("direct"),
+    )
+
+
+def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd users: logs with one usage value per response, and child logs."""
+    zero, c = F.lit(0), F.col
+    rows = _with(events(spark, sf_dir).filter(c("user_id") % 2 == 1), RESPONSE)
+    advisor = F.when(
+        c("adv_input").isNotNull(),
+        F.array(
+            F.struct(
+                zero.cast("int").alias("idx"), c("adv_model").alias("model"),
+                _usage(
+                    c("adv_input").isNotNull(), input=c("adv_input"), cached=zero, output=c("adv_output"), reasoning=zero,
+                    total=c("adv_input") + c("adv_output"), cache_write=zero, cache_write_1h=zero, cache_write_5m=zero, cache_read=zero,
+                ).alias("usage"),
+            )
+        ),
+    )
+    return rows.select(
+        "source_id", "source_kind", "child_id", "agent_type", "ordinal", "ts", F.lit(False).alias("ts_invalid"),
+        "rec_type", "cwd", "raw_session_id", "permission_mode", "is_sidechain", "is_tool_result", "has_message",
+        "response_id", "model", "stop_reason", "has_text", F.array_compact(F.array("tool_1", "tool_2")).alias("tools"),
+        _usage(
+            c("use_input").isNotNull(), input=c("use_input"), cached=zero, output=c("use_output"), reasoning=zero,
+            total=c("use_input") + c("use_output") + c("use_write") + c("use_read"), cache_write=c("use_write"),
+            cache_write_1h=c("use_write_1h"), cache_write_5m=c("use_write_5m"), cache_read=c("use_read"),
+        ).alias("usage"),
+        advisor.alias("advisors"),
+    )
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repository id the logs mention, with its root and identity."""
+    ids = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("repo_id")).distinct()
+    root = F.concat(F.lit("/repo/"), F.col("repo_id").cast("string"))
+    return ids.select("repo_id", root.alias("root"), digest(root).alias("fingerprint"))
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with(table(spark, sf_dir, "orders"), COMMITS)
+    day = (F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date")) % 45).cast("long")
+    start = F.unix_millis(F.lit("2026-08-20T00:00:00Z").cast("timestamp"))
+    return rows.select(
+        "repo_id", "commit_id", "author", "is_merge",
+        F.timestamp_millis(start + day * 86_400_000 + (F.col("o_orderkey") % 86_400) * 1000).alias("ts"),
+    )
+
+
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*[F.expr(spell(s, "spark")).alias(n) for n, s in CHANGES.items()])
+
+
+def status_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    return rows.select(
+        (F.col("o_custkey") % 7).alias("repo_id"),
+        F.expr(pick(STATUS_CODES, "o_orderkey % 10")).alias("code"),
+        F.concat(F.lit("file-"), F.col("o_orderkey").cast("string")).alias("path"),
+    )
+
+
+def offsets(repos: DataFrame) -> DataFrame:
+    """A local-time offset per repository, for the work-pattern queries."""
+    return repos.select("repo_id", ((F.col("repo_id") - 3) * 120).cast("int").alias("utc_offset"))
