@@ -155,7 +155,7 @@ FROM (
     "c_models": f"""
 SELECT coalesce(a.repo, b.repo) AS repo_id, coalesce(a.source_id, b.source_id) AS source_id, 'codex' AS provider,
   CASE WHEN coalesce(a.o, -1) > coalesce(b.o, -1) THEN a.p ELSE b.p END AS model_provider, coalesce(a.model, b.model) AS model,
-  coalesce(a.calls, 0) AS calls, a.* EXCLUDE (repo, source_id, model, calls, o, p)
+  coalesce(a.calls, 0) AS calls, a.* EXCLUDE (repo, source_id, model, calls, o, p, write), CASE WHEN a.calls > 1 THEN coalesce(a.write, 0) ELSE a.write END AS write
 FROM (
   SELECT repo, source_id, model, count(*) AS calls, max(ordinal) AS o, arg_max(provider_now, ordinal) AS p,
     {sums('a_')}, {sums('a_', 'nano IS NOT NULL', 'p_')}, {sums('a_', 'nano IS NULL', 'u_')}, sum(nano) AS nano

@@ -7,26 +7,29 @@ the raw records are shuffled once and nothing is joined onto them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import blank_to_null
 from sessionloom.operators.pricing import PRICE_TABLE, default_price_time, is_long_context, price_epoch
-from sessionloom.operators.scan import CHUNK_ROWS, Carry, carry_last, chunk_of
+from sessionloom.operators.scan import CHUNK_ROWS, Carry, carry_last, chunk_of, pack, pack_reversed
 from sessionloom.schema import CORE, COUNTERS, OPTIONAL, USAGE
 
 UNKNOWN_MODEL = "unknown-model"
 UNKNOWN_TOOL = "unknown-tool"
 
 
-def fingerprint(usage: Column) -> Column:
-    """Equality key of a usage value; an absent cache-write counts as 0."""
-    fields = [usage["input"], usage["cached"], F.coalesce(usage["cache_write"], F.lit(0)),
-              usage["output"], usage["reasoning"], usage["total"]]
-    return F.when(usage.isNotNull(), F.concat_ws("/", *[f.cast("string") for f in fields]))
+_TRACKED = [*CORE, "cache_write"]
+
 
+def _tracked(usage: Column) -> dict[str, Column]:
+    """The compared counters of a usage value; an absent cache-write counts as 0."""
+    return {c: F.when(usage.isNotNull(), F.coalesce(usage[c], F.lit(0))) for c in _TRACKED}
 
-def counter_delta(current: Column, previous: Column) -> Column:
+
+def counter_delta(current: Column, previous: dict[str, Column]) -> Column:
     """Difference of cumulative counters; each field resets on its own."""
     def step(name: str) -> Column:
         now = F.coalesce(current[name], F.lit(0))
@@ -43,9 +46,10 @@ def with_carried_state(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
     """Scope, model, provider, previous counters of every record of a counter log."""
     is_meta = F.col("rec_type") == "session_meta"
     is_context = F.col("rec_type") == "turn_context"
-    fp = F.coalesce(fingerprint(F.col("cum")), fingerprint(F.col("direct")))
+    shown = _tracked(F.coalesce(F.col("cum"), F.col("direct")))
+    total = _tracked(F.col("cum"))
     carried = carry_last(
-        records.withColumn("fp", fp),
+        records,
         ["source_id"],
         "ordinal",
         {
@@ -53,8 +57,8 @@ def with_carried_state(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
             "active_model": Carry(F.when(is_context, blank_to_null(F.col("ctx_model")))),
             "session_model": Carry(F.when(is_meta, F.col("meta_model"))),
             "provider_now": Carry(F.when(is_meta, F.col("model_provider"))),
-            "prev_fp": Carry(F.col("fp"), inclusive=False),
-            "prev_cum": Carry(F.col("cum"), inclusive=False),
+            **{f"shown_{c}": Carry(v, inclusive=False) for c, v in shown.items()},
+            **{f"cum_{c}": Carry(v, inclusive=False) for c, v in total.items()},
         },
         chunk_of(F.col("ordinal"), chunk_rows),
     )
@@ -69,11 +73,11 @@ def with_carried_state(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
 def with_accepted_usage(carried: DataFrame) -> DataFrame:
     """``accepted``: usage a token record adds, after duplicate and reset handling."""
     is_tokens = (F.col("rec_type") == "event_msg") & (F.col("payload_type") == "token_count")
-    repeated = F.col("fp").eqNullSafe(F.col("prev_fp"))
-    usage = F.coalesce(F.col("direct"), counter_delta(F.col("cum"), F.col("prev_cum")))
-    keep = is_tokens & F.col("fp").isNotNull() & ~repeated
+    shown = F.coalesce(F.col("cum"), F.col("direct"))
+    repeated = reduce(lambda a, b: a & b, [v.eqNullSafe(F.col(f"shown_{c}")) for c, v in _tracked(shown).items()])
+    usage = F.coalesce(F.col("direct"), counter_delta(F.col("cum"), {c: F.col(f"cum_{c}") for c in _TRACKED}))
     return (
-        carried.withColumn("accepted", F.when(keep, usage))
+        carried.withColumn("accepted", F.when(is_tokens & shown.isNotNull() & ~repeated, usage))
         .withColumn("accepted", F.when(F.col("accepted.total") > 0, F.col("accepted")))
         .withColumn(
             "model",
@@ -82,6 +86,7 @@ def with_accepted_usage(carried: DataFrame) -> DataFrame:
                 F.coalesce("active_model", "session_model", F.lit(UNKNOWN_MODEL)),
             ),
         )
+        .drop(*[f"{p}_{c}" for p in ("shown", "cum") for c in _TRACKED])
     )
 
 
@@ -106,7 +111,11 @@ def _sums(usage: Column) -> list[Column]:
     return [F.sum(usage[c]).alias(c) for c in COUNTERS]
 
 
-CELL_KEYS = ["source_id", "cwd_now", "cell", "name", "epoch", "long_context"]
+# Strings are grouping keys and pairs are packed numbers: every aggregate below has
+# fixed-width buffers, so cells come out of hash aggregation without a sort.
+CELL_KEYS = [
+    "source_id", "source_kind", "raw_session_id", "cwd_now", "provider_now", "cell", "name", "epoch", "long_context",
+]
 
 
 def counter_cells(records: DataFrame, chunk_rows: int = CHUNK_ROWS, table: list[tuple] = PRICE_TABLE) -> DataFrame:
@@ -126,22 +135,20 @@ def counter_cells(records: DataFrame, chunk_rows: int = CHUNK_ROWS, table: list[
             "name": F.coalesce("model", tool, context_model),
             "epoch": F.when(used, price_epoch(F.coalesce("ts", default_price_time()), table)),
             "long_context": F.when(used, is_long_context(F.col("accepted"))),
-            "seen_at": F.coalesce(F.when(F.col("rec_type") == "session_meta", F.col("meta_ts")), F.col("ts")),
+            "seen_ms": F.unix_millis(F.coalesce(F.when(F.col("rec_type") == "session_meta", F.col("meta_ts")), F.col("ts"))),
         }
     )
-    seen = F.col("seen_at").isNotNull()
     body = (event & kind.isin("user_message", "agent_message", "agent_reasoning")) | (
         item & kind.isin("message", "reasoning")
     )
     payload = item & (F.col("tool").isNotNull() | kind.isin("function_call_output", "custom_tool_call_output"))
     return rows.groupBy(*CELL_KEYS).agg(
-        F.max("source_kind").alias("source_kind"),
-        F.min(F.when(F.col("raw_session_id").isNotNull(), F.struct("ordinal", F.col("raw_session_id").alias("id")))).alias("first_id"),
         F.count(F.lit(1)).alias("records"),
-        F.min(F.when(seen, F.struct(F.col("seen_at").alias("ts"), "ordinal"))).alias("first_seen"),
-        F.max(F.when(seen, F.struct(F.col("seen_at").alias("ts"), (-F.col("ordinal")).alias("neg")))).alias("last_seen"),
-        F.min(F.when(F.col("tool").isNotNull() & F.col("ts").isNotNull(), F.struct("ordinal", "ts"))).alias("first_tool"),
-        F.max(F.when(F.col("name").isNotNull() & (F.col("cell") != "tool"), F.struct("ordinal", F.col("provider_now").alias("provider")))).alias("last_provider"),
+        F.min(F.when(F.col("raw_session_id").isNotNull(), F.col("ordinal"))).alias("id_ordinal"),
+        F.max("ordinal").alias("last_ordinal"),
+        F.min(pack(F.col("seen_ms"), F.col("ordinal"))).alias("first_seen"),
+        F.max(pack_reversed(F.col("seen_ms"), F.col("ordinal"))).alias("last_seen"),
+        F.min(F.when(F.col("tool").isNotNull(), pack(F.col("ordinal"), F.unix_millis("ts")))).alias("first_tool"),
         _count(event & (kind == "user_message")).alias("event_user"),
         _count(event & (kind == "agent_message")).alias("event_assistant"),
         _count(item & (kind == "message") & (F.col("role") == "user")).alias("response_user"),
@@ -161,21 +168,26 @@ def counter_cells(records: DataFrame, chunk_rows: int = CHUNK_ROWS, table: list[
 
 
 def response_scope(records: DataFrame) -> DataFrame:
-    """Per log: first working directory and where it appears, session id, time bounds."""
-    main = records.filter(F.col("child_id").isNull())
-    cwd = blank_to_null(F.col("cwd"))
-    seen = F.col("ts").isNotNull()
-    return main.groupBy("source_id").agg(
-        F.max("source_kind").alias("source_kind"),
-        F.min(F.when(cwd.isNotNull(), F.struct("ordinal", cwd.alias("cwd")))).alias("scope"),
-        F.min(F.when(F.col("raw_session_id").isNotNull(), F.struct("ordinal", F.col("raw_session_id").alias("id")))).alias("first_id"),
-        F.min(F.when(seen, F.struct("ts", "ordinal"))).alias("first_seen"),
-        F.max(F.when(seen, F.struct("ts", (-F.col("ordinal")).alias("neg")))).alias("last_seen"),
+    """Per log: first working directory and where it appears, session id, time bounds.
+
+    First per distinct directory and id with fixed-width buffers, then over those few.
+    """
+    main = records.filter(F.col("child_id").isNull()).withColumn("cwd", blank_to_null(F.col("cwd")))
+    seen = F.unix_millis("ts")
+    found = main.groupBy("source_id", "source_kind", "cwd", "raw_session_id").agg(
+        F.min("ordinal").alias("ordinal"),
+        F.min(pack(seen, F.col("ordinal"))).alias("first_seen"),
+        F.max(pack_reversed(seen, F.col("ordinal"))).alias("last_seen"),
         F.bool_or(F.coalesce("ts_invalid", F.lit(False))).alias("ts_invalid"),
     )
-
-
-_ROW = ["child_id", "ordinal", "ts", "model", "usage", "stop_reason", "is_sidechain", "has_text", "tools"]
+    return found.groupBy("source_id", "source_kind").agg(
+        F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("ordinal"))).alias("cwd"),
+        F.min(F.when(F.col("cwd").isNotNull(), F.col("ordinal"))).alias("scope_ordinal"),
+        F.min_by("raw_session_id", F.when(F.col("raw_session_id").isNotNull(), F.col("ordinal"))).alias("raw_id"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.bool_or("ts_invalid").alias("ts_invalid"),
+    )
 
 
 def response_rows(records: DataFrame) -> DataFrame:
@@ -223,7 +235,7 @@ def response_ledger(records: DataFrame, scope: DataFrame | None = None) -> DataF
         F.struct(F.col("child_id").isNotNull().alias("c"), F.coalesce("child_id", F.lit("")).alias("f"), F.col("copy_ordinal")),
     )
     winners = rows.groupBy("source_id", "key").agg(last.alias("row")).select("source_id", "key", "row.*")
-    started = scope.select("source_id", F.col("scope.ordinal").alias("scope_ordinal"))
+    started = scope.select("source_id", "scope_ordinal")
     return (
         winners.join(started, "source_id")
         .filter(F.col("child_id").isNotNull() | (F.col("copy_ordinal") >= F.col("scope_ordinal")))
@@ -261,7 +273,7 @@ def user_turns(records: DataFrame, scope: DataFrame) -> DataFrame:
     authored = records.filter(
         F.col("child_id").isNull() & (F.col("rec_type") == "user") & ~F.coalesce("is_sidechain", F.lit(False))
     ).select("source_id", "ordinal", "permission_mode", F.coalesce("is_tool_result", F.lit(False)).alias("continued"))
-    started = scope.select("source_id", F.col("scope.ordinal").alias("scope_ordinal"))
+    started = scope.select("source_id", "scope_ordinal")
     return (
         authored.join(started, "source_id")
         .filter(F.col("ordinal") >= F.col("scope_ordinal"))
@@ -279,19 +291,21 @@ def response_cells(records: DataFrame, scope: DataFrame, table: list[tuple] = PR
         {"epoch": price_epoch(F.col("ts"), table), "long_context": is_long_context(F.col("usage"))}
     )
     main_chain = ~F.col("is_sidechain")
-    usage = ledger.groupBy("source_id", F.lit("usage").alias("cell"), F.col("model").alias("name"), "epoch", "long_context").agg(
+    stop = F.when(main_chain, F.col("stop_reason"))
+    when = pack(F.unix_millis("ts"), F.col("ordinal"))
+    usage = ledger.groupBy(
+        "source_id", F.lit("usage").alias("cell"), F.col("model").alias("name"), "epoch", "long_context", stop.alias("stop_reason")
+    ).agg(
         F.count(F.lit(1)).alias("calls"),
         _count(F.col("usage").isNotNull()).alias("responses"),
         _count(main_chain & F.col("has_text")).alias("assistant_messages"),
-        F.max(
-            F.when(main_chain & F.col("stop_reason").isNotNull(), F.struct("ts", "ordinal", "key", "stop_reason"))
-        ).alias("last_stop"),
+        F.max(F.when(main_chain & F.col("stop_reason").isNotNull(), when)).alias("stopped_at"),
         *_sums(F.col("usage")),
     )
     tools = (
         ledger.filter(main_chain)
-        .select("source_id", F.explode("tools").alias("name"), "ordinal", "ts", "key")
+        .select("source_id", F.explode("tools").alias("name"), "ordinal", "ts")
         .groupBy("source_id", F.lit("tool").alias("cell"), "name")
-        .agg(F.count(F.lit(1)).alias("calls"), F.min(F.struct("ts", "ordinal")).alias("first_tool"))
+        .agg(F.count(F.lit(1)).alias("calls"), F.min(when).alias("first_tool"))
     )
     return usage.unionByName(tools, allowMissingColumns=True).unionByName(child_tools(records), allowMissingColumns=True)

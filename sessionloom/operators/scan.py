@@ -10,15 +10,51 @@ on the partitioning the heavy pass already has.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 # Rows of one log that share a task. A 100 TB log of 1 KB records has under a
 # million chunks, so the summary pass stays small as well.
 CHUNK_ROWS = 1 << 17
 
 
+_BASE = Decimal(10) ** 15
+_FIXED = (NumericType, BooleanType, TimestampType, DateType)
+
+
+def _any_present(prefix: str, names: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(f"{prefix}{n}").isNotNull() for n in names])
+
+
+def pack(major: Column, minor: Column) -> Column:
+    """Two longs as one ordered number, so that min/max over pairs stay hash aggregates.
+
+    Aggregation buffers of structs or strings would make Spark sort the input.
+    """
+    return (major.cast("decimal(20,0)") * F.lit(_BASE) + minor.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def pack_reversed(major: Column, minor: Column) -> Column:
+    """As ``pack``, the smaller ``minor`` counting as larger."""
+    return pack(major, F.lit(int(_BASE) - 1) - minor)
+
+
+def major_of(packed: Column) -> Column:
+    return F.call_function("div", packed, F.lit(_BASE)).cast("long")
+
+
+def minor_of(packed: Column) -> Column:
+    return (packed % F.lit(_BASE)).cast("long")
+
+
+def minor_of_reversed(packed: Column) -> Column:
+    return F.lit(int(_BASE) - 1) - minor_of(packed)
+
+
 @dataclass(frozen=True)
 class Carry:
     """Last non-null ``value`` up to a row, with or without the row itself."""
@@ -51,15 +87,20 @@ def carry_last(
             for n, c in carries.items()
         }
     )
-    summary = base.groupBy(*parts).agg(
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_s_{n}") for n in carries]
-    )
+    # Fixed-width values are summarised by a hash aggregate; strings and the like,
+    # which would turn it into a sort, on their own over the rows that carry one.
+    fixed = [n for n in carries if isinstance(base.schema[f"_v_{n}"].dataType, _FIXED)]
+    wide = [n for n in carries if n not in fixed]
+    latest = lambda n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_s_{n}")
+    summary = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"), *[latest(n) for n in fixed])
+    if wide:
+        carrying = base.filter(_any_present("_v_", wide))
+        summary = summary.join(carrying.groupBy(*parts).agg(*[latest(n) for n in wide]), parts, "left")
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     crossing = summary.select(
         *parts, *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in carries]
-    ).filter(F.coalesce(*[F.when(F.col(f"_c_{n}").isNotNull(), F.lit(True)) for n in carries], F.lit(False)))
-    joined = local.join(crossing, parts, "left")
-    return joined.select(
+    ).filter(_any_present("_c_", list(carries)))
+    return local.join(crossing, parts, "left").select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in carries],
     )

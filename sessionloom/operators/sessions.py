@@ -13,6 +13,7 @@ from sessionloom.functions.redaction import with_clean_metadata
 from sessionloom.functions.text import iso, plural, seed, stable_id, digest
 from sessionloom.operators.ledger import UNKNOWN_MODEL
 from sessionloom.operators.pricing import PRICE_TABLE, cost_nano, with_price
+from sessionloom.operators.scan import major_of, minor_of, minor_of_reversed
 from sessionloom.operators.scope import scope_directories
 from sessionloom.schema import (
     BLOB_PROVIDER, CORE, COUNTER_PROVIDER, COUNTERS, DETECT_ONLY_PROVIDER, OPTIONAL, RESPONSE_PROVIDER, USAGE,
@@ -73,12 +74,10 @@ def usage_sum(present: Column, column: Column | None = None, zero_write: Column
 def priced_models(cells: DataFrame, keys: list[str], provider: Column, table: list[tuple] = PRICE_TABLE) -> DataFrame:
     """Model rows per session: totals, their priced and unpriced parts, exact cost.
 
-    ``cells`` holds one row per key, model, price epoch and context class; model
-    names are redacted here, on the few distinct ones, and prices join the same
-    small table.
+    ``cells`` holds one row per key, model (redacted name), price epoch and context
+    class; prices join this small table.
     """
-    named = with_clean_metadata(cells, F.col("name"), "model", 160)
-    priced = with_price(named, "model", F.coalesce("epoch", F.lit(-1)), table)
+    priced = with_price(cells, "model", F.coalesce("epoch", F.lit(-1)), table)
     used = F.col("responses") > 0
     cost = F.when(used, cost_nano({c: F.col(c) for c in COUNTERS}, F.col("price"), F.col("long_context")))
     rows = priced.withColumn("_cost", cost)
@@ -107,16 +106,31 @@ def _no_usage() -> Column:
     return F.lit(None).cast(USAGE)
 
 
+def clean_names(*names: DataFrame) -> DataFrame:
+    """``(name, clean)`` for every distinct raw model, tool, agent or provider name.
+
+    Redaction runs on the distinct names of the cells, not on records.
+    """
+    distinct = reduce(lambda a, b: a.unionByName(b), names).filter(F.col("name").isNotNull()).distinct()
+    return with_clean_metadata(distinct, F.col("name"), "clean", 160)
+
+
+def _short(clean: Column, limit: int = 80) -> Column:
+    return F.when(F.length(clean) > limit, F.concat(F.left(clean, F.lit(limit - 1)), F.lit("…"))).otherwise(clean)
+
+
 # Counter dialect ---------------------------------------------------------------
 
 
-def counter_sessions(cells: DataFrame, repositories: DataFrame, table: list[tuple] = PRICE_TABLE) -> SessionTables:
+def counter_names(cells: DataFrame) -> DataFrame:
+    return cells.select(F.explode(F.array("name", "provider_now")).alias("name"))
+
+
+def counter_sessions(cells: DataFrame, names: DataFrame, repositories: DataFrame, table: list[tuple] = PRICE_TABLE) -> SessionTables:
     """Only segments whose working directory lies inside a repository count for it."""
     scope = scope_directories(cells, repositories)
-    logs = cells.groupBy("source_id").agg(
-        F.max("source_kind").alias("source_kind"),
-        F.min("first_id")["id"].alias("raw_id"),
-        F.bool_or("saw_meta").alias("saw_meta"),
+    logs = cells.groupBy("source_id", "source_kind").agg(
+        F.min_by("raw_session_id", "id_ordinal").alias("raw_id"), F.bool_or("saw_meta").alias("saw_meta")
     )
     scoped = cells.join(scope, "cwd_now")
     used = F.col("cell") == "usage"
@@ -133,6 +147,7 @@ def counter_sessions(cells: DataFrame, repositories: DataFrame, table: list[tupl
         F.bool_or(used & (F.col("name") == UNKNOWN_MODEL)).alias("unknown_model"),
         usage_sum(used, zero_write=F.sum("responses") > 1).alias("usage"),
     )
+    first_of = lambda a, b: F.when(F.col(a) > 0, F.col(a)).otherwise(F.col(b))
     sessions = (
         facts.join(logs, "source_id")
         .withColumns(
@@ -142,29 +157,32 @@ def counter_sessions(cells: DataFrame, repositories: DataFrame, table: list[tupl
                     COUNTER_PROVIDER, F.col("fingerprint"),
                     F.coalesce("raw_id", file_identity(F.col("source_kind"), F.col("source_id"))),
                 ),
-                "started_at": F.col("first_seen.ts"),
-                "ended_at": F.col("last_seen.ts"),
-                "start_ordinal": F.col("first_seen.ordinal"),
-                "end_ordinal": -F.col("last_seen.neg"),
+                **_bounds(),
                 "status": F.when(F.col("aborted"), F.lit("aborted")).when(F.col("completed"), F.lit("completed")).otherwise(F.lit("incomplete")),
                 "relation": F.when(F.col("at_root"), F.lit("repository-root")).otherwise(F.lit("subdirectory")),
-                "turns": F.when(F.col("event_user") > 0, F.col("event_user")).otherwise(F.col("response_user")),
-                "assistant_messages": F.when(F.col("event_assistant") > 0, F.col("event_assistant")).otherwise(F.col("response_assistant")),
+                "turns": first_of("event_user", "response_user"),
+                "assistant_messages": first_of("event_assistant", "response_assistant"),
                 "plan_turns": F.lit(None).cast("long"),
                 "subagents": F.lit(None).cast("long"),
-                "tool_ordinal": F.col("first_tool.ordinal"),
-                "tool_at": F.col("first_tool.ts"),
+                "tool_ordinal": major_of(F.col("first_tool")),
+                "tool_at": F.timestamp_millis(minor_of(F.col("first_tool"))),
             }
         )
         .select(*SESSION_COLUMNS)
     )
-    named = scoped.filter(F.col("cell").isin("usage", "model")).withColumn("calls", F.col("responses"))
-    models = with_clean_metadata(
-        priced_models(named, ["repo_id", "source_id"], F.col("last_provider"), table), F.col("_provider.provider"), "model_provider", 80
-    ).select("repo_id", "source_id", F.lit(COUNTER_PROVIDER).alias("provider"), *MODEL_COLUMNS[3:])
+    named = scoped.filter(F.col("name").isNotNull()).join(names, "name")
+    models = (
+        priced_models(
+            named.filter(F.col("cell") != "tool").withColumns({"model": F.col("clean"), "calls": F.col("responses")}),
+            ["repo_id", "source_id"], F.struct("last_ordinal", "provider_now"), table,
+        )
+        .withColumn("name", F.col("_provider.provider_now"))
+        .join(names, "name")
+        .select("repo_id", "source_id", F.lit(COUNTER_PROVIDER).alias("provider"), _short(F.col("clean")).alias("model_provider"), *MODEL_COLUMNS[4:])
+    )
     tools = (
-        with_clean_metadata(scoped.filter(F.col("cell") == "tool"), F.col("name"), "tool", 160)
-        .groupBy("repo_id", "source_id", "tool")
+        named.filter(F.col("cell") == "tool")
+        .groupBy("repo_id", "source_id", F.col("clean").alias("tool"))
         .agg(F.sum("records").alias("calls"))
         .withColumn("provider", F.lit(COUNTER_PROVIDER))
     )
@@ -174,25 +192,33 @@ def counter_sessions(cells: DataFrame, repositories: DataFrame, table: list[tupl
     return SessionTables(sessions, models, tools, unmatched)
 
 
+def _bounds() -> dict[str, Column]:
+    """Start and end with the first record that reaches each, from the packed pairs."""
+    return {
+        "started_at": F.timestamp_millis(major_of(F.col("first_seen"))),
+        "ended_at": F.timestamp_millis(major_of(F.col("last_seen"))),
+        "start_ordinal": minor_of(F.col("first_seen")),
+        "end_ordinal": minor_of_reversed(F.col("last_seen")),
+    }
+
+
 # Response dialect --------------------------------------------------------------
 
 
 def response_sessions(
-    cells: DataFrame, logs: DataFrame, turns: DataFrame, repositories: DataFrame, table: list[tuple] = PRICE_TABLE
+    cells: DataFrame, logs: DataFrame, turns: DataFrame, names: DataFrame, repositories: DataFrame, table: list[tuple] = PRICE_TABLE
 ) -> SessionTables:
     """A log belongs to the repositories around its first working directory."""
-    where = scope_directories(logs.select(F.col("scope.cwd").alias("cwd")), repositories, "cwd")
-    placed = logs.withColumn("cwd", F.col("scope.cwd")).join(where, "cwd")
+    placed = logs.join(scope_directories(logs, repositories, "cwd"), "cwd")
     kind = F.col("cell")
     facts = cells.groupBy("source_id").agg(
         F.sum(F.when(kind == "usage", F.col("assistant_messages"))).alias("assistant_messages"),
-        F.max(F.when(kind == "usage", F.col("last_stop"))).alias("last_stop"),
+        F.max_by("stop_reason", "stopped_at").alias("stop"),
         F.sum(F.when(kind == "tool", F.col("calls"))).alias("tool_calls"),
         F.sum(F.when(kind == "agent", F.col("calls"))).alias("subagents"),
         F.min(F.when(kind == "tool", F.col("first_tool"))).alias("first_tool"),
         usage_sum((kind == "usage") & (F.col("responses") > 0), zero_write=F.lit(True)).alias("usage"),
     )
-    stop = F.col("last_stop.stop_reason")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     sessions = (
         placed.join(facts, "source_id", "left")
@@ -202,20 +228,17 @@ def response_sessions(
                 "provider": F.lit(RESPONSE_PROVIDER),
                 "session_ref": session_ref(
                     RESPONSE_PROVIDER, F.col("fingerprint"),
-                    F.coalesce(F.col("first_id.id"), file_identity(F.col("source_kind"), F.col("source_id"))),
+                    F.coalesce("raw_id", file_identity(F.col("source_kind"), F.col("source_id"))),
                 ),
-                "started_at": F.col("first_seen.ts"),
-                "ended_at": F.col("last_seen.ts"),
-                "start_ordinal": F.col("first_seen.ordinal"),
-                "end_ordinal": -F.col("last_seen.neg"),
-                "status": F.when(stop.isNull(), F.lit("unknown")).when(stop == "tool_use", F.lit("incomplete")).otherwise(F.lit("completed")),
+                **_bounds(),
+                "status": F.when(F.col("stop").isNull(), F.lit("unknown")).when(F.col("stop") == "tool_use", F.lit("incomplete")).otherwise(F.lit("completed")),
                 "turns": zero("turns"),
                 "assistant_messages": zero("assistant_messages"),
                 "tool_calls": zero("tool_calls"),
                 "plan_turns": F.when(zero("turns") > 0, zero("plan_turns")),
                 "subagents": F.when(zero("subagents") > 0, F.col("subagents")),
-                "tool_ordinal": F.col("first_tool.ordinal"),
-                "tool_at": F.col("first_tool.ts"),
+                "tool_ordinal": minor_of(F.col("first_tool")),
+                "tool_at": F.timestamp_millis(major_of(F.col("first_tool"))),
                 "bodies": F.lit(None).cast("long"),
                 "payloads": F.lit(None).cast("long"),
                 "unknown_model": F.lit(False),
@@ -224,25 +247,25 @@ def response_sessions(
         .select(*SESSION_COLUMNS)
     )
     repos = placed.select("repo_id", "source_id")
-    named = cells.filter(kind == "usage").join(repos, "source_id")
-    models = priced_models(named, ["repo_id", "source_id"], F.lit("anthropic"), table).select(
-        "repo_id", "source_id", F.lit(RESPONSE_PROVIDER).alias("provider"),
-        F.col("_provider").alias("model_provider"), *MODEL_COLUMNS[4:],
+    named = cells.join(names, "name").join(repos, "source_id")
+    models = priced_models(
+        named.filter(kind == "usage").withColumn("model", F.col("clean")), ["repo_id", "source_id"], F.lit("anthropic"), table
+    ).select(
+        "repo_id", "source_id", F.lit(RESPONSE_PROVIDER).alias("provider"), F.col("_provider").alias("model_provider"), *MODEL_COLUMNS[4:]
     )
     label = (
-        F.when(kind == "agent", F.concat(F.lit("Agent:"), F.when(F.length("clean") > 80, F.concat(F.left("clean", F.lit(79)), F.lit("…"))).otherwise(F.col("clean"))))
+        F.when(kind == "agent", F.concat(F.lit("Agent:"), _short(F.col("clean"))))
         .when(kind == "child_tool", F.concat(F.col("name"), F.lit(" (subagent)")))
         .otherwise(F.col("clean"))
     )
     tools = (
-        with_clean_metadata(cells.filter(kind != "usage"), F.col("name"), "clean", 160)
-        .join(repos, "source_id")
+        named.filter(kind != "usage")
         .groupBy("repo_id", "source_id", label.alias("tool"))
         .agg(F.sum("calls").alias("calls"))
         .withColumn("provider", F.lit(RESPONSE_PROVIDER))
     )
     unmatched = logs.join(placed.select("source_id"), "source_id", "left_anti").filter(
-        F.col("first_id").isNull() & F.col("first_seen").isNull()
+        F.col("raw_id").isNull() & F.col("first_seen").isNull()
     ).select("source_id", F.lit(RESPONSE_PROVIDER).alias("provider"))
     return SessionTables(sessions, models, tools, unmatched)
 
@@ -314,41 +337,37 @@ def session_sentence() -> Column:
     return F.when(F.col("provider") == BLOB_PROVIDER, blob).otherwise(log)
 
 
-@dataclass(frozen=True)
-class Sessions:
-    """The shared middle layer: one row per session, per session and model, per session and tool."""
+def union_parts(parts: list[SessionTables]) -> SessionTables:
+    """The dialects' tables one under the other."""
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
+    return SessionTables(
+        union([p.sessions for p in parts]),
+        union([p.models.select(*MODEL_COLUMNS) for p in parts]),
+        union([p.tools.select(*FILE_KEY, "tool", "calls") for p in parts]),
+        union([p.unmatched for p in parts]),
+    )
 
-    sessions: DataFrame
-    models: DataFrame
-    tools: DataFrame
-    undated: DataFrame
-    unmatched: DataFrame
 
+FILE_KEY = ["repo_id", "source_id", "provider"]
 
-def assemble(parts: list[SessionTables]) -> Sessions:
-    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    every = union([p.sessions for p in parts])
-    dated = latest_copies(every.filter(F.col("started_at").isNotNull()))
-    key = ["repo_id", "source_id", "provider"]
-    owner = dated.select(*key, "session_ref")
-    models = union([p.models.select(*MODEL_COLUMNS) for p in parts]).join(owner, key)
-    tools = union([p.tools.select(*key, "tool", "calls") for p in parts]).join(owner, key)
-    model_refs = models.groupBy("repo_id", "session_ref").agg(F.array_sort(F.collect_set("model")).alias("model_refs"))
-    tool_refs = tools.groupBy("repo_id", "session_ref").agg(F.array_sort(F.collect_set("tool")).alias("tool_refs"))
+
+def with_names(sessions: DataFrame, models: DataFrame, tools: DataFrame) -> DataFrame:
+    """Sorted model and tool names and the sentence of every session."""
+    model_refs = models.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_set("model")).alias("model_refs"))
+    tool_refs = tools.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_set("tool")).alias("tool_refs"))
     none = F.array().cast("array<string>")
-    sessions = (
-        dated.join(model_refs, ["repo_id", "session_ref"], "left")
-        .join(tool_refs, ["repo_id", "session_ref"], "left")
+    return (
+        sessions.join(model_refs, FILE_KEY, "left")
+        .join(tool_refs, FILE_KEY, "left")
         .withColumns(
-            {
-                "model_refs": F.coalesce("model_refs", none),
-                "tool_refs": F.coalesce("tool_refs", none),
-                "summary": session_sentence(),
-            }
+            {"model_refs": F.coalesce("model_refs", none), "tool_refs": F.coalesce("tool_refs", none), "summary": session_sentence()}
         )
     )
-    undated = every.filter(F.col("started_at").isNull()).select("repo_id", "session_ref", "provider", "source_id")
-    return Sessions(sessions, models, tools, undated, union([p.unmatched for p in parts]))
+
+
+def of_files(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Model or tool rows of the files the sessions were taken from, with the session."""
+    return rows.join(sessions.select(*FILE_KEY, "session_ref"), FILE_KEY)
 
 
 def evidence(sessions: DataFrame, tool_evidence_all: bool = False) -> DataFrame:

@@ -88,7 +88,7 @@ def response_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def priced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers(spark, sf_dir).raw.models.select(
+    return layers(spark, sf_dir).all_models.select(
         "repo_id", "session_ref", "provider", "model_provider", "model", "calls",
         F.col("usage.total").alias("total_tokens"), F.col("priced.total").alias("priced_tokens"),
         F.col("unpriced.total").alias("unpriced_tokens"), F.col("cost_nano").cast("bigint").alias("cost_nano"),
@@ -124,7 +124,7 @@ def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers(spark, sf_dir).raw.tools.select("repo_id", "session_ref", "provider", "tool", "calls")
+    return layers(spark, sf_dir).all_tools.select("repo_id", "session_ref", "provider", "tool", "calls")
 
 
 @query

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sessionloom.operators import git as git_ops
 from sessionloom.operators import ledger, sessions, usage
@@ -51,20 +52,48 @@ class Layers:
         return materialize(ledger.response_cells(self.inputs.response_records, self.response_logs))
 
     @cached_property
-    def raw(self) -> sessions.Sessions:
+    def names(self) -> DataFrame:
+        """Every distinct name once through redaction."""
+        found = []
+        if self.inputs.counter_records is not None:
+            found.append(sessions.counter_names(self.counter_cells))
+        if self.inputs.response_records is not None:
+            found.append(self.response_cells.select("name"))
+        return materialize(sessions.clean_names(*found))
+
+    @cached_property
+    def files(self) -> sessions.SessionTables:
+        """Sessions as found in files, before one file per session is chosen."""
         parts, i = [], self.inputs
         if i.counter_records is not None:
-            parts.append(sessions.counter_sessions(self.counter_cells, i.repositories))
+            parts.append(sessions.counter_sessions(self.counter_cells, self.names, i.repositories))
         if i.response_records is not None:
             turns = ledger.user_turns(i.response_records, self.response_logs)
-            parts.append(sessions.response_sessions(self.response_cells, self.response_logs, turns, i.repositories))
+            parts.append(sessions.response_sessions(self.response_cells, self.response_logs, turns, self.names, i.repositories))
         if i.blob_messages is not None:
             parts.append(sessions.blob_sessions(i.blob_messages, i.blob_workspaces, i.repositories))
-        return sessions.assemble(parts)
+        return sessions.union_parts(parts)
+
+    @cached_property
+    def file_models(self) -> DataFrame:
+        return materialize(self.files.models)
+
+    @cached_property
+    def file_tools(self) -> DataFrame:
+        return materialize(self.files.tools)
 
     @cached_property
     def all_sessions(self) -> DataFrame:
-        return materialize(self.raw.sessions)
+        dated = sessions.latest_copies(materialize(self.files.sessions).filter(F.col("started_at").isNotNull()))
+        return materialize(sessions.with_names(dated, self.file_models, self.file_tools))
+
+    @cached_property
+    def all_models(self) -> DataFrame:
+        return sessions.of_files(self.file_models, self.all_sessions)
+
+    @cached_property
+    def all_tools(self) -> DataFrame:
+        return sessions.of_files(self.file_tools, self.all_sessions)
 
     @cached_property
     def repositories(self) -> DataFrame:
@@ -82,11 +111,11 @@ class Layers:
 
     @cached_property
     def models(self) -> DataFrame:
-        return usage.of_sessions(self.raw.models, self.sessions)
+        return sessions.of_files(self.file_models, self.sessions)
 
     @cached_property
     def tools(self) -> DataFrame:
-        return usage.of_sessions(self.raw.tools, self.sessions)
+        return sessions.of_files(self.file_tools, self.sessions)
 
     @cached_property
     def model_usage(self) -> DataFrame:
@@ -113,7 +142,7 @@ class Layers:
         return sessions.evidence(self.sessions)
 
     def release(self) -> None:
-        for name in ("counter_cells", "response_logs", "response_cells", "all_sessions"):
+        for name in ("counter_cells", "response_logs", "response_cells", "names", "file_models", "file_tools", "all_sessions"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

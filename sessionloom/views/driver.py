@@ -16,9 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    for name, sql in columns.items():
-        df = df.withColumn(name, F.expr(spell(sql, "spark")))
-    return df
+    return df.selectExpr("*", *[f"{spell(sql, 'spark')} AS {name}" for name, sql in columns.items()])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
