@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import usage
+from oracles import insights, usage
 
-SQL = {**usage.SQL}
+SQL = {**usage.SQL, **insights.SQL}

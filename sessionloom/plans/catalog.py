@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.text import iso
 from sessionloom.operators import git as git_ops
-from sessionloom.operators import ledger, sessions, usage
-from sessionloom.operators.pricing import cost_nano, is_long_context, price_epoch, price_lookup, price_responses
+from sessionloom.operators import ledger, receipt, usage
+from sessionloom.operators import profile as profile_ops
+from sessionloom.operators import timeline as timeline_ops
+from sessionloom.operators.pricing import price_epoch, price_lookup, price_responses
 from sessionloom.operators.scope import scope_directories
 from sessionloom.plans.driver_layers import layers
 from sessionloom.schema import COUNTERS
@@ -201,3 +203,117 @@ def reconcile_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reconcile_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.reconcile_models(layers(spark, sf_dir).model_usage)
+
+
+# Timeline, signals, profile, receipt -------------------------------------------------------
+
+
+def _joined(column: str) -> Column:
+    return F.array_join(column, ",").alias(column)
+
+
+@query
+def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).milestones.select("repo_id", "milestone_id", "kind", "title", "occurred_at", _joined("evidence_refs"))
+
+
+@query
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).timeline.select(
+        "repo_id", "session_ref", "provider", "kind", "occurred_at", "magnitude", "measurement", "temporal_precision", _joined("source_refs"),
+        "event_id", "label", "phase",
+    )
+
+
+@query
+def timeline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    return timeline_ops.timeline_coverage(built.sessions, built.milestones, built.timeline)
+
+
+@query
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).signals.select(
+        "repo_id", "id", "family", "headline", "detail", "value", "unit", "notability", _joined("source_refs"), "rank"
+    )
+
+
+@query
+def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).catalog.select(
+        "repo_id", "ref", "provider", "session_ref", iso(F.col("at")).alias("occurred_at"), _joined("evidence_refs"), "turns", "assistant_messages", "tool_calls"
+    )
+
+
+@query
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    rows = profile_ops.scores(built.sessions, built.tool_usage, built.totals, built.git, built.windows)
+    return rows.select("repo_id", *profile_ops.DIMENSIONS)
+
+
+@query
+def work_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    rows = profile_ops.work_patterns(built.sessions, built.tool_usage, built.model_usage, built.windows)
+    return rows.withColumns({"peak_hours": F.array_join(F.col("peak_hours").cast("array<string>"), ","), "preferred_days": F.array_join("preferred_days", ",")})
+
+
+@query
+def archetype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers(spark, sf_dir).profiles.select("repo_id", "archetype", "rationale")
+
+
+@query
+def receipt_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    return receipt.tiles(built.totals, built.costs, built.model_usage)
+
+
+@query
+def spend_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receipt.spend_share(layers(spark, sf_dir).model_usage)
+
+
+@query
+def unpriced_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    return receipt.unpriced_share(built.totals, built.costs)
+
+
+@query
+def daily_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    return receipt.daily_spend(built.sessions, built.model_usage).withColumn("spend_micro", F.round("spend_micro").cast("long"))
+
+
+@query
+def daily_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten columns, so that a month of days is really thinned out."""
+    built = layers(spark, sf_dir)
+    return receipt.downsample(receipt.daily_spend(built.sessions, built.model_usage), 10).select("repo_id", "day", "sessions")
+
+
+@query
+def hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receipt.hour_profile(layers(spark, sf_dir).sessions)
+
+
+@query
+def top_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen latest sessions of each repository."""
+    rows = receipt.top_rows(layers(spark, sf_dir).sessions, receipt.MAX_SESSIONS, F.desc("started_at"), F.col("session_ref"))
+    return rows.select("repo_id", "position", "session_ref")
+
+
+@query
+def usage_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    return receipt.usage_suffix(built.totals, built.costs)
+
+
+@query
+def reasoned_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric-derived sections that depend on a repository's numbers."""
+    fixed = F.col("section").isin("narrative", "decisionPatterns", "growthEdge") | ((F.col("section") == "standoutTraits") & (F.col("position") == 1))
+    return profile_ops.default_narrative(layers(spark, sf_dir).profiles).filter(~fixed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.operators import git as git_ops
-from sessionloom.operators import ledger, sessions, usage
+from sessionloom.operators import ledger, profile, sessions, signals, timeline, usage
 from sessionloom.operators.scan import CHUNK_ROWS
 from sessionloom.session import materialize
 
@@ -141,6 +141,30 @@ class Layers:
     def evidence(self) -> DataFrame:
         return sessions.evidence(self.sessions)
 
+    @cached_property
+    def git_rows(self) -> DataFrame:
+        return timeline.git_evidence(self.git, self.windows, self.inputs.repositories)
+
+    @cached_property
+    def milestones(self) -> DataFrame:
+        return timeline.milestones(self.sessions, self.evidence, self.git_rows)
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        return timeline.timeline(self.sessions, self.evidence, self.git_rows)
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return signals.source_catalog(self.sessions, self.evidence, self.git_rows, self.windows)
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return signals.signals(self.sessions, self.tool_usage, self.totals, self.git, self.windows, self.catalog)
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return profile.profiles(self.sessions, self.tool_usage, self.model_usage, self.totals, self.git, self.windows)
+
     def release(self) -> None:
         for name in ("counter_cells", "response_logs", "response_cells", "names", "file_models", "file_tools", "all_sessions"):
             if name in self.__dict__:
