@@ -9,6 +9,9 @@ from oracles.base import CTES
 
 def compose(final: str) -> str:
     """``final`` preceded by the common table expressions it needs, in order."""
+    own = ""
+    if final.startswith("/*fold*/"):
+        own, final = final.removeprefix("/*fold*/").split("/*end*/")
     needed: set[str] = set()
 
     def visit(sql: str) -> None:
@@ -17,6 +20,6 @@ def compose(final: str) -> str:
                 needed.add(name)
                 visit(CTES[name])
 
-    visit(final)
-    parts = [f"{name} AS (\n{CTES[name]}\n)" for name in CTES if name in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final
+    visit(own + final)
+    parts = [f"{name} AS (\n{CTES[name]}\n)" for name in CTES if name in needed] + ([own] if own else [])
+    return ("WITH " + ("RECURSIVE " if own else "") + ",\n".join(parts) + "\n" if parts else "") + final

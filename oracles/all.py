@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import insights, usage
+from oracles import insights, texts, usage
 
-SQL = {**usage.SQL, **insights.SQL}
+SQL = {**usage.SQL, **insights.SQL, **texts.SQL}

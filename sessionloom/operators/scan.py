@@ -57,10 +57,14 @@ def minor_of_reversed(packed: Column) -> Column:
 
 @dataclass(frozen=True)
 class Carry:
-    """Last non-null ``value`` up to a row, with or without the row itself."""
+    """Last non-null ``value`` up to a row, with or without the row itself.
+
+    ``backward`` looks from the end instead: the next non-null value.
+    """
 
     value: Column
     inclusive: bool = True
+    backward: bool = False
 
 
 def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
@@ -78,27 +82,32 @@ def carry_last(
     chunk = chunk_of(F.col(order)) if chunk is None else chunk
     base = df.withColumns({"_chunk": chunk, **{f"_v_{n}": c.value for n, c in carries.items()}})
     parts = [*keys, "_chunk"]
-    in_chunk = Window.partitionBy(*parts).orderBy(order)
-    upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    local = base.withColumns(
-        {
-            f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto if c.inclusive else before)
-            for n, c in carries.items()
-        }
-    )
+
+    def seen_so_far(c: Carry):
+        along = F.desc(order) if c.backward else F.asc(order)
+        return Window.partitionBy(*parts).orderBy(along).rowsBetween(Window.unboundedPreceding, 0 if c.inclusive else -1)
+
+    local = base.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(seen_so_far(c)) for n, c in carries.items()})
     # Fixed-width values are summarised by a hash aggregate; strings and the like,
     # which would turn it into a sort, on their own over the rows that carry one.
     fixed = [n for n in carries if isinstance(base.schema[f"_v_{n}"].dataType, _FIXED)]
     wide = [n for n in carries if n not in fixed]
-    latest = lambda n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_s_{n}")
-    summary = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"), *[latest(n) for n in fixed])
+
+    def edge(n: str) -> Column:
+        pick = F.min_by if carries[n].backward else F.max_by
+        return pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_s_{n}")
+
+    summary = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"), *[edge(n) for n in fixed])
     if wide:
         carrying = base.filter(_any_present("_v_", wide))
-        summary = summary.join(carrying.groupBy(*parts).agg(*[latest(n) for n in wide]), parts, "left")
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        summary = summary.join(carrying.groupBy(*parts).agg(*[edge(n) for n in wide]), parts, "left")
+
+    def from_other_chunks(c: Carry):
+        along = F.desc("_chunk") if c.backward else F.asc("_chunk")
+        return Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+
     crossing = summary.select(
-        *parts, *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in carries]
+        *parts, *[F.last(f"_s_{n}", ignorenulls=True).over(from_other_chunks(c)).alias(f"_c_{n}") for n, c in carries.items()]
     ).filter(_any_present("_c_", list(carries)))
     return local.join(crossing, parts, "left").select(
         *[F.col(c) for c in df.columns],

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions import redaction
 from sessionloom.functions.text import iso
 from sessionloom.operators import git as git_ops
-from sessionloom.operators import ledger, receipt, usage
+from sessionloom.operators import evidence, ledger, receipt, usage
 from sessionloom.operators import profile as profile_ops
+from sessionloom.operators import quality as quality_ops
 from sessionloom.operators import timeline as timeline_ops
 from sessionloom.operators.pricing import price_epoch, price_lookup, price_responses
+from sessionloom.operators.scope import remote_identity as remote_identity_of
 from sessionloom.operators.scope import scope_directories
 from sessionloom.plans.driver_layers import layers
 from sessionloom.schema import COUNTERS
+from sessionloom.sources import chat_blobs
 from sessionloom.views import driver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,3 +321,111 @@ def reasoned_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric-derived sections that depend on a repository's numbers."""
     fixed = F.col("section").isin("narrative", "decisionPatterns", "growthEdge") | ((F.col("section") == "standoutTraits") & (F.col("position") == 1))
     return profile_ops.default_narrative(layers(spark, sf_dir).profiles).filter(~fixed)
+
+
+# Quality ---------------------------------------------------------------------------------
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files per dialect; the blob store is not installed in this view."""
+    logs = lambda df, p: df.select("source_id").distinct().agg(F.lit(p).alias("provider"), F.lit(True).alias("available"), F.count(F.lit(1)).alias("files"))
+    return logs(driver.counter_records(spark, sf_dir), "codex").unionByName(logs(driver.response_records(spark, sf_dir), "claude-code"))
+
+
+def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    selection = quality_ops.provider_selection(built.inputs.repositories, built.all_sessions, built.sessions, _found(spark, sf_dir))
+    every = quality_ops.session_warnings(built.all_sessions, built.undated).unionByName(quality_ops.provider_warnings(selection))
+    return quality_ops.distinct_warnings(every, built.sessions)
+
+
+@query
+def provider_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    wanted = [p[0] for p in quality_ops.PROVIDERS]
+    return quality_ops.provider_selection(built.inputs.repositories, built.all_sessions, built.sessions, _found(spark, sf_dir), wanted)
+
+
+@query
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warnings(spark, sf_dir)
+
+
+@query
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ops.quality(layers(spark, sf_dir).inputs.repositories, _warnings(spark, sf_dir))
+
+
+@query
+def assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that apply to the providers with sessions in the window."""
+    return quality_ops.assumptions(layers(spark, sf_dir).sessions.select("repo_id", "provider"))
+
+
+# Redaction and publishing -------------------------------------------------------------------
+
+
+@query
+def redact_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = redaction.with_redaction_counts(driver.texts(spark, sf_dir), "text", 1000)
+    return rows.select("doc_id", "clean", "truncated")
+
+
+@query
+def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audited = redaction.with_redaction_counts(driver.texts(spark, sf_dir), "text", 5000)
+    return redaction.redaction_summary(audited, ["repo_id"])
+
+
+@query
+def redact_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.with_clean_excerpt(driver.texts(spark, sf_dir), "text", "clean", 2000).select("doc_id", "clean")
+
+
+@query
+def known_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = driver.texts(spark, sf_dir)
+    return rows.select("doc_id", F.array_join(redaction.known_secrets(F.col("text")), ",").alias("categories"))
+
+
+@query
+def private_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = driver.texts(spark, sf_dir)
+    return rows.select("doc_id", F.array_join(redaction.private_locations(F.col("text")), ",").alias("categories"))
+
+
+@query
+def leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ops.publish_gate(driver.texts(spark, sf_dir), "text")
+
+
+@query
+def remote_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = F.concat(F.lit("/repo/"), F.col("page_id").cast("string"))
+    rows = remote_identity_of(driver.remotes(spark, sf_dir), "url", local)
+    return rows.select("page_id", "host", "path", "fingerprint", "fingerprint_basis", "path_hash")
+
+
+@query
+def blob_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_blobs.blob_messages(driver.chat_blobs(spark, sf_dir))
+
+
+# Evidence --------------------------------------------------------------------------------------
+
+
+@query
+def excerpt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence.candidates(driver.conversation_events(spark, sf_dir))
+    return rows.select("repo_id", "provider", "session_ref", "pos", "role", iso(F.col("occurred_at")).alias("occurred_at"), "text")
+
+
+@query
+def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = evidence.select_evidence(evidence.candidates(driver.conversation_events(spark, sf_dir)))
+    return chosen.excerpts.select("repo_id", "excerpt_id", "provider", "session_ref", iso(F.col("occurred_at")).alias("occurred_at"), "role", "text", "index")
+
+
+@query
+def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.select_evidence(evidence.candidates(driver.conversation_events(spark, sf_dir)), evidence.BUDGETS["cloud"]).per_provider

@@ -87,6 +87,12 @@ class Layers:
         dated = sessions.latest_copies(materialize(self.files.sessions).filter(F.col("started_at").isNotNull()))
         return materialize(sessions.with_names(dated, self.file_models, self.file_tools))
 
+    @cached_property
+    def undated(self) -> DataFrame:
+        """Matched sessions that were excluded for lack of any time."""
+        none = self.files.sessions.filter(F.col("started_at").isNull())
+        return none.select("repo_id", "session_ref", "provider", "source_id")
+
     @cached_property
     def all_models(self) -> DataFrame:
         return sessions.of_files(self.file_models, self.all_sessions)

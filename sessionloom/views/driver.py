@@ -124,3 +124,50 @@ def status_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offsets(repos: DataFrame) -> DataFrame:
     """A local-time offset per repository, for the work-pattern queries."""
     return repos.select("repo_id", ((F.col("repo_id") - 3) * 120).cast("int").alias("utc_offset"))
+
+
+def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as normalised events, with a tool call after some replies."""
+    c = F.col
+    none = F.lit(None).cast("string")
+    provider = F.expr(pick(["claude-code", "codex", "cursor"], "conv_id % 3"))
+    base = table(spark, sf_dir, "conversations").select(
+        (c("conv_id") % 7).alias("repo_id"), provider.alias("provider"), c("conv_id").cast("string").alias("session_ref"), "conv_id", "turn", "role", "text",
+        F.timestamp_millis(F.lit(1_704_067_200_000) + c("conv_id") * 3_600_000 + c("turn") * 60_000).alias("occurred_at"),
+    )
+    messages = base.select(
+        "repo_id", "provider", "session_ref", (c("turn") * 2).alias("ordinal"), "occurred_at",
+        "role", "text", F.when(c("role") == "system", F.lit("title")).otherwise(F.lit("message")).alias("event_kind"),
+        F.when(c("role") == "user", F.when(c("turn") % 4 < 2, F.lit("plan")).otherwise(F.lit("default"))).alias("permission_mode"),
+        none.alias("tool_name"),
+    )
+    calls = base.filter((c("role") == "assistant") & ((c("conv_id") + c("turn")) % 3 == 0)).select(
+        "repo_id", "provider", "session_ref", (c("turn") * 2 + 1).alias("ordinal"), "occurred_at", "role", none.alias("text"),
+        F.lit("tool-call").alias("event_kind"), none.alias("permission_mode"),
+        F.when(c("conv_id") % 5 == 0, F.lit("Read")).otherwise(F.lit("Edit")).alias("tool_name"),
+    )
+    return messages.unionByName(calls)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("repo_id"), "text")
+
+
+def remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url")
+
+
+def chat_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON documents of a few turns, under keys that are read or not."""
+    c = F.col
+    bubbles = table(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(c("turn") / 4).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
+    tabs = F.array(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("bubbles")))
+    key = F.when(c("conv_id") % 4 == 3, F.lit("unrelated.key")).otherwise(
+        F.concat(F.lit("composerData:"), F.lpad(c("part").cast("string"), 9, "0"))
+    )
+    return bubbles.select(
+        c("conv_id").cast("string").alias("workspace"), F.lit("cursorDiskKV").alias("tbl"), key.alias("key"),
+        F.to_json(F.struct(tabs.alias("tabs"))).alias("value"),
+    )
