@@ -31,7 +31,7 @@ def pattern(rule) -> str:
 
 def replaced(text: str, rule) -> str:
     target = rule.replacement.replace("$1", "\\1")
-    if "(?=" in rule.pattern:
+    if "(?=" in rule.pattern.replace(_B, ""):
         target += "\\2"
         once = f"regexp_replace({text}, {pattern(rule)}, {q(target)}, 'g')"
         return f"regexp_replace({once}, {pattern(rule)}, {q(target)}, 'g')"

@@ -1,65 +1,18 @@
-"""Per-row helpers for the two redaction steps SQL has no function for.
+"""The one redaction step SQL has no function for: Unicode composition.
 
 The module is pickled by value, so executors need no copy of the package.
 """
 
 from __future__ import annotations
 
-import math
-import re
 import sys
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Tokens that look random but are not secret, and the threshold.
-PLAIN_HASH = re.compile(r"(?:[a-fA-F0-9]{40}|[a-fA-F0-9]{64})")
-UUID = re.compile(r"[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[1-5][a-fA-F0-9]{3}-[89abAB][a-fA-F0-9]{3}-[a-fA-F0-9]{12}")
-TOKEN = re.compile(r"\b[A-Za-z0-9+/_=-]{32,160}\b", re.ASCII)
-ENTROPY_BITS = 4.3
-PLACEHOLDER = "[REDACTED:high-entropy]"
-
-
-def entropy_bits(token: str) -> float:
-    size = len(token)
-    return -sum(n / size * math.log2(n / size) for n in Counter(token).values())
-
-
-def looks_random(token: str) -> bool:
-    if PLAIN_HASH.fullmatch(token) or UUID.fullmatch(token) or "REDACTED" in token:
-        return False
-    if not re.search("[A-Za-z]", token) or not re.search("[0-9]", token):
-        return False
-    return entropy_bits(token) >= ENTROPY_BITS
-
-
-def hide_random(text: str | None) -> tuple[str | None, int]:
-    """The text with random-looking tokens replaced, and how many there were."""
-    if text is None:
-        return None, 0
-    hits = 0
-
-    def swap(match: re.Match) -> str:
-        nonlocal hits
-        if looks_random(match.group()):
-            hits += 1
-            return PLACEHOLDER
-        return match.group()
-
-    return TOKEN.sub(swap, text), hits
-
-
-def composed(text: str | None) -> str | None:
-    return None if text is None else unicodedata.normalize("NFC", text)
-
 
 def compose_batch(values: pd.Series) -> pd.Series:
-    return values.map(composed)
-
-
-def hide_batch(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([hide_random(v) for v in values], columns=["text", "hits"])
+    return values.map(lambda text: None if text is None else unicodedata.normalize("NFC", text))
