@@ -7,6 +7,7 @@ need it: every other row passes null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -148,20 +149,41 @@ def compose(text: Column) -> Column:
     return F.when(needs, _compose()(F.when(needs, text))).otherwise(text)
 
 
-def _with_rules(df: DataFrame, column: str, rules: list[Rule], counts: str | None = None) -> DataFrame:
-    """Apply the rules one after the other, one projection each.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it.
 
-    A rule runs only on rows that hold one of its literals. These are looked for in the
-    text as it was: what the rules insert can neither start nor complete a match.
+    Without it a chain of conditional steps would double in size at every step as soon
+    as the optimizer moves it, for instance into a filter.
     """
-    step = df.withColumns({"_plain": F.col(column), "_lower": F.lower(column)})
-    for i, rule in enumerate(rules):
-        text, possible = F.col(column), rule.possible(F.col("_plain"), F.col("_lower"))
-        made = {column: F.when(possible, F.regexp_replace(text, rule.java, rule.replacement)).otherwise(text)}
-        if counts:
-            made[f"{counts}{i}"] = F.when(possible, F.regexp_count(text, F.lit(rule.java))).otherwise(F.lit(0))
-        step = step.withColumns(made)
-    return step.drop("_plain", "_lower")
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _apply(text: Column, rules: list[Rule]) -> Column:
+    """The rules one after the other; a rule runs only on texts that hold one of its literals."""
+    def step(rule: Rule) -> Callable[[Column], Column]:
+        return lambda t: F.when(rule.possible(t, F.lower(t)), F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t)
+
+    for rule in rules:
+        text = _let(text, step(rule))
+    return text
+
+
+def _apply_counting(text: Column, rules: list[Rule]) -> Column:
+    """As ``_apply``, giving (text, counts); matches are counted on what earlier rules left."""
+    def step(rule: Rule) -> Callable[[Column], Column]:
+        def body(s: Column) -> Column:
+            possible = rule.possible(s["text"], F.lower(s["text"]))
+            return F.struct(
+                F.when(possible, F.regexp_replace(s["text"], rule.java, rule.replacement)).otherwise(s["text"]).alias("text"),
+                F.concat(s["counts"], F.array(F.when(possible, F.regexp_count(s["text"], F.lit(rule.java))).otherwise(F.lit(0)))).alias("counts"),
+            )
+
+        return body
+
+    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+    for rule in rules:
+        state = _let(state, step(rule))
+    return state
 
 
 def _scan_window(text: Column, limit: int) -> Column:
@@ -185,12 +207,12 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 
 def has_known_secret(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [_matches(text, rule) for rule in SECRET_RULES])
+    return _let(text, lambda t: reduce(lambda a, b: a | b, [_matches(t, rule) for rule in SECRET_RULES]))
 
 
 def _categories(text: Column, rules: list[Rule]) -> Column:
-    found = [F.when(_matches(text, rule), F.lit(rule.category)) for rule in rules]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    found = lambda t: F.array(*[F.when(_matches(t, rule), F.lit(rule.category)) for rule in rules])
+    return F.array_sort(F.array_distinct(F.array_compact(_let(text, found))))
 
 
 def known_secrets(text: Column) -> Column:
@@ -222,85 +244,89 @@ def looks_random(token: Column) -> Column:
     )
 
 
-def with_random_tokens_hidden(df: DataFrame, column: str, hits: str | None = None) -> DataFrame:
+def _swapped(text: Column) -> Column:
+    tokens = F.regexp_extract_all(text, F.lit(ENTROPY_TOKEN), F.lit(0))
+    return F.transform(tokens, lambda t: F.when(looks_random(t), F.lit(_mark("high-entropy"))).otherwise(t))
+
+
+def hide_random_tokens(text: Column) -> Column:
     """Replace random-looking tokens: the text is cut at the tokens and joined again.
 
     Texts without a token of that shape, nearly all, skip the array work.
     """
-    text = F.col(column)
-    swapped = F.transform("_tokens", lambda t: F.when(looks_random(t), F.lit(_mark("high-entropy"))).otherwise(t))
-    joined = F.array_join(F.flatten(F.zip_with("_pieces", F.concat("_swapped", F.array(F.lit(""))), lambda p, t: F.array(p, t))), "")
-    out = (
-        df.withColumn("_shaped", text.rlike(ENTROPY_TOKEN))
-        .withColumns(
-            {
-                "_tokens": F.when(F.col("_shaped"), F.regexp_extract_all(text, F.lit(ENTROPY_TOKEN), F.lit(0))),
-                "_pieces": F.when(F.col("_shaped"), F.split(text, ENTROPY_TOKEN, -1)),
-            }
-        )
-        .withColumn("_swapped", swapped)
-        .withColumn(column, F.when(F.col("_shaped"), joined).otherwise(text))
-    )
-    if hits:
-        count = F.size(F.filter("_swapped", lambda t: t == _mark("high-entropy")))
-        out = out.withColumn(hits, F.when(F.col("_shaped"), count).otherwise(F.lit(0)))
-    return out.drop("_shaped", "_tokens", "_pieces", "_swapped")
+    def body(t: Column) -> Column:
+        pieces = F.split(t, ENTROPY_TOKEN, -1)
+        pairs = F.zip_with(pieces, F.concat(_swapped(t), F.array(F.lit(""))), lambda p, x: F.array(p, x))
+        return F.when(t.rlike(ENTROPY_TOKEN), F.array_join(F.flatten(pairs), "")).otherwise(t)
+
+    return _let(text, body)
+
+
+def clean_metadata(scanned: Column, limit: int) -> Column:
+    """Redacted, single-field form of a composed scanner value; never empty."""
+    shown = _shown(hide_random_tokens(_apply(scanned, SECRET_RULES)))
+    return _let(shown, lambda t: F.when(t == "", F.lit("unknown")).otherwise(_cut(t, limit)))
 
 
 def with_clean_metadata(df: DataFrame, text: Column, out: str, limit: int = 160) -> DataFrame:
-    """``out``: redacted, single-field form of a scanner value; null stays null, never empty.
+    return df.withColumn(out, compose(_scan_window(text, limit))).withColumn(out, clean_metadata(F.col(out), limit))
 
-    Written as steps, so that each regular expression chain is evaluated once.
-    """
-    return (
-        with_random_tokens_hidden(_with_rules(df.withColumn(out, compose(_scan_window(text, limit))), out, SECRET_RULES), out)
-        .withColumn(out, _shown(F.col(out)))
-        .withColumn(out, F.when(F.col(out) == "", F.lit("unknown")).otherwise(_cut(F.col(out), limit)))
-    )
 
+def clean_excerpt(scanned: Column, limit: int) -> Column:
+    """Conversation text for an excerpt: null when a known secret occurs, locations replaced."""
+    def body(t: Column) -> Column:
+        shown = _shown(_apply(hide_random_tokens(t), LOCATION_RULES))
+        return F.when(~has_known_secret(t), _let(shown, lambda x: blank_to_null(_cut(x, limit))))
 
-def with_clean_excerpt(df: DataFrame, text: str, out: str, limit: int) -> DataFrame:
-    """Conversation text for an excerpt: null when a known secret occurs, locations replaced.
+    return _let(scanned, body)
 
-    Written as steps, so that each regular expression chain is evaluated once.
-    """
-    scanned = df.withColumn("_scan", compose(_scan_window(F.col(text), limit))).withColumn(
-        "_scan", F.when(~has_known_secret(F.col("_scan")), F.col("_scan"))
-    )
+
+def with_clean_excerpt(df: DataFrame, text: str, out: str, limit: int) -> DataFrame:
     return (
-        _with_rules(with_random_tokens_hidden(scanned, "_scan"), "_scan", LOCATION_RULES)
-        .withColumn("_scan", _shown(F.col("_scan")))
-        .withColumn(out, blank_to_null(_cut(F.col("_scan"), limit)))
+        df.withColumn("_scan", compose(_scan_window(F.col(text), limit)))
+        .withColumn(out, clean_excerpt(F.col("_scan"), limit))
         .drop("_scan")
     )
 
 
 def with_redaction_counts(df: DataFrame, text: str, limit: int) -> DataFrame:
-    """``clean`` text plus one count per category, for the redaction summary.
-
-    A rule's matches are counted on the text the rules before it left behind.
-    """
-    step = df.withColumn("_t", compose(_scan_window(F.col(text), limit))).withColumn(
-        "_long", F.length(text) > max(limit * 4, 4096)
-    )
-    step = _with_rules(step, "_t", SECRET_RULES, counts="_n")
-    counts = [(rule.category, f"_n{i}") for i, rule in enumerate(SECRET_RULES)]
-    step = with_random_tokens_hidden(step, "_t", "_ne")
-    step = step.withColumn("_nc", F.regexp_count("_t", F.lit(CONTROL)))
-    counts += [("high-entropy", "_ne"), ("control-character", "_nc")]
-    step = step.withColumn("_t", _shown(F.col("_t")))
-    categories: dict[str, Column] = {}
-    for category, name in counts:
-        categories[category] = categories[category] + F.col(name) if category in categories else F.col(name)
-    found = F.filter(
-        F.array(*[F.struct(F.lit(c).alias("category"), n.cast("long").alias("count")) for c, n in sorted(categories.items())]),
-        lambda item: item["count"] > 0,
+    """``clean`` text, whether it was cut, and the matches ``found`` per category."""
+    steps = (
+        df.withColumn("_scan", compose(_scan_window(F.col(text), limit)))
+        .withColumn("_s", _apply_counting(F.col("_scan"), SECRET_RULES))
+        .withColumn(
+            "_r",
+            _let(
+                F.col("_s"),
+                lambda s: F.struct(
+                    hide_random_tokens(s["text"]).alias("text"),
+                    F.concat(
+                        s["counts"],
+                        F.array(F.size(F.filter(_swapped(s["text"]), lambda t: t == _mark("high-entropy")))),
+                    ).alias("counts"),
+                ),
+            ),
+        )
+        .withColumn("_shown", _shown(F.col("_r.text")))
     )
-    return step.select(
+    names = [rule.category for rule in SECRET_RULES] + ["high-entropy", "control-character"]
+
+    def totals(counts: Column) -> Column:
+        per_category = [
+            F.struct(
+                F.lit(c).alias("category"),
+                reduce(lambda a, b: a + b, [counts[i] for i, n in enumerate(names) if n == c]).cast("long").alias("count"),
+            )
+            for c in sorted(set(names))
+        ]
+        return F.filter(F.array(*per_category), lambda item: item["count"] > 0)
+
+    counts = _let(F.col("_r"), lambda r: F.concat(r["counts"], F.array(F.regexp_count(r["text"], F.lit(CONTROL)))))
+    return steps.select(
         *[F.col(c) for c in df.columns],
-        F.when(F.col("_t") == "", F.lit("unknown")).otherwise(_cut(F.col("_t"), limit)).alias("clean"),
-        (F.col("_long") | (F.length("_t") > limit)).alias("truncated"),
-        found.alias("found"),
+        _let(F.col("_shown"), lambda t: F.when(t == "", F.lit("unknown")).otherwise(_cut(t, limit))).alias("clean"),
+        ((F.length(text) > max(limit * 4, 4096)) | (F.length("_shown") > limit)).alias("truncated"),
+        _let(counts, totals).alias("found"),
     )
 
 

@@ -15,6 +15,7 @@ from sessionloom.functions.redaction import with_clean_excerpt
 from sessionloom.functions.tables import constant_table
 from sessionloom.functions.text import iso, stable_id
 from sessionloom.operators.scan import CHUNK_ROWS, Carry, carry_last, chunk_of, ranked
+from sessionloom.session import materialize
 from sessionloom.schema import BLOB_PROVIDER, COUNTER_PROVIDER, RESPONSE_PROVIDER
 
 # Longest assistant text that counts as a decision, decisions per session.
@@ -275,10 +276,10 @@ def select_evidence(found: DataFrame, budget: Budget = BUDGETS["default"]) -> Se
     a later, smaller one may still fit. Only sizes and positions of the contenders reach
     the pass; the counters of everything else follow from the accepted rows by joins.
     """
-    cleaned = with_clean_excerpt(found, "text", "clean", budget.max_chars)
+    cleaned = materialize(with_clean_excerpt(found, "text", "clean", budget.max_chars).drop("text"))
     chosen = contenders(cleaned, budget).groupBy("repo_id").applyInPandas(_fold(budget), _CHOSEN)
     key = ["repo_id", "provider", "session_ref", "pos"]
-    excerpts = cleaned.drop("text").join(chosen, key).select(
+    excerpts = cleaned.join(chosen, key).select(
         "repo_id", stable_id("exc_", 20, F.col("session_ref"), F.col("role"), iso(F.col("occurred_at")), F.col("index")).alias("excerpt_id"),
         "provider", "session_ref", "occurred_at", "role", F.col("clean").alias("text"), "index",
     )
@@ -299,7 +300,7 @@ def select_evidence(found: DataFrame, budget: Budget = BUDGETS["default"]) -> Se
         .groupBy("repo_id", "provider").agg(F.count(F.lit(1)).alias("by_redaction"))
     )
     per_provider = (
-        found.groupBy("repo_id", "provider").agg(F.count(F.lit(1)).alias("candidates"))
+        cleaned.groupBy("repo_id", "provider").agg(F.count(F.lit(1)).alias("candidates"))
         .join(chosen.groupBy("repo_id", "provider").agg(F.count(F.lit(1)).alias("kept")), ["repo_id", "provider"], "left")
         .join(secret, ["repo_id", "provider"], "left")
         .na.fill(0)
