@@ -30,6 +30,14 @@ def read_lines(spark: SparkSession, roots: dict[str, str], pattern: str = "*.jso
     return every.select("source_id", "source_kind", (F.col("pos") + 1).cast("long").alias("ordinal"), line.alias("line")).filter(F.length("line") > 0)
 
 
+def read_documents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``(path, json, modified_at)`` of small whole documents, e.g. sidecars of child logs."""
+    return (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    )
+
+
 def raw_records(lines: DataFrame) -> DataFrame:
     """Lines that hold one JSON object of acceptable size, parsed once."""
     fits = F.octet_length("line") <= MAX_LINE_BYTES
