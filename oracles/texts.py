@@ -165,6 +165,14 @@ def recursive(sql: str, parts: str) -> str:
     return f"/*fold*/{parts}/*end*/{sql}"
 
 
+CTES["cl"] = """
+SELECT repo_id, p, concat('moments.', p, '.title') AS path, CASE WHEN p % 11 = 0 THEN '' ELSE concat('Session with ', turns, ' turns') END AS text,
+  CASE WHEN p % 13 = 0 THEN [] ELSE [ref, CASE WHEN p % 5 = 0 THEN 'S999' WHEN p % 7 = 0 THEN ref ELSE 'S01' END] END AS refs
+FROM (SELECT *, CAST(substr(ref, 2) AS INTEGER) AS p FROM cat WHERE ref LIKE 'S%')"""
+CTES["cl_ref"] = """
+SELECT *, EXISTS (SELECT 1 FROM cat WHERE cat.repo_id = x.rid AND cat.ref = x.r) AS known FROM (
+  SELECT repo_id, repo_id AS rid, p, path, refs, unnest(refs) AS r, generate_subscripts(refs, 1) AS i FROM cl) x"""
+
 _DEFAULT = selection(40, 600, 20000, 6, 3)
 _CLOUD = selection(80, 800, 60000, 8, 4)
 
@@ -215,4 +223,18 @@ SELECT i.repo_id, i.provider, count(*) AS candidates, count(*) FILTER (verdict =
   count(*) FILTER (verdict = 'budget') AS by_budget FROM fold f JOIN fold_in i USING (repo_id, step) GROUP BY 1, 2""",
         _CLOUD,
     ),
+    "claim_errors": """
+SELECT repo_id, CAST(number AS INTEGER) AS number, error FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY p, step) AS number FROM (
+    SELECT repo_id, p, 0 AS step, path || ' must contain at least 1 character.' AS error FROM cl WHERE text = ''
+    UNION ALL SELECT repo_id, p, 3, path || '.sourceRefs must contain at least one source reference.' FROM cl WHERE len(refs) = 0
+    UNION ALL SELECT repo_id, p, 9 + i, concat(path, '.sourceRefs[', i - 1, '] references unknown source ', r, '.') FROM cl_ref WHERE NOT known
+    UNION ALL SELECT repo_id, p, 9 + i, concat(path, '.sourceRefs[', i - 1, '] duplicates source ', r, '.') FROM cl_ref WHERE known AND list_position(refs, r) < i
+  )) WHERE number <= 20""",
+    "claim_repair": """
+SELECT c.repo_id, c.path, CASE WHEN c.text = '' THEN 'Observed session' ELSE c.text END AS text, coalesce(k.refs, 'S01') AS refs,
+  concat_ws(',', CASE WHEN c.text = '' THEN c.path END, CASE WHEN k.refs IS NULL THEN c.path || '.sourceRefs' END) AS fallbacks
+FROM cl c LEFT JOIN (
+  SELECT repo_id, path, string_agg(r, ',' ORDER BY i) AS refs FROM (SELECT repo_id, path, r, min(i) AS i FROM cl_ref WHERE known GROUP BY 1, 2, 3) GROUP BY 1, 2
+) k USING (repo_id, path)""",
 }

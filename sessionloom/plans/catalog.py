@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import redaction
 from sessionloom.functions.text import iso
+from sessionloom.operators import claims as claims_ops
 from sessionloom.operators import git as git_ops
 from sessionloom.operators import evidence, ledger, receipt, usage
 from sessionloom.operators import profile as profile_ops
@@ -17,6 +18,7 @@ from sessionloom.operators import timeline as timeline_ops
 from sessionloom.operators.pricing import price_epoch, price_lookup, price_responses
 from sessionloom.operators.scope import remote_identity as remote_identity_of
 from sessionloom.operators.scope import scope_directories
+from sessionloom.plans import report
 from sessionloom.plans.driver_layers import layers
 from sessionloom.schema import COUNTERS
 from sessionloom.sources import chat_blobs
@@ -429,3 +431,38 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.select_evidence(evidence.candidates(driver.conversation_events(spark, sf_dir)), evidence.BUDGETS["cloud"]).per_provider
+
+
+# Claims and report -----------------------------------------------------------------------------
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One claim per catalogued session: its own reference, and some unknown or repeated ones."""
+    p = F.substr("ref", F.lit(2)).cast("int")
+    second = F.when(p % 5 == 0, F.lit("S999")).when(p % 7 == 0, F.col("ref")).otherwise(F.lit("S01"))
+    rows = layers(spark, sf_dir).catalog.filter(F.col("ref") != "GIT")
+    return rows.select(
+        "repo_id", p.alias("position"), F.concat(F.lit("moments."), p.cast("string"), F.lit(".title")).alias("path"),
+        F.when(p % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("Session with "), F.col("turns").cast("string"), F.lit(" turns"))).alias("text"),
+        F.when(p % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("ref"), second)).alias("refs"),
+    )
+
+
+@query
+def claim_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims_ops.claim_errors(_claims(spark, sf_dir), layers(spark, sf_dir).catalog)
+
+
+@query
+def claim_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = _claims(spark, sf_dir)
+    defaults = claims.select("repo_id", "path", F.lit("Observed session").alias("text"), F.array(F.lit("S01")).alias("refs"))
+    rows = claims_ops.repair_claims(claims, defaults, layers(spark, sf_dir).catalog)
+    return rows.select("repo_id", "path", "text", _joined("refs"), _joined("fallbacks"))
+
+
+@query
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    names = built.inputs.repositories.select("repo_id", F.concat(F.lit("repo-"), F.col("repo_id").cast("string")).alias("display_name"))
+    return report.report_lines(built.totals, built.costs, built.git, built.windows, built.profiles, built.signals, names)

@@ -127,7 +127,7 @@ def test_selection_matches_the_plain_greedy_pass(spark, seed):
     df = spark.createDataFrame(found, "repo_id bigint, provider string, session_ref string, pos bigint, role string, text string").withColumn("occurred_at", F.timestamp_seconds(F.lit(0)))
     got = evidence.select_evidence(df, budget)
     audit = {r.repo_id: (r.candidates, r.kept, r.by_redaction, r.by_budget) for r in got.audit.collect()}
-    chosen = {(r.repo_id, r.index): (r.session_ref, r.text) for r in got.excerpts.collect()}
+    chosen = {(r["repo_id"], r["index"]): (r["session_ref"], r["text"]) for r in got.excerpts.collect()}
     for repo in (1, 2):
         rows = sorted((r for r in found if r[0] == repo), key=lambda r: (r[3], r[1], r[2]))
         chars, kept, red, taken, decided = 0, 0, 0, {}, {}
