@@ -438,7 +438,7 @@ def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per catalogued session: its own reference, and some unknown or repeated ones."""
-    p = F.substr("ref", F.lit(2)).cast("int")
+    p = F.substr("ref", F.lit(2)).try_cast("int")
     second = F.when(p % 5 == 0, F.lit("S999")).when(p % 7 == 0, F.col("ref")).otherwise(F.lit("S01"))
     rows = layers(spark, sf_dir).catalog.filter(F.col("ref") != "GIT")
     return rows.select(
