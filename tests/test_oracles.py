@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB statement."""
 
+import re
+
 import pytest
 from compare import compare, connect
 
@@ -7,6 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 SQL = oracle_sql()
+NAMES = sorted(n for n in queries() if not re.fullmatch(r"op\d+_.*|pipeline", n))  # those have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +17,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_duckdb(spark, con, name):
     if name not in SQL:
         assert queries()[name](spark, SF).count() >= 0
