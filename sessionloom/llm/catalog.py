@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import mixing, simhash
+from sessionloom.llm import hnsw, language, mixing, packing, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_hnsw": hnsw.op1_hnsw,
+    "op2_topk": topk.op2_topk,
+    "op3_language": language.op3_language,
+    "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_fair_mix": mixing.op8_fair_mix,
     "op10_simhash": simhash.op10_simhash,
 }
 
 SQL = {
+    "op1_hnsw": hnsw.OP1_SQL,
+    "op2_topk": topk.OP2_SQL,
     "op8_fair_mix": mixing.OP8_SQL,
 }
