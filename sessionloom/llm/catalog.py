@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import hnsw, language, mixing, packing, simhash, topk, toxicity
+from sessionloom.llm import extraction, hnsw, language, mixing, packing, simhash, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
     "op2_topk": topk.op2_topk,
     "op3_language": language.op3_language,
+    "op4_main_text": extraction.op4_main_text,
+    "op5_edit_counts": token_counts.op5_edit_counts,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fair_mix": mixing.op8_fair_mix,

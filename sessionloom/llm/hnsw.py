@@ -212,7 +212,7 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept for (vec_id, embedding, label) rows: cosine >= ``least`` within equal labels.
 
     Equal vectors of a label are one node with a count. A label's nodes are dealt to shards by hash; every

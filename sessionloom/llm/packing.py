@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,45 +17,76 @@ from sessionloom.llm.base import table
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
-_SEPARATOR = "<|endoftext|>"
+
+
+# The tokenizer's pre-tokens, spelled out for lower-case Latin-1 text.
+_LETTERS, _DIGITS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", " \t\n\x0b\x0c\r\x85\xa0"
+_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
 
 
 class WordEncoder:
-    """Ids of whole texts, with a bounded cache of words.
+    """Ids of whole texts, with bounded caches of words and pre-tokens.
 
-    A space or line break always ends a pre-token and leaves no id, so the words between
-    them can be encoded one by one. New words of a text are encoded in one call, parted
-    by a special token; words that hold special tokens themselves go alone.
+    Text is parted at spaces and line breaks, which always end a pre-token and leave no id.
+    A new word of Latin-1 text, which needs no normal form, is cut into pre-tokens by one pattern and these go straight
+    to the tokenizer's model; words of other text, and of text that may hold special tokens, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = 200_000) -> None:
+    def __init__(self, path: str, words: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), words, {}
-        self.cut = self.tokenizer.token_to_id(_SEPARATOR)
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        ids = np.array(self.tokenizer.encode(f" {_SEPARATOR} ".join(plain), add_special_tokens=False).ids, "<u4")
-        ends = np.append(np.nonzero(ids == self.cut)[0], len(ids)) if plain else []
-        at = 0
-        for word, end in zip(plain, ends):
-            self.cache[word] = ids[at:end].tobytes()
-            at = end + 1
-        for word in words:
-            if "<|" in word:
-                self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.words:
+                self.pieces.clear()
+            shown = piece if piece.isascii() and piece.isprintable() else "".join([_BYTES[b] for b in piece.encode()])
+            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
+
+    def _plain(self, word: str) -> bytes:
+        return b"".join(map(self._piece, _PRETOKEN.findall(word)))
+
+    def _other(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, words: list[str], cache: dict[str, bytes], learn: Callable[[str], bytes]) -> np.ndarray:
+        out = list(map(cache.get, words))
+        if None in out:
+            if len(cache) + out.count(None) > self.words:
+                cache.clear()
+            for i, known in enumerate(out):
+                if known is None:
+                    word = words[i]
+                    if word not in cache:
+                        cache[word] = learn(word)
+                    out[i] = cache[word]
+        return np.frombuffer(b"".join(out), "<u4")
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        missing = sorted(set(words).difference(self.cache))
-        if missing:
-            if len(self.cache) + len(missing) > self.words:
-                self.cache.clear()
-                missing = sorted(set(words))
-            for i in range(0, len(missing), 4096):
-                self._learn(missing[i : i + 4096])
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+        try:
+            text.encode("latin-1")
+            plain = "<|" not in text
+        except UnicodeEncodeError:
+            plain = False
+        words = (text.lower() if plain else text).replace("\n", " ").split(" ")
+        return self._ids(words, self.plain, self._plain) if plain else self._ids(words, self.other, self._other)
 
 
 @dataclass
