@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import extraction, hnsw, language, mixing, packing, simhash, token_counts, topk, toxicity
+from sessionloom.llm import extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fair_mix": mixing.op8_fair_mix,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
