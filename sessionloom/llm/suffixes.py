@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_piec
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 for every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_text (without letters cut in half), kept_sha256 (of all remaining bytes) for every document.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id or
     earlier in its own. Null text counts as empty and stays empty. A null id comes before all others. Rows with the same id are ordered by a
@@ -246,7 +246,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     spans = stash(repeated_spans(rows, length))
     per_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["version"] == per_doc["version"]), "left").select(rows["doc_id"], "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,15 +261,15 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                     runs = list(zip(start[new].tolist(), reach[np.append(new[1:], True)].tolist()))
                 ends = [0, *(e for _, e in runs)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(raw)]))
-                for col, value in zip(cols, (len(raw), len(raw) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest())):
+                for col, value in zip(cols, (len(raw), len(raw) - len(kept), len(runs), kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest())):
                     col.append(value)
-            types = [pa.int64()] * 3 + [pa.binary(), pa.string()]
+            types = [pa.int64()] * 3 + [pa.string()] * 2
             return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names)
 
         return step
 
-    return joined.mapInArrow(per_batch(make), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(per_batch(make), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sessionloom.llm.base import id_fold, per_batch, table
 
@@ -111,28 +112,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, epochs: in
     return np.array([r["feature"] for r in got], np.int64), np.array([r["weight"] for r in got])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
     """doc_id, score: probability of label 1 for every whole text; 0 without a model.
 
-    Null text is scored as empty text: by the intercept alone. Ids may be null or repeat; other columns are ignored.
+    With ``keep``, those columns and ``__score`` instead, row by row. Null text is scored as empty text: by the
+    intercept alone. Ids may be null or repeat; other columns are ignored.
     """
     at, w = model
-    kind = dict(docs.dtypes)["doc_id"]
+    keep = ["doc_id"] if keep is None else keep
+    name = "score" if keep == ["doc_id"] else "__score"
+    wanted = docs.select(*keep, F.col("text").alias("__text"))
 
     def make():
         features, dense = Features(bits), np.zeros((1 << bits) + 1, np.float32)
         dense[at] = w
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(batch.num_columns - 1)
             if len(at):
-                out = [sigmoid(float(dense[features(t.as_py() or "")].sum(dtype=np.float64)) + float(dense[-1])) for t in batch.column(1)]
+                out = [sigmoid(float(dense[features(t.as_py() or "")].sum(dtype=np.float64)) + float(dense[-1])) for t in texts]
             else:
                 out = [0.0] * batch.num_rows
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*keep, name])
 
         return step
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(make), f"doc_id {kind}, score double")
+    schema = StructType([*wanted.schema.fields[:-1], StructField(name, DoubleType())])
+    return wanted.mapInArrow(per_batch(make), schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
