@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_piec
     different runs is spread window by window.
     """
     rows = _anchor_rows(docs, length, gram)
-    often = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    often = stash(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # on its own, so that a crowded gram's rows can be split
     runs = stash(rows.join(often, "gram", "left_semi"))
     place = F.struct("doc_id", "version", "start")
     kinds = stash(runs.groupBy("gram", "content").agg(F.min(place).alias("first"), F.first("windows").alias("windows")))
