@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.base import per_batch, stash, table
+from sessionloom.llm.base import drop_stash, per_batch, stash, table
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 16
@@ -231,7 +231,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_piec
         return pa.table([ids.take(at), group.column("version").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=schema)
 
     found = pieces.groupBy("task").applyInArrow(sort_suffixes, "doc_id long, version long, start int, end int")
-    return copies.unionByName(found)
+    out = copies.unionByName(found)
+    out._temporary = (often, runs, kinds)
+    return out
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -243,7 +245,9 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = stash(repeated_spans(rows, length))
+    found = repeated_spans(rows, length)
+    spans = stash(found)
+    drop_stash(*found._temporary)
     per_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["version"] == per_doc["version"]), "left").select(rows["doc_id"], "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"]
