@@ -201,7 +201,7 @@ FROM r1 JOIN r_logs l USING (source_id) WHERE rec_type = 'user' AND child_id IS
     "r_facts": f"""
 SELECT source_id, count(*) FILTER (NOT side AND has_text) AS assistant_messages,
   arg_max(stop_reason, {iso('ts')} || lpad(ordinal::VARCHAR, 20, '0') || key) FILTER (NOT side AND stop_reason IS NOT NULL) AS last_stop,
-  coalesce(sum(len(tools)) FILTER (NOT side), 0) AS tool_calls,
+  coalesce(sum(len(list_filter(tools, lambda t: NOT starts_with(t, 'Agent:') AND NOT ends_with(t, ' (subagent)')))) FILTER (NOT side), 0) AS tool_calls,
   arg_min(ordinal, {iso('ts')} || lpad(ordinal::VARCHAR, 20, '0')) FILTER (NOT side AND len(tools) > 0) AS tool_ordinal,
   min(ts) FILTER (NOT side AND len(tools) > 0) AS tool_at, {sums('a_')}
 FROM r_ledger GROUP BY 1""",

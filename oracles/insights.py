@@ -249,9 +249,15 @@ FROM tot t LEFT JOIN cr USING (repo_id)""",
     "reasoned_narrative": """
 SELECT repo_id, section, CAST(position AS INTEGER) AS position, text FROM arch JOIN sc USING (repo_id) JOIN wp USING (repo_id), LATERAL (VALUES
   ('headline', 0, archetype || ': a builder profile'),
+  ('narrative', 0, concat('The measured profile reads as ', archetype, '. The strongest observed signals are planning ', planning, ', steering ', steering, ', execution ', execution,
+    ', engineering ', engineering, ', productInstinct ', product_instinct, '. This is a metrics-backed pattern, not a personality diagnosis; the qualitative story depends on the source excerpts when they are available.')),
   ('turningPoint', 0, 'The clearest measured pattern is ' || rationale),
   ('learnings', 0, 'Primary model: ' || coalesce(primary_model, 'no primary model recorded') || '.'),
   ('learnings', 1, 'Most active hours: ' || array_to_string(list_transform(peak_hours, lambda h: lpad(h::VARCHAR, 2, '0') || ':00'), ', ') || ' ' || timezone_label || '.'),
   ('learnings', 2, 'Median session length: ' || median_minutes || ' minutes.'),
-  ('standoutTraits', 0, archetype || ' is the closest rule-based archetype for this scan window.')) v(section, position, text)""",
+  ('decisionPatterns', 0, 'Plans, exploratory work, and delivery activity were compared as aggregate signals rather than inferred intent.'),
+  ('standoutTraits', 0, archetype || ' is the closest rule-based archetype for this scan window.'),
+  ('standoutTraits', 1, concat('The strongest score signal is ', CASE greatest(planning, steering, execution, engineering, product_instinct)
+    WHEN planning THEN 'planning' WHEN steering THEN 'steering' WHEN execution THEN 'execution' WHEN engineering THEN 'engineering' ELSE 'productInstinct' END, '.')),
+  ('growthEdge', 0, 'Use this profile as a prompt for reflection, not as a verdict; the product-instinct score is especially provisional.')) v(section, position, text)""",
 }

@@ -65,27 +65,27 @@ def found(rules, text: str) -> str:
     return f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{pairs}], lambda x: x IS NOT NULL))), ','), '')"
 
 
-def metadata(limit: int) -> str:
-    start = f"SELECT doc_id, repo_id, nfc_normalize(left(text, {max(4 * limit, 4096)})) AS t, length(text) > {max(4 * limit, 4096)} AS long FROM dt"
+def metadata() -> str:
+    start = "SELECT doc_id, repo_id, nfc_normalize(text) AS t FROM dt"
     steps = chain(SECRET_RULES, "t", start, count=True)
     steps = f"SELECT * REPLACE ({hide_random('t')} AS t), len({TOKENS.format(t='t')}) AS ne FROM ({steps})"
     steps = f"SELECT *, len(regexp_extract_all(t, {q(CONTROL)})) AS nc, {trimmed('t')} AS shown FROM ({steps})"
     return steps
 
 
-def summary(limit: int) -> str:
+def summary() -> str:
     by_category: dict[str, list[str]] = {}
     for i, rule in enumerate(SECRET_RULES):
         by_category.setdefault(rule.category, []).append(f"n{i}")
     by_category |= {"high-entropy": ["ne"], "control-character": ["nc"]}
     rows = ", ".join(f"('{c}', {' + '.join(n)})" for c, n in by_category.items())
-    return f"SELECT repo_id, category, CAST(sum(n) AS BIGINT) AS findings FROM ({metadata(limit)}), LATERAL (VALUES {rows}) v(category, n) WHERE n > 0 GROUP BY ALL"
+    return f"SELECT repo_id, category, CAST(sum(n) AS BIGINT) AS findings FROM ({metadata()}), LATERAL (VALUES {rows}) v(category, n) WHERE n > 0 GROUP BY ALL"
 
 
 def excerpt(source: str, limit: int) -> str:
     """``clean`` from column ``text`` of ``source``; null if a secret is found."""
     hit = " OR ".join(f"regexp_matches(t, {pattern(r)})" for r in SECRET_RULES)
-    start = f"SELECT *, nfc_normalize(left(text, {max(4 * limit, 4096)})) AS t FROM {source}"
+    start = f"SELECT *, nfc_normalize(text) AS t FROM {source}"
     start = f"SELECT * REPLACE (CASE WHEN NOT ({hit}) THEN {hide_random('t')} END AS t) FROM ({start})"
     steps = chain(LOCATION_RULES, "t", start)
     shown = f"SELECT *, {trimmed('t')} AS shown FROM ({steps})"
@@ -108,6 +108,9 @@ SELECT repo_id, session_ref, code, severity, message FROM (
   (status = 'incomplete' AND source_kind = 'active', 'SESSION_ACTIVE_AT_SCAN_END', 'info', 'An active ' || label || ' session had no completion marker at the observed boundary.')
 ) v(holds, code, severity, message) WHERE holds
 UNION ALL
+SELECT DISTINCT p.repo, NULL, 'SESSION_MODEL_UNKNOWN', 'info', 'No model identifier was present in an assistant message.' FROM r1 m JOIN r_place p USING (source_id) JOIN repos r ON r.repo_id = p.repo
+WHERE m.child_id IS NULL AND m.rec_type = 'assistant' AND m.has_message AND NOT coalesce(m.is_sidechain, false) AND coalesce(m.model, '') = '' AND m.ordinal >= p.scope_ordinal
+UNION ALL
 SELECT repo_id, NULL, 'CURSOR_ROOT_UNAVAILABLE', 'info', 'Cursor''s local workspace storage directory was not found; treated as not installed.' FROM repos""".replace(
             "c.source_id = s.source_id AND c.repo = s.repo_id", "c.source_id = source_id_ AND c.repo = repo_id_"
         ).replace("SELECT s.*, coalesce", "SELECT s.*, s.source_id AS source_id_, s.repo_id AS repo_id_, coalesce"),
@@ -130,8 +133,7 @@ SELECT *, row_number() OVER (PARTITION BY session_ref ORDER BY o) AS u_first, ro
 SELECT repo_id, provider, session_ref, o, ts, text, 0 AS stage, 'session-title' AS role FROM cv1 WHERE sig = 'title' QUALIFY row_number() OVER (PARTITION BY session_ref ORDER BY o) = 1
 UNION ALL SELECT repo_id, provider, session_ref, o, ts, text, 1, 'user-intent' FROM cv3 WHERE u_first = 1
 UNION ALL SELECT repo_id, provider, session_ref, o, ts, text, 2, 'plan-transition' FROM cv3 WHERE provider = 'claude-code' AND mode <> mode_before
-UNION ALL SELECT repo_id, provider, session_ref, o, ts, text, 2, 'assistant-decision' FROM cv2 WHERE sig = 'A' AND (provider = 'cursor' OR next_sig = 'T')
-  QUALIFY row_number() OVER (PARTITION BY session_ref ORDER BY o) <= 3""",
+UNION ALL SELECT repo_id, provider, session_ref, o, ts, text, 2, 'assistant-decision' FROM cv2 WHERE sig = 'A' AND (provider = 'cursor' OR next_sig = 'T')""",
         "cv5": """
 SELECT * FROM cv4 UNION ALL SELECT repo_id, provider, session_ref, o, ts, text, 3, 'outcome' FROM cv3 u
 WHERE u_last = 1 AND NOT EXISTS (SELECT 1 FROM cv4 c WHERE c.session_ref = u.session_ref AND c.text = u.text)""",
@@ -191,8 +193,8 @@ SELECT r.repo_id, CAST(a.position AS INTEGER) AS position, a.text FROM (SELECT D
 WHERE a.needs IS NULL OR EXISTS (SELECT 1 FROM s_in s WHERE s.repo_id = r.repo_id AND s.provider = a.needs)""",
     "redact_metadata": f"""
 SELECT doc_id, CASE WHEN shown = '' THEN 'unknown' WHEN length(shown) > 1000 THEN left(shown, 999) || '…' ELSE shown END AS clean,
-  long OR length(shown) > 1000 AS truncated FROM ({metadata(1000)})""",
-    "redaction_summary": summary(5000),
+  length(shown) > 1000 AS truncated FROM ({metadata()})""",
+    "redaction_summary": summary(),
     "redact_excerpt": f"SELECT doc_id, clean FROM ({excerpt('dt', 2000)})",
     "known_secrets": f"SELECT doc_id, {found(SECRET_RULES, 'text')} AS categories FROM dt",
     "private_locations": f"SELECT doc_id, {found(LOCATION_RULES, 'text')} AS categories FROM dt",
@@ -201,7 +203,7 @@ SELECT repo_id, count(*) AS rows, count(*) FILTER (secret <> '' OR place <> '')
   count(*) FILTER (secret <> '' OR place <> '') = 0 AS passed
 FROM (SELECT repo_id, {found(SECRET_RULES, 'text')} AS secret, {found(LOCATION_RULES, 'text')} AS place FROM dt) GROUP BY 1""",
     "remote_identity": """
-SELECT page_id, host, path, concat('sha256:', sha256(CASE WHEN host IS NOT NULL THEN concat(host, '/', path) ELSE concat('/repo/', page_id) END)) AS fingerprint,
+SELECT page_id, concat('sha256:', sha256(CASE WHEN host IS NOT NULL THEN concat(host, '/', path) ELSE concat('/repo/', page_id) END)) AS fingerprint,
   CASE WHEN host IS NOT NULL THEN 'canonical-remote' ELSE 'local-path' END AS fingerprint_basis, CASE WHEN host IS NOT NULL THEN concat('sha256:', sha256(path)) END AS path_hash
 FROM (
   SELECT page_id, CASE WHEN ok THEN lower(regexp_extract(url, '^(?:[^@/\\s]+@)?([^:/\\s]+):(.+)$', 1)) END AS host,
@@ -209,7 +211,7 @@ FROM (
   FROM (SELECT page_id, trim(url) AS url, regexp_matches(trim(url), '^(?:[^@/\\s]+@)?([^:/\\s]+):(.+)$') AND NOT regexp_matches(trim(url), '^[A-Za-z]:[\\\\/]') AS ok FROM pages))""",
     "blob_messages": """
 SELECT CAST(conv_id AS VARCHAR) AS workspace, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text
-FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' AND conv_id % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2000""",
+FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' AND conv_id % 4 <> 3""",
     "excerpt_candidates": f"SELECT repo_id, provider, session_ref, pos, role, {iso('ts')} AS occurred_at, text FROM cand",
     "evidence_selection": recursive(
         f"""
@@ -230,7 +232,7 @@ SELECT repo_id, CAST(number AS INTEGER) AS number, error FROM (
     UNION ALL SELECT repo_id, p, 3, path || '.sourceRefs must contain at least one source reference.' FROM cl WHERE len(refs) = 0
     UNION ALL SELECT repo_id, p, 9 + i, concat(path, '.sourceRefs[', i - 1, '] references unknown source ', r, '.') FROM cl_ref WHERE NOT known
     UNION ALL SELECT repo_id, p, 9 + i, concat(path, '.sourceRefs[', i - 1, '] duplicates source ', r, '.') FROM cl_ref WHERE known AND list_position(refs, r) < i
-  )) WHERE number <= 20""",
+  ))""",
     "claim_repair": """
 SELECT c.repo_id, c.path, CASE WHEN c.text = '' THEN 'Observed session' ELSE c.text END AS text, coalesce(k.refs, 'S01') AS refs,
   concat_ws(',', CASE WHEN c.text = '' THEN c.path END, CASE WHEN k.refs IS NULL THEN c.path || '.sourceRefs' END) AS fallbacks

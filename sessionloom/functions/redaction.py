@@ -158,10 +158,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
+def _lowered(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of a text and its lower case, each computed once for all literals of all rules."""
+    return _let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda s: body(s["text"], s["low"]))
+
+
+def _when_possible(text: Column, rule: Rule, body: Callable[[Column], Column], otherwise: Column) -> Column:
+    """``body`` of whether the rule's literals occur; only rules that ignore case pay for the lower case."""
+    if not rule.ignore_case:
+        return F.when(rule.possible(text, text), body(text)).otherwise(otherwise)
+    return F.when(_let(F.lower(text), lambda low: rule.possible(text, low)), body(text)).otherwise(otherwise)
+
+
 def _apply(text: Column, rules: list[Rule]) -> Column:
     """The rules one after the other; a rule runs only on texts that hold one of its literals."""
     def step(rule: Rule) -> Callable[[Column], Column]:
-        return lambda t: F.when(rule.possible(t, F.lower(t)), F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t)
+        return lambda t: _when_possible(t, rule, lambda x: F.regexp_replace(x, rule.java, rule.replacement), t)
 
     for rule in rules:
         text = _let(text, step(rule))
@@ -172,11 +184,12 @@ def _apply_counting(text: Column, rules: list[Rule]) -> Column:
     """As ``_apply``, giving (text, counts); matches are counted on what earlier rules left."""
     def step(rule: Rule) -> Callable[[Column], Column]:
         def body(s: Column) -> Column:
-            possible = rule.possible(s["text"], F.lower(s["text"]))
-            return F.struct(
-                F.when(possible, F.regexp_replace(s["text"], rule.java, rule.replacement)).otherwise(s["text"]).alias("text"),
-                F.concat(s["counts"], F.array(F.when(possible, F.regexp_count(s["text"], F.lit(rule.java))).otherwise(F.lit(0)))).alias("counts"),
+            t, counts = s["text"], s["counts"]
+            changed = lambda x: F.struct(
+                F.regexp_replace(x, rule.java, rule.replacement).alias("text"),
+                F.concat(counts, F.array(F.regexp_count(x, F.lit(rule.java)))).alias("counts"),
             )
+            return _when_possible(t, rule, changed, F.struct(t.alias("text"), F.concat(counts, F.array(F.lit(0))).alias("counts")))
 
         return body
 
@@ -186,11 +199,6 @@ def _apply_counting(text: Column, rules: list[Rule]) -> Column:
     return state
 
 
-def _scan_window(text: Column, limit: int) -> Column:
-    """The part of a value that can still reach the output of a ``limit`` character field."""
-    return F.left(text, F.lit(max(limit * 4, 4096)))
-
-
 def _shown(text: Column) -> Column:
     return trim_all(F.regexp_replace(text, CONTROL, ""))
 
@@ -202,17 +210,17 @@ def _cut(text: Column, limit: int) -> Column:
 # Columns -------------------------------------------------------------------------
 
 
-def _matches(text: Column, rule: Rule) -> Column:
-    return rule.possible(text, F.lower(text)) & text.rlike(rule.java)
+def _matches(text: Column, lowered: Column, rule: Rule) -> Column:
+    return rule.possible(text, lowered) & text.rlike(rule.java)
 
 
 def has_known_secret(text: Column) -> Column:
-    return _let(text, lambda t: reduce(lambda a, b: a | b, [_matches(t, rule) for rule in SECRET_RULES]))
+    return _lowered(text, lambda t, low: reduce(lambda a, b: a | b, [_matches(t, low, rule) for rule in SECRET_RULES]))
 
 
 def _categories(text: Column, rules: list[Rule]) -> Column:
-    found = lambda t: F.array(*[F.when(_matches(t, rule), F.lit(rule.category)) for rule in rules])
-    return F.array_sort(F.array_distinct(F.array_compact(_let(text, found))))
+    found = lambda t, low: F.array(*[F.when(_matches(t, low, rule), F.lit(rule.category)) for rule in rules])
+    return F.array_sort(F.array_distinct(F.array_compact(_lowered(text, found))))
 
 
 def known_secrets(text: Column) -> Column:
@@ -263,13 +271,13 @@ def hide_random_tokens(text: Column) -> Column:
 
 
 def clean_metadata(scanned: Column, limit: int) -> Column:
-    """Redacted, single-field form of a composed scanner value; never empty."""
+    """Redacted, single-field form of a whole composed scanner value; never empty."""
     shown = _shown(hide_random_tokens(_apply(scanned, SECRET_RULES)))
     return _let(shown, lambda t: F.when(t == "", F.lit("unknown")).otherwise(_cut(t, limit)))
 
 
 def with_clean_metadata(df: DataFrame, text: Column, out: str, limit: int = 160) -> DataFrame:
-    return df.withColumn(out, compose(_scan_window(text, limit))).withColumn(out, clean_metadata(F.col(out), limit))
+    return df.withColumn(out, compose(text)).withColumn(out, clean_metadata(F.col(out), limit))
 
 
 def clean_excerpt(scanned: Column, limit: int) -> Column:
@@ -283,7 +291,7 @@ def clean_excerpt(scanned: Column, limit: int) -> Column:
 
 def with_clean_excerpt(df: DataFrame, text: str, out: str, limit: int) -> DataFrame:
     return (
-        df.withColumn("_scan", compose(_scan_window(F.col(text), limit)))
+        df.withColumn("_scan", compose(F.col(text)))
         .withColumn(out, clean_excerpt(F.col("_scan"), limit))
         .drop("_scan")
     )
@@ -292,7 +300,7 @@ def with_clean_excerpt(df: DataFrame, text: str, out: str, limit: int) -> DataFr
 def with_redaction_counts(df: DataFrame, text: str, limit: int) -> DataFrame:
     """``clean`` text, whether it was cut, and the matches ``found`` per category."""
     steps = (
-        df.withColumn("_scan", compose(_scan_window(F.col(text), limit)))
+        df.withColumn("_scan", compose(F.col(text)))
         .withColumn("_s", _apply_counting(F.col("_scan"), SECRET_RULES))
         .withColumn(
             "_r",
@@ -325,7 +333,7 @@ def with_redaction_counts(df: DataFrame, text: str, limit: int) -> DataFrame:
     return steps.select(
         *[F.col(c) for c in df.columns],
         _let(F.col("_shown"), lambda t: F.when(t == "", F.lit("unknown")).otherwise(_cut(t, limit))).alias("clean"),
-        ((F.length(text) > max(limit * 4, 4096)) | (F.length("_shown") > limit)).alias("truncated"),
+        (F.length("_shown") > limit).alias("truncated"),
         _let(counts, totals).alias("found"),
     )
 

@@ -44,6 +44,7 @@ def blank_to_null(value: Column) -> Column:
 
 
 def clean_identifier(value: Column, limit: int = 160) -> Column:
+    """``value`` is composed first (``redaction.compose``)."""
     dashed = F.regexp_replace(trim_all(value), "[^A-Za-z0-9_-]+", "-")
     edged = F.regexp_replace(F.regexp_replace(dashed, "^-+", ""), "-+\\z", "")
     return F.coalesce(blank_to_null(F.left(edged, F.lit(limit))), F.lit("unknown"))
@@ -86,10 +87,9 @@ def usd(micro: Column) -> Column:
     )
 
 
-def ellipsis(value: Column, limit: int) -> Column:
-    return F.when(F.length(value) <= limit, value).otherwise(
-        F.concat(F.left(value, F.lit(max(1, limit - 1))), F.lit("…"))
-    )
+def ellipsis(value: Column, limit: Column | int) -> Column:
+    most = limit if isinstance(limit, Column) else F.lit(limit)
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.left(value, F.greatest(F.lit(1), most - 1)), F.lit("…")))
 
 
 def hour_label(hour: Column) -> Column:

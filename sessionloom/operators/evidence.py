@@ -18,9 +18,8 @@ from sessionloom.operators.scan import CHUNK_ROWS, Carry, carry_last, chunk_of,
 from sessionloom.session import materialize
 from sessionloom.schema import BLOB_PROVIDER, COUNTER_PROVIDER, RESPONSE_PROVIDER
 
-# Longest assistant text that counts as a decision, decisions per session.
+# Fixed value: longest assistant text that counts as a decision.
 DECISION_CHARS = 600
-MAX_DECISIONS = 3
 
 
 @dataclass(frozen=True)
@@ -60,7 +59,7 @@ def local_budget(memory_gib: float, cpus: int) -> Budget:
 # Common conversation events -----------------------------------------------------------
 
 EVENT_COLUMNS = ["repo_id", "provider", "session_ref", "ordinal", "occurred_at", "role", "text", "event_kind", "permission_mode", "tool_name"]
-_SLOTS = 4096  # events one record can give, in order
+_SLOTS = 1 << 31  # places for the events of one record: no array is longer
 
 
 def _owned(records: DataFrame, sessions: DataFrame, provider: str) -> DataFrame:
@@ -75,7 +74,7 @@ def response_events(records: DataFrame, sessions: DataFrame) -> DataFrame:
     kind = F.col("rec_type")
     none = F.lit(None).cast("string")
     event = lambda slot, role, text, what, mode, tool: F.struct(
-        (F.col("ordinal") * _SLOTS + slot).alias("ordinal"), F.lit(role).alias("role"), text.alias("text"),
+        (F.col("ordinal") * _SLOTS + slot.cast("long")).alias("ordinal"), F.lit(role).alias("role"), text.alias("text"),
         F.lit(what).alias("event_kind"), mode.alias("permission_mode"), tool.alias("tool_name"),
     )
     text = F.when(F.length("text") > 0, F.col("text"))
@@ -141,14 +140,23 @@ def blob_events(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 _USER, _TEXT, _TOOL = 1, 2, 3
 
 
-def candidates(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def record_chunk(chunk_rows: int = CHUNK_ROWS) -> Column:
+    """Chunk of events made by the functions above: by the record they come from."""
+    record = F.when(F.col("provider") == RESPONSE_PROVIDER, F.call_function("div", F.col("ordinal"), F.lit(_SLOTS))).otherwise(F.col("ordinal"))
+    return chunk_of(record, chunk_rows)
+
+
+def candidates(events: DataFrame, chunk: Column | None = None, max_decisions: int | None = None) -> DataFrame:
     """Ranked excerpt candidates of every session.
 
     ``pos`` counts them within a session: title, first user text, turning points in
     order of events, last user text unless the same text is listed already. Turning
     points are changes of the permission mode and short assistant texts directly
-    followed by a changing tool call; the providers differ in which tools count.
+    followed by a changing tool call; the providers differ in which tools count. Every
+    such text is a candidate unless the caller limits them per session. ``chunk`` must
+    not fall as ``ordinal`` rises.
     """
+    chunk = chunk_of(F.col("ordinal"), CHUNK_ROWS) if chunk is None else chunk
     key = ["repo_id", "provider", "session_ref"]
     provider, kind = F.col("provider"), F.col("event_kind")
     user = (F.col("role") == "user") & (kind == "message") & F.col("text").isNotNull()
@@ -167,7 +175,7 @@ def candidates(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
             "_title_before": Carry(F.when(title, F.lit(True)), inclusive=False),
             "_mode_before": Carry(F.when(user, F.col("permission_mode")), inclusive=False),
         },
-        chunk_of(F.col("ordinal"), chunk_rows),
+        chunk,
     )
     decided = F.when(provider == BLOB_PROVIDER, short).otherwise(short & (F.col("_next") == _TOOL))
     changed = user & (provider == RESPONSE_PROVIDER) & (F.col("permission_mode") != F.col("_mode_before"))
@@ -182,15 +190,12 @@ def candidates(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         )
     )
     found = seen.select(*key, "ordinal", "occurred_at", "text", F.explode(roles).alias("r")).select(*key, "ordinal", "occurred_at", "text", "r.*")
-    # The first three decisions: the limit is applied before rows leave their task.
-    first = Window.partitionBy(*key).orderBy("ordinal")
-    decisions = found.filter(F.col("role") == "assistant-decision").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= MAX_DECISIONS).drop("_n")
+    decisions = found.filter(F.col("role") == "assistant-decision")
+    if max_decisions is not None:
+        decisions = ranked(decisions, key, chunk, [F.col("ordinal")], "_n").filter(F.col("_n") <= max_decisions).drop("_n")
     listed = found.filter(~F.col("role").isin("assistant-decision", "outcome")).unionByName(decisions)
     closing = found.filter(F.col("role") == "outcome").join(listed.select(*key, "text").distinct(), [*key, "text"], "left_anti")
-    stage = F.col("stage").cast("long")
-    numbered = ranked(
-        listed.unionByName(closing), key, stage * (1 << 44) + chunk_of(F.col("ordinal"), chunk_rows), [F.col("stage"), F.col("ordinal")], "pos"
-    )
+    numbered = ranked(listed.unionByName(closing), key, F.struct("stage", chunk.alias("chunk")), [F.col("stage"), F.col("ordinal")], "pos")
     return numbered.select("repo_id", "provider", "session_ref", (F.col("pos") - 1).alias("pos"), "role", "occurred_at", "ordinal", "text")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.numbers import MAX_SAFE_INTEGER, clamp_safe
+from sessionloom.functions.redaction import compose
 from sessionloom.functions.text import blank_to_null, clean_identifier, trim_all
 
 # Two-letter status codes of unmerged paths.
@@ -78,7 +79,7 @@ def attribution(stats: DataFrame, column: str = "json") -> tuple[DataFrame, Data
     tool = F.when(cut > 0, F.left("key", cut - 1)).otherwise(F.col("key"))
     model = F.when(cut > 0, F.substr("key", cut + 1)).otherwise(F.lit("unknown"))
     return totals, rows.select(
-        "repo_id", clean_identifier(tool, 80).alias("tool"), clean_identifier(model, 120).alias("model"),
+        "repo_id", clean_identifier(compose(tool), 80).alias("tool"), clean_identifier(compose(model), 120).alias("model"),
         _whole(F.col("v.ai_additions")).alias("ai_additions"), _whole(F.col("v.ai_accepted")).alias("ai_accepted"),
     )
 

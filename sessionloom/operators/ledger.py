@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import blank_to_null
+from sessionloom.functions.text import blank_to_null, trim_all
 from sessionloom.operators.pricing import PRICE_TABLE, default_price_time, is_long_context, price_epoch
 from sessionloom.operators.scan import CHUNK_ROWS, Carry, carry_last, chunk_of, pack, pack_reversed
 from sessionloom.schema import CORE, COUNTERS, OPTIONAL, USAGE
@@ -240,7 +240,7 @@ def response_ledger(records: DataFrame, scope: DataFrame | None = None) -> DataF
         winners.join(started, "source_id")
         .filter(F.col("child_id").isNotNull() | (F.col("copy_ordinal") >= F.col("scope_ordinal")))
         .drop("scope_ordinal")
-        .filter(~F.coalesce(F.lower(F.trim("model")) == "<synthetic>", F.lit(False)))
+        .filter(~F.coalesce(F.lower(trim_all(F.col("model"))) == "<synthetic>", F.lit(False)))
         .withColumn("model", F.coalesce(blank_to_null(F.col("model")), F.lit(UNKNOWN_MODEL)))
     )
 
@@ -285,6 +285,16 @@ def user_turns(records: DataFrame, scope: DataFrame) -> DataFrame:
     )
 
 
+def without_model(records: DataFrame, scope: DataFrame) -> DataFrame:
+    """Logs with an assistant message of the main chain that names no model."""
+    kind, side = F.col("rec_type"), F.coalesce("is_sidechain", F.lit(False))
+    silent = records.filter(
+        F.col("child_id").isNull() & (kind == "assistant") & ~side & F.col("has_message") & blank_to_null(F.col("model")).isNull()
+    ).select("source_id", "ordinal")
+    started = scope.select("source_id", "scope_ordinal")
+    return silent.join(started, "source_id").filter(F.col("ordinal") >= F.col("scope_ordinal")).select("source_id").distinct()
+
+
 def response_cells(records: DataFrame, scope: DataFrame, table: list[tuple] = PRICE_TABLE) -> DataFrame:
     """Ledger rows per log, model, price epoch; tool calls per log and tool."""
     ledger = response_ledger(records, scope).withColumns(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.tables import constant_table
+from sessionloom.functions.text import trim_all
 
 PRICING_TABLE_VERSION = "2026-08-08.1-api-equivalent"
 LONG_CONTEXT_TOKENS = 272_000
@@ -104,7 +105,7 @@ def price_lookup(models: DataFrame, table: list[tuple] = PRICE_TABLE) -> DataFra
     constant of a few dozen rows, hence the broadcast.
     """
     asked = models.select("model", "epoch").distinct()
-    norm = F.lower(F.trim("model"))
+    norm = F.lower(trim_all(F.col("model")))
     words = F.split(norm, "-")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), "-"))
     candidates = asked.select("model", "epoch", norm.alias("_norm"), F.explode(prefixes).alias("prefix"))

@@ -125,6 +125,14 @@ def session_warnings(sessions: DataFrame, undated: DataFrame, scan_audit: DataFr
     return about.unionByName(excluded)
 
 
+def model_warnings(repositories: DataFrame) -> DataFrame:
+    """One warning for each repository with a log that holds an assistant message without a model."""
+    return repositories.select(
+        "repo_id", F.lit(None).cast("string").alias("session_ref"), F.lit("SESSION_MODEL_UNKNOWN").alias("code"), F.lit("info").alias("severity"),
+        F.lit("No model identifier was present in an assistant message.").alias("message"),
+    )
+
+
 def provider_warnings(selection: DataFrame) -> DataFrame:
     """Warnings about a provider as a whole."""
     c, none = F.col, F.lit(None).cast("string")

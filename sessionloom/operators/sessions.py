@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.numbers import clamp_safe
 from sessionloom.functions.redaction import with_clean_metadata
-from sessionloom.functions.text import iso, plural, seed, stable_id, digest
+from sessionloom.functions.text import digest, iso, plural, seed, stable_id, trim_all
 from sessionloom.operators.ledger import UNKNOWN_MODEL
 from sessionloom.operators.pricing import PRICE_TABLE, cost_nano, with_price
 from sessionloom.operators.scan import major_of, minor_of, minor_of_reversed
@@ -211,10 +211,12 @@ def response_sessions(
     """A log belongs to the repositories around its first working directory."""
     placed = logs.join(scope_directories(logs, repositories, "cwd"), "cwd")
     kind = F.col("cell")
+    tool = trim_all(F.col("name"))
+    block = (kind == "tool") & ~tool.startswith("Agent:") & ~tool.endswith(" (subagent)")
     facts = cells.groupBy("source_id").agg(
         F.sum(F.when(kind == "usage", F.col("assistant_messages"))).alias("assistant_messages"),
         F.max_by("stop_reason", "stopped_at").alias("stop"),
-        F.sum(F.when(kind == "tool", F.col("calls"))).alias("tool_calls"),
+        F.sum(F.when(block, F.col("calls"))).alias("tool_calls"),
         F.sum(F.when(kind == "agent", F.col("calls"))).alias("subagents"),
         F.min(F.when(kind == "tool", F.col("first_tool"))).alias("first_tool"),
         usage_sum((kind == "usage") & (F.col("responses") > 0), zero_write=F.lit(True)).alias("usage"),

@@ -320,9 +320,8 @@ def usage_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reasoned_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric-derived sections that depend on a repository's numbers."""
-    fixed = F.col("section").isin("narrative", "decisionPatterns", "growthEdge") | ((F.col("section") == "standoutTraits") & (F.col("position") == 1))
-    return profile_ops.default_narrative(layers(spark, sf_dir).profiles).filter(~fixed)
+    """All metric-derived sections."""
+    return profile_ops.default_narrative(layers(spark, sf_dir).profiles)
 
 
 # Quality ---------------------------------------------------------------------------------
@@ -338,6 +337,7 @@ def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = layers(spark, sf_dir)
     selection = quality_ops.provider_selection(built.inputs.repositories, built.all_sessions, built.sessions, _found(spark, sf_dir))
     every = quality_ops.session_warnings(built.all_sessions, built.undated).unionByName(quality_ops.provider_warnings(selection))
+    every = every.unionByName(quality_ops.model_warnings(built.without_model))
     return quality_ops.distinct_warnings(every, built.sessions)
 
 
@@ -405,7 +405,7 @@ def leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remote_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = F.concat(F.lit("/repo/"), F.col("page_id").cast("string"))
     rows = remote_identity_of(driver.remotes(spark, sf_dir), "url", local)
-    return rows.select("page_id", "host", "path", "fingerprint", "fingerprint_basis", "path_hash")
+    return rows.select("page_id", "fingerprint", "fingerprint_basis", "path_hash")
 
 
 @query
@@ -450,7 +450,8 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def claim_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims_ops.claim_errors(_claims(spark, sf_dir), layers(spark, sf_dir).catalog)
+    rows = claims_ops.claim_errors(_claims(spark, sf_dir), layers(spark, sf_dir).catalog)
+    return rows.withColumn("number", F.col("number").cast("int"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from sessionloom.session import materialize
 from sessionloom.plans.layers import Inputs, Layers
 from sessionloom.views import driver
 
@@ -13,7 +14,7 @@ _BUILT: dict[tuple[str, str], Layers] = {}
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        repos = driver.repositories(spark, sf_dir)
+        repos = materialize(driver.repositories(spark, sf_dir))
         params = driver.offsets(repos).selectExpr(
             "repo_id", "CAST(NULL AS TIMESTAMP) AS since", "CAST(NULL AS TIMESTAMP) AS until", "utc_offset"
         )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import git as git_ops
 from sessionloom.operators import ledger, profile, sessions, signals, timeline, usage
 from sessionloom.operators.scan import CHUNK_ROWS
+from sessionloom.operators.scope import scope_directories
 from sessionloom.session import materialize
 
 
@@ -93,6 +94,13 @@ class Layers:
         none = self.files.sessions.filter(F.col("started_at").isNull())
         return none.select("repo_id", "session_ref", "provider", "source_id")
 
+    @cached_property
+    def without_model(self) -> DataFrame:
+        """Repositories with a log that holds an assistant message without a model."""
+        logs = self.response_logs
+        placed = logs.join(scope_directories(logs, self.inputs.repositories, "cwd"), "cwd").select("repo_id", "source_id")
+        return placed.join(ledger.without_model(self.inputs.response_records, logs), "source_id", "left_semi").select("repo_id").distinct()
+
     @cached_property
     def all_models(self) -> DataFrame:
         return sessions.of_files(self.file_models, self.all_sessions)
@@ -105,15 +113,15 @@ class Layers:
     def repositories(self) -> DataFrame:
         if self.inputs.commits is None:
             return self.inputs.repositories
-        return self.inputs.repositories.join(git_ops.head_times(self.inputs.commits), "repo_id", "left")
+        return materialize(self.inputs.repositories.join(git_ops.head_times(self.inputs.commits), "repo_id", "left"))
 
     @cached_property
     def windows(self) -> DataFrame:
-        return usage.time_windows(self.all_sessions, self.repositories, self.inputs.params)
+        return materialize(usage.time_windows(self.all_sessions, self.repositories, self.inputs.params))
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return usage.in_window(self.all_sessions, self.windows)
+        return materialize(usage.in_window(self.all_sessions, self.windows))
 
     @cached_property
     def models(self) -> DataFrame:
@@ -125,7 +133,7 @@ class Layers:
 
     @cached_property
     def model_usage(self) -> DataFrame:
-        return usage.model_usage(self.models, self.sessions)
+        return materialize(usage.model_usage(self.models, self.sessions))
 
     @cached_property
     def tool_usage(self) -> DataFrame:
@@ -141,7 +149,7 @@ class Layers:
 
     @cached_property
     def git(self) -> DataFrame:
-        return git_ops.git_metrics(self.inputs.commits, self.inputs.file_changes, self.windows)
+        return materialize(git_ops.git_metrics(self.inputs.commits, self.inputs.file_changes, self.windows))
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -172,7 +180,7 @@ class Layers:
         return profile.profiles(self.sessions, self.tool_usage, self.model_usage, self.totals, self.git, self.windows)
 
     def release(self) -> None:
-        for name in ("counter_cells", "response_logs", "response_cells", "names", "file_models", "file_tools", "all_sessions"):
+        for name in ("counter_cells", "response_logs", "response_cells", "names", "file_models", "file_tools", "all_sessions", "repositories", "windows", "sessions", "model_usage", "git"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

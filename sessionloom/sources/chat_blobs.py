@@ -8,33 +8,34 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from sessionloom.operators.scan import ranked
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Which keys hold chats, how deep a document is searched and how many
-# messages one workspace's session keeps.
+# Which keys hold chats.
 CHAT_KEY = "workbench.panel.aichat.view.aichat.chatdata"
 CHAT_PREFIXES = ["aiService.prompts", "aiService.generations", "composerData:"]
-MAX_DEPTH = 8
-MAX_MESSAGES = 2_000
-MAX_WORKSPACE_JSON = 64 * 1024
 
 
 def _text(value: object) -> str | None:
     return value if isinstance(value, str) and value else None
 
 
-def messages_in(document: str | None) -> list[tuple[str, str]]:
-    """(role, text) of every message-shaped object of one document, in document order."""
+def messages_in(document: str | None, max_depth: int | None = None) -> list[tuple[str, str]]:
+    """(role, text) of every message-shaped object of one document, in document order.
+
+    A document that is no JSON, or nested too deeply for the parser, gives none.
+    """
     try:
         open_nodes = [(json.loads(document), 0)] if document else []
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     found: list[tuple[str, str]] = []
-    while open_nodes and len(found) < MAX_MESSAGES:
+    while open_nodes:
         node, depth = open_nodes.pop()
         if isinstance(node, dict):
             role = _text(node.get("role")) or _text(node.get("type"))
@@ -42,25 +43,25 @@ def messages_in(document: str | None) -> list[tuple[str, str]]:
             if role in ("user", "assistant") and text:
                 found.append((role, text))
         children = node if isinstance(node, list) else list(node.values()) if isinstance(node, dict) else []
-        if depth < MAX_DEPTH:
+        if max_depth is None or depth < max_depth:
             open_nodes.extend((c, depth + 1) for c in reversed(children) if isinstance(c, (dict, list)))
     return found
 
 
-def _messages_batch(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: [{"role": r, "text": t} for r, t in messages_in(v)])
-
-
 @lru_cache(maxsize=None)
-def _messages():
-    return F.pandas_udf(_messages_batch, ArrayType(StructType([StructField("role", StringType()), StructField("text", StringType())])))
+def _messages(max_depth: int | None):
+    def batch(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [{"role": r, "text": t} for r, t in messages_in(v, max_depth)])
+
+    return F.pandas_udf(batch, ArrayType(StructType([StructField("role", StringType()), StructField("text", StringType())])))
 
 
-def blob_messages(blobs: DataFrame) -> DataFrame:
+def blob_messages(blobs: DataFrame, max_messages: int | None = None, max_depth: int | None = None) -> DataFrame:
     """``(workspace, pos, role, text)`` from exported blobs (workspace, tbl, key, value).
 
-    The search of a single document runs in Arrow batches; which blobs are read, the
-    order across blobs and the limit per workspace are Spark's.
+    The search of a single document runs in Arrow batches; which blobs are read and the
+    order across blobs are Spark's. Nothing is left out unless the caller sets how many
+    messages a workspace keeps or how deep a document is searched.
     """
     prefixed = F.lit(False)
     for prefix in CHAT_PREFIXES:
@@ -68,20 +69,21 @@ def blob_messages(blobs: DataFrame) -> DataFrame:
     item = (F.col("tbl") == "ItemTable") & (F.col("key") == CHAT_KEY)
     wanted = blobs.filter(item | ((F.col("tbl") == "cursorDiskKV") & prefixed))
     rows = wanted.select(
-        "workspace", (~item).cast("int").alias("_tbl"), "key", F.posexplode(_messages()(F.col("value"))).alias("_at", "m")
+        "workspace", (~item).cast("int").alias("_tbl"), "key", F.posexplode(_messages(max_depth)(F.col("value"))).alias("_at", "m")
     )
-    order = Window.partitionBy("workspace").orderBy("_tbl", "key", "_at")
-    numbered = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MAX_MESSAGES)
+    numbered = ranked(rows, ["workspace"], F.struct("_tbl", "key"), [F.col("_at")], "_n")
+    if max_messages is not None:
+        numbered = numbered.filter(F.col("_n") <= max_messages)
     return numbered.select("workspace", (F.col("_n") - 1).cast("long").alias("pos"), "m.role", "m.text")
 
 
-def workspace_folders(workspaces: DataFrame) -> DataFrame:
+def workspace_folders(workspaces: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``(workspace, folder, modified_at)`` from workspace descriptions with a folder URI."""
     uri = F.get_json_object("json", "$.folder")
     path = F.regexp_replace(uri, "^file://(?:localhost)?", "")
     decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return (
-        workspaces.filter(F.octet_length("json") <= MAX_WORKSPACE_JSON)
+        (workspaces if max_bytes is None else workspaces.filter(F.octet_length("json") <= max_bytes))
         .filter(uri.startswith("file://"))
         .select("workspace", decoded.alias("folder"), "modified_at")
         .filter(F.col("folder").isNotNull())

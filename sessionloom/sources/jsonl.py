@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: longer lines are dropped and counted.
-MAX_LINE_BYTES = 4 * 1024 * 1024
+from sessionloom.operators.scan import ranked
 
 
 def read_lines(spark: SparkSession, roots: dict[str, str], pattern: str = "*.jsonl") -> DataFrame:
     """``(source_id, source_kind, ordinal, line)`` for every log under the roots.
 
-    ``roots`` maps a directory to its kind (active, archived, custom). One file is one
-    row until it is split, so single logs must fit a task; larger ones should land in a
-    table of these columns instead. Blank lines count in the ordinal but give no row.
+    ``roots`` maps a directory to its kind (active, archived, custom). Files are read in
+    splits of any size: lines are numbered within their split, and the line counts of the
+    splits before it are added. Blank lines count in the ordinal but give no row.
     """
+    at = F.col("_metadata")
     frames = []
     for root, kind in roots.items():
-        files = (
-            spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("source_id"), F.lit(kind).alias("source_kind"), "value")
+        frames.append(
+            spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, lineSep="\n")
+            .select(at["file_path"].alias("source_id"), F.lit(kind).alias("source_kind"), at["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), "value")
         )
-        frames.append(files.select("source_id", "source_kind", F.posexplode(F.split("value", "\n")).alias("pos", "line")))
     every = frames[0]
     for frame in frames[1:]:
         every = every.unionByName(frame)
-    line = F.regexp_replace("line", "\r\\z", "")
-    return every.select("source_id", "source_kind", (F.col("pos") + 1).cast("long").alias("ordinal"), line.alias("line")).filter(F.length("line") > 0)
+    numbered = ranked(every, ["source_kind", "source_id"], F.col("split"), [F.col("at")], "ordinal")
+    line = F.regexp_replace("value", "\r\\z", "")
+    return numbered.select("source_id", "source_kind", "ordinal", line.alias("line")).filter(F.length("line") > 0)
 
 
 def read_documents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -38,16 +38,19 @@ def read_documents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
-def raw_records(lines: DataFrame) -> DataFrame:
-    """Lines that hold one JSON object of acceptable size, parsed once."""
-    fits = F.octet_length("line") <= MAX_LINE_BYTES
-    parsed = lines.filter(fits).withColumn("rec", F.try_parse_json("line"))
+def _oversized(max_bytes: int | None) -> Column:
+    return F.lit(False) if max_bytes is None else F.octet_length("line") > max_bytes
+
+
+def raw_records(lines: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Lines that hold one JSON object, parsed once; lines of every length unless the caller sets a limit."""
+    parsed = lines.filter(~_oversized(max_bytes)).withColumn("rec", F.try_parse_json("line"))
     return parsed.filter(is_object(F.col("rec"))).drop("line")
 
 
-def scan_audit(lines: DataFrame) -> DataFrame:
-    """Per log: oversized lines, and lines that are no JSON object."""
-    big = F.octet_length("line") > MAX_LINE_BYTES
+def scan_audit(lines: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Per log: lines over the caller's limit, and other lines that are no JSON object."""
+    big = _oversized(max_bytes)
     bad = ~big & ~F.coalesce(is_object(F.try_parse_json("line")), F.lit(False))
     return lines.groupBy("source_id").agg(
         F.count(F.when(big, F.lit(1))).alias("oversized"), F.count(F.when(bad, F.lit(1))).alias("invalid_json")

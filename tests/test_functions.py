@@ -80,6 +80,17 @@ def test_secrets_are_redacted(spark):
     assert dropped == 0
 
 
+def test_texts_are_scanned_whole(spark):
+    far = "word " * 12_000
+    df = spark.createDataFrame([(far + SECRETS[2],), (far + "end",)], "text string")
+    found = [r.found for r in redaction.with_redaction_counts(df, "text", 300).collect()]
+    assert [[(f["category"], f["count"]) for f in row] for row in found] == [[("aws-access-key", 1)], []]
+    kept = [r.clean for r in redaction.with_clean_excerpt(df, "text", "clean", 600).collect()]
+    assert kept[0] is None and kept[1].startswith("word word")
+    spaces = spark.createDataFrame([(" " * 9_000 + "end",)], "text string")
+    assert redaction.with_clean_metadata(spaces, F.col("text"), "c").first().c == "end"
+
+
 def test_hash_stays_and_random_token_goes(spark):
     digest, token = "0123456789abcdef0123456789abcdef01234567", "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5"
     df = spark.createDataFrame([(digest,), (f"a {token} b",), ("e\u0301 ok",), ("  \u00a0",)], "text string")

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from sessionloom.plans.layers import Inputs, Layers
-from sessionloom.sources import jsonl
+from sessionloom.sources import chat_blobs, jsonl
 from sessionloom.sources.counter_logs import counter_records
 from sessionloom.sources.response_logs import response_records
 
@@ -151,6 +151,36 @@ def test_two_models_and_bookkeeping_messages(layers):
 def test_lines_keep_their_numbers(spark, tmp_path):
     write(f"{tmp_path}/x/a.jsonl", ['{"a": 1}\r', "", "[1]", '{"b": "' + "y" * (4 * 1024 * 1024) + '"}', '{"c": 2}'])
     lines = jsonl.read_lines(spark, {f"{tmp_path}/x": "active"})
-    assert [r["ordinal"] for r in jsonl.raw_records(lines).orderBy("ordinal").collect()] == [1, 5]
-    audit = jsonl.scan_audit(lines).collect()[0]
+    assert [r["ordinal"] for r in jsonl.raw_records(lines).orderBy("ordinal").collect()] == [1, 4, 5]
+    limit = 4 * 1024 * 1024
+    assert [r["ordinal"] for r in jsonl.raw_records(lines, limit).orderBy("ordinal").collect()] == [1, 5]
+    audit = jsonl.scan_audit(lines, limit).collect()[0]
     assert (audit["oversized"], audit["invalid_json"]) == (1, 1)
+    assert jsonl.scan_audit(lines).collect()[0]["oversized"] == 0
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    wanted = [json.dumps({"n": i, "pad": "x" * (i % 97)}) if i % 5 else "" for i in range(1, 4001)]
+    write(f"{tmp_path}/y/a.jsonl", wanted)
+    write(f"{tmp_path}/y/b.jsonl", wanted[:3])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        lines = jsonl.read_lines(spark, {f"{tmp_path}/y": "active"})
+        assert lines.rdd.getNumPartitions() >= 1
+        got = {(r["source_id"][-7:], r["ordinal"]): r["line"] for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.jsonl", i + 1): w for i, w in enumerate(wanted) if w} | {("b.jsonl", i + 1): w for i, w in enumerate(wanted[:3]) if w}
+
+
+def test_blobs_are_read_whole(spark):
+    deep = json.dumps({"role": "user", "text": "deep"})
+    for _ in range(20):
+        deep = f'{{"x": [{deep}]}}'
+    many = json.dumps([{"role": "assistant", "text": str(i)} for i in range(2500)])
+    rows = [("w", "cursorDiskKV", "composerData:a", deep), ("w", "cursorDiskKV", "composerData:b", many), ("w", "cursorDiskKV", "composerData:c", "[" * 200_000)]
+    blobs = spark.createDataFrame(rows, "workspace string, tbl string, key string, value string")
+    got = chat_blobs.blob_messages(blobs).orderBy("pos").collect()
+    assert [(r["pos"], r["text"]) for r in got] == [(0, "deep"), *((i + 1, str(i)) for i in range(2500))]
+    assert chat_blobs.blob_messages(blobs, max_messages=7, max_depth=8).count() == 7
