@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.base import connected_components, stash, table
+from sessionloom.llm.base import connected_components, drop_stash, stash, table
 from sessionloom.llm.vectors import matrix, usable
 
 
@@ -269,6 +269,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 8
         nodes.join(counts, nodes["rep"] == counts["u"]).join(parts, nodes["rep"] == parts["node"], "left")
         .select("label", "embedding", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
+    drop_stash(found, nodes)
     live = rows.where("live").join(known, ["label", "embedding"], "left").select("vec_id", "n_links", "component_id")
     idle = rows.where("not live").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return live.unionByName(idle).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

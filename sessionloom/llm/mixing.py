@@ -99,12 +99,14 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The documents of the mix: one row for each pass that takes words of a document.
 
     A document taken in part keeps its first words, joined by spaces; ``n_chars`` follows.
-    Documents without words take nothing and do not appear. Rows that repeat an id all
-    follow the one that takes most.
+    Documents without words take nothing and do not appear. Rows that agree in id, source and size (nulls are
+    equal) all follow the one that takes most.
     """
-    mixed = fair_mix(docs, **options).groupBy("doc_id").agg(F.max("passes").alias("passes"))
-    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"])).select(docs["*"], "passes", word_count(docs["text"]).alias("__size"))
-    rows = rows.withColumn("__took", F.explode("passes")).drop("passes").where("__took > 0")
+    mixed = fair_mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("passes").alias("__passes"))
+    mixed = mixed.select(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "size")], "__passes")
+    rows = docs.withColumn("__size", word_count(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(mixed["__of_doc_id"]) & rows["source"].eqNullSafe(mixed["__of_source"]) & (rows["__size"] == mixed["__of_size"])
+    rows = rows.join(mixed, same).select(*docs.columns, "__size", F.explode("__passes").alias("__took")).where("__took > 0")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__took").cast("int")), " ")
     text = F.when(F.col("__took") >= F.col("__size"), F.col("text")).otherwise(first)
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sessionloom.llm.base import drop_stash, per_batch, stash, table
 
@@ -173,14 +174,14 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(per_batch(make), "gram long, content long, doc_id long, version long, start int, windows int")
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_pieces: int = 8000, crowd: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_bytes: int = 1 << 20, crowd: int = 20_000) -> DataFrame:
     """(doc_id, version, start, end): bytes covered by a string of ``length`` bytes that also starts earlier; spans may overlap.
 
     ``docs`` has (doc_id long, version long, text). Every window of ``length`` bytes belongs to its least gram, so copies of a
     window meet under one gram; a gram found once has no copies. Runs of windows under a gram that are equal
     as a whole are told apart from the earliest one by a hash alone. Of the different ones, the earliest of each is fetched; the runs
-    of many grams make one task's text, whose suffixes are sorted by difference cover. A gram with more than ``crowd``
-    different runs is spread window by window.
+    of many grams make one task's text of about ``task_bytes``, whose suffixes are sorted by difference cover. A gram with more
+    than ``crowd`` different runs is spread window by window.
     """
     rows = _anchor_rows(docs, length, gram)
     often = stash(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # on its own, so that a crowded gram's rows can be split
@@ -190,9 +191,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_piec
     copies = runs.join(kinds.select("gram", "content", "first"), ["gram", "content"]).where(place != F.col("first"))
     copies = copies.select("doc_id", "version", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(mixed, "gram").select("gram", "kinds", "first.*", "windows")
-    tasks = max(1, kinds.count() // task_pieces)
+    counted = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("windows").alias("all")).where("kinds > 1")
+    mixed = stash(counted)  # on its own, so that a crowded gram's rows can be split
+    size = F.when(F.col("kinds") <= crowd, F.col("all") + F.col("kinds") * (length - 1)).otherwise(F.col("all") * length)
+    tasks = max(1, (mixed.agg(F.sum(size)).first()[0] or 0) // task_bytes)
+    wanted = kinds.join(mixed.drop("all"), "gram").select("gram", "kinds", "first.*", "windows")
     per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("gram", "kinds", "start", "windows")).alias("runs"))
     sliced = docs.join(per_doc, (docs["doc_id"].eqNullSafe(per_doc["doc_id"])) & (docs["version"] == per_doc["version"])).select(docs["doc_id"], docs["version"], "text", "runs")
 
@@ -232,10 +235,38 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_piec
 
     found = pieces.groupBy("task").applyInArrow(sort_suffixes, "doc_id long, version long, start int, end int")
     out = copies.unionByName(found)
-    out._temporary = (often, runs, kinds)
+    out._temporary = (often, runs, kinds, mixed)
     return out
 
 
+def _marked(docs: DataFrame, length: int, keep: list[str]) -> DataFrame:
+    """``keep``, __text and __spans (removed places, in any order, overlapping) for every row of ``docs``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
+    found = repeated_spans(rows, length)
+    spans = stash(found)
+    drop_stash(*found._temporary)
+    per_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    wide = docs.select(*keep, F.col("doc_id").cast("long").alias("__row"), F.xxhash64("text").alias("__hash"), F.col("text").alias("__text"))
+    return wide.join(per_doc, F.col("__row").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__version")), "left").select(*keep, "__text", "__spans")
+
+
+def _runs(spans: pa.ListScalar) -> list[tuple[int, int]]:
+    """Maximal removed runs, in order."""
+    if not spans.is_valid:
+        return []
+    start, end = (spans.values.field(k).to_numpy() for k in ("start", "end"))
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.append(True, start[1:] > reach[:-1])
+    return list(zip(start[new].tolist(), reach[np.append(new[1:], True)].tolist()))
+
+
+def _without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(e for _, e in runs)]
+    return b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(raw)]))
+
+
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text (without letters cut in half), kept_sha256 (of all remaining bytes) for every document.
 
@@ -244,35 +275,45 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     hash of their text; if that is equal too they are one document and get the same result. An empty table gives an
     empty result; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated_spans(rows, length)
-    spans = stash(found)
-    drop_stash(*found._temporary)
-    per_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["version"] == per_doc["version"]), "left").select(rows["doc_id"], "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in names[1:]]
             for text, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
-                raw, runs = text.as_py(), []
-                if spans.is_valid:
-                    start, end = (spans.values.field(k).to_numpy() for k in ("start", "end"))
-                    order = np.argsort(start, kind="stable")
-                    start, reach = start[order], np.maximum.accumulate(end[order])
-                    new = np.append(True, start[1:] > reach[:-1])
-                    runs = list(zip(start[new].tolist(), reach[np.append(new[1:], True)].tolist()))
-                ends = [0, *(e for _, e in runs)]
-                kept = b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(raw)]))
+                raw, runs = text.as_py() or b"", _runs(spans)
+                kept = _without(raw, runs)
                 for col, value in zip(cols, (len(raw), len(raw) - len(kept), len(runs), kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest())):
                     col.append(value)
             types = [pa.int64()] * 3 + [pa.string()] * 2
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+
+        return step
+
+    return _marked(docs, length, ["doc_id"]).mapInArrow(per_batch(make), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The rows of ``docs`` with all their columns, the text without repeats as in ``without_repeats``; a letter cut in half goes as well.
+
+    No row is dropped: one that is covered as a whole keeps an empty text. Null text stays null. The cut is
+    by id and text, so rows that repeat an id keep their own texts.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            *others, texts, spans = batch.columns
+            if spans.null_count < len(spans):
+                raw = texts.cast(pa.binary())
+                texts = pa.array([_without(t.as_py(), _runs(s)).decode("utf-8", "ignore") if s.is_valid else same.as_py() for t, same, s in zip(raw, texts, spans)], pa.string())
+            return pa.RecordBatch.from_arrays([*others, texts.cast(pa.string())], [*rest, "text"])
 
         return step
 
-    return joined.mapInArrow(per_batch(make), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
+    marked = _marked(docs, length, rest)
+    schema = StructType([*marked.schema.fields[:-2], StructField("text", StringType())])
+    return marked.mapInArrow(per_batch(make), schema).select(*docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_suffixes_against_brute_force(spark, crowd, monkeypatch):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         want[i] = (len(raw), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest())
     plain = suffixes.repeated_spans
-    monkeypatch.setattr(suffixes, "repeated_spans", lambda d, length: plain(d, length, task_pieces=50, crowd=crowd))
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda d, length: plain(d, length, task_bytes=8000, crowd=crowd))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(docs(spark, texts)).collect()}
     assert got == want
 
