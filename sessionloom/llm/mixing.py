@@ -53,13 +53,14 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ratio: float
     ranges in each, then the rows of one. The end of the budget is found over slices of
     virtual time; only the slice it falls in is ordered.
 
-    Null or empty text has size 0 and takes nothing; a null id is a document like any other;
+    Null or empty text has size 0 and takes nothing; a row with a null id is shuffled by its text instead, so
+    that many of them spread over the ranges like other documents;
     repeated rows count separately; a null source is a source, last in order; an empty table
     gives an empty result. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"))
-    rows = stash(rows)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")
+    h = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+    rows = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")))
     key = rows.withColumn("b1", F.shiftright("h", 52)).withColumn("b2", F.shiftright("h", 44))
     sums = stash(key.groupBy("source", "b1", "b2").agg(F.sum("size").alias("s2")))
     s1 = sums.groupBy("source", "b1").agg(F.sum("s2").alias("s1"))
@@ -119,7 +120,7 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY 1),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
              (source_size * 2)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM src),
