@@ -154,38 +154,24 @@ class Graph:
         raise AssertionError("a graph has at least one layer")
 
 
-def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 128, audit: int = 32, batch: int = 512, slack: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:
+def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 128, batch: int = 512, slack: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:
     """(query, node) positions with similarity near or over ``least``, in parts; candidates for an exact test.
 
-    A query whose whole beam is that near may have more: its beam doubles. Some queries are
-    also compared with all nodes: while the graph misses any of their links, all beams double. A beam
-    of a quarter of the shard is a plain scan.
+    The graph gives what its beam holds. Every query is then audited against all nodes of the shard by a matrix product, and
+    what the beam missed (a full beam, nodes that no path reaches) is added, so no link rests on the graph's recall.
+    The audit costs queries x nodes, at most ``query_rows`` x ``shard_rows`` in a task.
     """
-    n, bar, checked = len(graph.x), least - slack, np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = queries[checked] @ graph.x.T >= bar
-    while 4 * beam < n:
-        at, sims = graph.search(queries[checked], beam)
-        hit = np.zeros(truth.shape, bool)
-        r, k = np.nonzero((at >= 0) & (sims >= bar))
-        hit[r, at[r, k]] = True
-        if (hit | ~truth)[(sims[:, -1] < bar)].all():
-            break
-        beam *= 2
-    out, todo = [], np.arange(len(queries))
-    while len(todo):
-        again = []
-        for lo in range(0, len(todo), batch):
-            part = todo[lo : lo + batch]
-            if 4 * beam >= n:
-                r, node = np.nonzero(queries[part] @ graph.x.T >= bar)
-                out.append((part[r], node))
-                continue
-            at, sims = graph.search(queries[part], beam)
-            full = sims[:, -1] >= bar
-            again.append(part[full])
-            r, k = np.nonzero((at >= 0) & (sims >= bar) & ~full[:, None])
-            out.append((part[r], at[r, k]))
-        todo, beam = (np.concatenate(again) if again else todo[:0]), beam * 2
+    n, bar, out = len(graph.x), least - slack, []
+    for lo in range(0, len(queries), batch):
+        part = queries[lo : lo + batch]
+        hit = np.zeros((len(part), n), bool)
+        if 4 * beam < n:
+            at, sims = graph.search(part, beam)
+            r, k = np.nonzero((at >= 0) & (sims >= bar))
+            hit[r, at[r, k]] = True
+        hit |= part @ graph.x.T >= bar
+        r, node = np.nonzero(hit)
+        out.append((lo + r, node))
     return out
 
 
@@ -216,7 +202,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 8
     """vec_id, n_links, component_id, kept for (vec_id, embedding, label) rows: cosine >= ``least`` within equal labels.
 
     Equal vectors of a label are one node with a count. A label's nodes are dealt to shards by hash; every
-    block of its nodes is searched in the graph of every shard, candidates are tested in double
+    block of its nodes is searched in the graph of every shard and audited against all its nodes, candidates are tested in double
     precision, and a task returns one count per node and a spanning forest of its links, never all pairs.
 
     Rows with a null label or id, or a vector that is null, empty, zero or holds null or non-finite

@@ -77,6 +77,36 @@ def test_hnsw_counts_links_and_crowds(spark):
     assert {got[i][1] for i in range(900, 1640)} == {900} and all(got[i] == (0, i, True) for i in range(900))
 
 
+def test_hnsw_finds_nodes_that_no_path_reaches():
+    """Pairs at places that an audit of evenly spaced queries leaves out; nothing links to them but themselves."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 32))
+    audited = np.linspace(0, 1499, 32).astype(int)
+    pairs = [(i, i + 3) for i in range(5, 1400, 101) if not np.isin((i, i + 3), audited).any()]
+    for a, b in pairs:
+        x[b] = x[a] + rng.normal(size=32) * 0.01
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph(x)
+    island = np.unique(pairs)
+    for links in [layer[-1] for layer in graph.layers]:
+        if len(links) == len(x):
+            links[np.isin(links, island)] = -1
+    found = {(int(i), int(j)) for a, b in hnsw.near(graph, x, 0.98) for i, j in zip(a, b) if i != j}
+    assert found == {p for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def test_hnsw_label_of_several_shards(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 24))
+    x[2000:3500] = x[:1500] + rng.normal(size=(1500, 24)) * rng.uniform(0.05, 0.3, (1500, 1))  # many pairs around the bar
+    x[3500:] = x[7] + rng.normal(size=(500, 24)) * 0.1
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"), shard_rows=1400, query_rows=1000).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+
+
 def test_golay_code_and_keys():
     words = np.arange(1 << 12) << 11
     code = words ^ simhash._syndromes(words)
