@@ -31,13 +31,18 @@ def diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.nda
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The ``beam`` best nodes found for every query (-1 pads) and their similarities, best first."""
+    """The ``beam`` best nodes found for every query (-1 pads) and their similarities, best first.
+
+    ``entries`` has a row of nodes to start from for every query (-1 pads).
+    """
     n, q = len(x), len(queries)
     seen = np.zeros((q, n), bool)
-    rows = np.arange(q)[:, None]
-    at = np.broadcast_to(entries[None, :], (q, len(entries))).copy()
-    seen[rows, at] = True
-    sims = (queries @ x[entries].T).astype(np.float32)
+    at = np.sort(entries, axis=1)
+    at[:, 1:][at[:, 1:] == at[:, :-1]] = -1
+    r, k = np.nonzero(at >= 0)
+    seen[r, at[r, k]] = True
+    sims = np.full(at.shape, -np.inf, np.float32)
+    sims[r, k] = np.einsum("ij,ij->i", queries[r], x[at[r, k]])
     done = np.zeros(at.shape, bool)
     live = np.arange(q)
     out_at, out_sims = np.full((q, beam), -1), np.full((q, beam), -np.inf, np.float32)
@@ -77,18 +82,36 @@ def beam_search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, queries:
     return out_at, out_sims
 
 
+def _spread(n: int, queries: int) -> np.ndarray:
+    """Up to 8 evenly spaced nodes, for every query."""
+    return np.tile(np.unique(np.linspace(0, n - 1, 8).astype(int)), (queries, 1))
+
+
 class Graph:
-    """HNSW over unit vectors: every layer holds the nodes of at least its level; built in batches from the top."""
+    """HNSW over unit vectors: every layer holds the nodes of at least its level; built in batches from the top.
+
+    Nodes are numbered by falling level, so a layer is a prefix of the one below. A query, and a node that is put in,
+    descends on its own: its best hits of a layer are its entries to the next one.
+    """
 
     def __init__(self, x: np.ndarray, m: int = 16, beam: int = 64, seed: int = 5) -> None:
         self.x = x.astype(np.float32)
         levels = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # nodes, links among them by position
+        self.nodes = np.argsort(-levels, kind="stable")
+        self.sorted = self.x[self.nodes]
+        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # vectors, links among them by position
         for level in range(levels.max(initial=0), -1, -1):
-            nodes = np.nonzero(levels >= level)[0]
-            if level and len(nodes) < 2 * m:
+            n = int((levels >= level).sum())
+            if level and n < 2 * m:
                 continue
-            self.layers.append((nodes, self._connect(self.x[nodes], m, beam)))
+            self.layers.append((self.sorted[:n], self._connect(self.sorted[:n], m, beam)))
+
+    def _entries(self, queries: np.ndarray, stop: int | None = None, width: int = 8) -> np.ndarray | None:
+        """Every query's ``width`` best hits in the lowest of the first ``stop`` layers (or all so far); None without layers."""
+        at = None
+        for x, links in self.layers[:stop]:
+            at = beam_search(x, links, _spread(len(x), len(queries)) if at is None else at, queries, width)[0]
+        return at
 
     def _connect(self, x: np.ndarray, m: int, beam: int) -> np.ndarray:
         n, wide = len(x), 2 * m
@@ -103,7 +126,9 @@ class Graph:
             cand, sims = new[near], np.take_along_axis(own, near, 1)
             cand = np.where(np.isfinite(sims), cand, -1)
             if done:
-                starts = np.unique(np.linspace(0, done - 1, 8).astype(int))
+                starts, above = _spread(done, size), self._entries(x[new])
+                if above is not None:  # those already put in
+                    starts = np.concatenate([starts, np.where(above < done, above, -1)], 1)
                 at, s = beam_search(x[:done], links[:done], starts, x[new], beam)
                 cand, sims = np.concatenate([at, cand], 1), np.concatenate([s, sims], 1)
                 order = np.argsort(-sims, axis=1, kind="stable")[:, : beam]
@@ -140,18 +165,10 @@ class Graph:
                 links[part[full]] = diverse(x, cand[full, :most], sims[full, :most], wide)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.arange(min(8, len(self.layers[0][0])))
-        for i, (nodes, links) in enumerate(self.layers):
-            last = i == len(self.layers) - 1
-            if last:
-                starts = np.unique(np.concatenate([starts, np.linspace(0, len(nodes) - 1, 8).astype(int)]))
-                at, sims = beam_search(self.x[nodes], links, starts, queries, beam)
-                return np.where(at >= 0, nodes[np.maximum(at, 0)], -1), sims
-            at, _ = beam_search(self.x[nodes], links, starts, queries, 8)
-            found = np.unique(nodes[at[at >= 0]])
-            pick = found[np.linspace(0, len(found) - 1, min(16, len(found))).astype(int)]
-            starts = np.searchsorted(self.layers[i + 1][0], pick)
-        raise AssertionError("a graph has at least one layer")
+        x, links = self.layers[-1]
+        upper = self._entries(queries, stop=len(self.layers) - 1)
+        at, sims = beam_search(x, links, _spread(len(x), len(queries)) if upper is None else upper, queries, beam)
+        return np.where(at >= 0, self.nodes[np.maximum(at, 0)], -1), sims
 
 
 def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 128, batch: int = 512, slack: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:

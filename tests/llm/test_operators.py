@@ -90,11 +90,23 @@ def test_hnsw_finds_nodes_that_no_path_reaches():
     island = np.unique(pairs)
     for links in [layer[-1] for layer in graph.layers]:
         if len(links) == len(x):
-            links[np.isin(links, island)] = -1
+            links[np.isin(graph.nodes[links], island)] = -1
     found = {(int(i), int(j)) for a, b in hnsw.near(graph, x, 0.98) for i, j in zip(a, b) if i != j}
     assert found == {p for a, b in pairs for p in ((a, b), (b, a))}
 
 
+def test_hnsw_queries_descend_on_their_own():
+    """What a query finds does not depend on the queries beside it, and reaches clusters away from the common entries."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 32))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(size=(3000, 32)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(3000)]
+    graph = hnsw.Graph(x)
+    together = graph.search(x[:200], 16)[0]
+    alone = np.concatenate([graph.search(x[i : i + 1], 16)[0] for i in range(200)])
+    assert (np.sort(together, 1) == np.sort(alone, 1)).all()
+
+
 def test_hnsw_label_of_several_shards(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(4000, 24))
