@@ -263,6 +263,21 @@ def test_extraction_of_pages(spark):
     assert got[3].startswith("own words of page 3") and "menu" not in got[3]
 
 
+def test_extraction_counts_repeats_over_whole_hosts(spark):
+    """A notice on three of a large host's 1,500 pages goes, one on two stays, and the text does not change with other hosts' pages."""
+    notice, twice = "<p>notice one two three four five six seven eight</p>", "<p>twice eight seven six five four three two one</p>"
+    own = [(i, "http://large.example/x", f"<p>own words of page {i} stand here {i} and nowhere {i}</p>{notice if i in (100, 700, 1400) else ''}{twice if i in (100, 1400) else ''}") for i in range(1500)]
+    small = [(5000 + i, "http://small.example/x", f"<p>small words of page {i} stand here {i} and nowhere {i}</p>{notice if i < 2 else ''}<footer><p>{'f ' * 9}</p></footer>") for i in range(3)]
+    make = lambda rows: {r.page_id: (r.text, r.n_chars) for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    got = make(own + small + small[:2] * 3)
+    want = {i: f"own words of page {i} stand here {i} and nowhere {i}" for i in range(1500)} | {5000 + i: f"small words of page {i} stand here {i} and nowhere {i}" for i in range(3)}
+    for i in (100, 1400):
+        want[i] += "\n\ntwice eight seven six five four three two one"
+    for i in (5000, 5001):
+        want[i] += "\n\nnotice one two three four five six seven eight"
+    assert got == {i: (t, len(t)) for i, t in want.items()} and make(own) == {i: v for i, v in got.items() if i < 1500}
+
+
 def test_mix_takes_whole_words_near_the_targets(spark):
     texts = [" ".join(["w"] * (i % 7)) for i in range(600)]
     table = docs(spark, texts, sources=[("a", "b", None)[i % 3] if i % 2 else "a" for i in range(600)])
