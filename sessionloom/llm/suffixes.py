@@ -180,8 +180,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_byte
     ``docs`` has (doc_id long, version long, text). Every window of ``length`` bytes belongs to its least gram, so copies of a
     window meet under one gram; a gram found once has no copies. Runs of windows under a gram that are equal
     as a whole are told apart from the earliest one by a hash alone. Of the different ones, the earliest of each is fetched; the runs
-    of many grams make one task's text of about ``task_bytes``, whose suffixes are sorted by difference cover. A gram with more
-    than ``crowd`` different runs is spread window by window.
+    of many grams make one task's text of about ``task_bytes``, whose suffixes are sorted by difference cover. The windows of a
+    gram with more than ``crowd`` different runs are told apart by a 128-bit hash of their bytes, aggregated to the earliest
+    place of each; one piece of each distinct window is all that would be left to sort, and those have no copies.
     """
     rows = _anchor_rows(docs, length, gram)
     often = stash(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # on its own, so that a crowded gram's rows can be split
@@ -193,8 +194,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_byte
 
     counted = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("windows").alias("all")).where("kinds > 1")
     mixed = stash(counted)  # on its own, so that a crowded gram's rows can be split
-    size = F.when(F.col("kinds") <= crowd, F.col("all") + F.col("kinds") * (length - 1)).otherwise(F.col("all") * length)
-    tasks = max(1, (mixed.agg(F.sum(size)).first()[0] or 0) // task_bytes)
+    size = F.when(F.col("kinds") <= crowd, F.col("all") + F.col("kinds") * (length - 1))
+    total, most = mixed.agg(F.sum(size), F.max("kinds")).first()
+    tasks = max(1, (total or 0) // task_bytes)
     wanted = kinds.join(mixed.drop("all"), "gram").select("gram", "kinds", "first.*", "windows")
     per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("gram", "kinds", "start", "windows")).alias("runs"))
     sliced = docs.join(per_doc, (docs["doc_id"].eqNullSafe(per_doc["doc_id"])) & (docs["version"] == per_doc["version"])).select(docs["doc_id"], docs["version"], "text", "runs")
@@ -206,11 +208,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_byte
                 raw, doc, version = text.as_py(), doc.as_py(), version.as_py()
                 fields = runs.values
                 for g, kinds, start, windows in zip(*(fields.field(k).to_pylist() for k in ("gram", "kinds", "start", "windows"))):
-                    parts = [(start, windows)] if kinds <= crowd else [(start + i, 1) for i in range(windows)]
-                    for s, w in parts:
-                        piece = raw[s : s + w - 1 + length]
-                        key = g if kinds <= crowd else int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        for col, value in zip(out, (key % tasks, doc, version, s, w, piece)):
+                    if kinds <= crowd:
+                        rows = [(g % tasks, doc, version, start, windows, raw[start : start + windows - 1 + length])]
+                    else:  # a hash in place of the window
+                        rows = [(-1, doc, version, s, 1, hashlib.blake2b(raw[s : s + length], digest_size=16).digest()) for s in range(start, start + windows)]
+                    for row in rows:
+                        for col, value in zip(out, row):
                             col.append(value)
             types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["task", "doc_id", "version", "start", "windows", "piece"])
@@ -233,9 +236,17 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36, task_byte
         at = pa.array(piece, pa.int64())
         return pa.table([ids.take(at), group.column("version").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=schema)
 
-    found = pieces.groupBy("task").applyInArrow(sort_suffixes, "doc_id long, version long, start int, end int")
-    out = copies.unionByName(found)
-    out._temporary = (often, runs, kinds, mixed)
+    temporary = [often, runs, kinds, mixed]
+    if (most or 0) > crowd:
+        pieces = stash(pieces)
+        single = pieces.where("task < 0").select("piece", "doc_id", "version", "start")
+        earliest = stash(single.groupBy("piece").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("piece", "first"))
+        again = single.join(earliest, "piece").where(place != F.col("first"))
+        copies = copies.unionByName(again.select("doc_id", "version", "start", (F.col("start") + length).alias("end")))
+        temporary += [pieces, earliest]
+    sorted_runs = pieces.where("task >= 0").groupBy("task").applyInArrow(sort_suffixes, "doc_id long, version long, start int, end int")
+    out = copies.unionByName(sorted_runs)
+    out._temporary = tuple(temporary)
     return out
 
 

@@ -188,6 +188,26 @@ def test_suffixes_against_brute_force(spark, crowd, monkeypatch):
     assert got == want
 
 
+def test_suffixes_of_a_crowded_gram_do_not_meet_in_one_task(spark, monkeypatch):
+    """One passage in 400 documents with different surroundings: the sort's largest task has no row for each of them."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(180))
+    letters = lambda: "".join(rng.choice("uvwxyz") for _ in range(60))
+    largest, plain = [0], PandasGroupedOpsMixin.applyInArrow
+
+    def spy(self, func, schema):
+        largest.append(max((r["count"] for r in self._df.groupBy("task").count().collect()), default=0))
+        return plain(self, func, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", spy)
+    table = spark.createDataFrame([(i, i, letters() + passage + letters()) for i in range(400)], "doc_id long, version long, text string").repartition(3)
+    spans = suffixes.repeated_spans(table, task_bytes=4000, crowd=50).groupBy("doc_id").agg(F.min("start").alias("a"), F.max("end").alias("b")).collect()
+    assert {r.doc_id for r in spans if r.a <= 60 and r.b >= 240} == set(range(1, 400)) and all(r.doc_id for r in spans if r.b - r.a >= 180)
+    assert max(largest) < 400
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     for _ in range(200):
