@@ -40,14 +40,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, rep
     return ranked.select("source", "source_size", "budget", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
+def _place() -> Column:
+    """Place of a document in its source's shuffled order."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.5, repeats: int = 2) -> DataFrame:
-    """How many words the mix takes of every document: doc_id, size, source_size, target, passes, taken.
+    """How many words the mix takes of every document: doc_id, source, size, source_size, target, passes, taken, h, version.
 
     Every source's documents stand in one shuffled order (md5 of the id), ``repeats`` times
     over. A document finishes at virtual time (words of its source so far) / (target of its
     source); all are sorted by finish time over all sources and taken until the budget,
     ``ratio`` times all words, is spent; the last one may be taken in part. ``passes`` has
-    the words taken in each pass.
+    the words taken in each pass, ``h`` is the place in the shuffled order and ``version`` a hash of the text.
 
     Running sums never need a whole source in one task: sums of 256 hash ranges, then of 256
     ranges in each, then the rows of one. The end of the budget is found over slices of
@@ -58,9 +64,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ratio: float
     repeated rows count separately; a null source is a source, last in order; an empty table
     gives an empty result. Other columns are ignored.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")
-    h = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
-    rows = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")))
+    rows = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place().alias("h"), F.xxhash64("text").alias("version")))
     key = rows.withColumn("b1", F.shiftright("h", 52)).withColumn("b2", F.shiftright("h", 44))
     sums = stash(key.groupBy("source", "b1", "b2").agg(F.sum("size").alias("s2")))
     s1 = sums.groupBy("source", "b1").agg(F.sum("s2").alias("s1"))
@@ -71,14 +75,14 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ratio: float
     offsets = s2.join(s1, same(s2, s1, ["source", "b1"]), "left").select(s2["source"], s2["b2"], (F.col("o1") + F.col("o2")).alias("offset"))
     targets = stash(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ratio, repeats))
 
-    fine = Window.partitionBy("source", "b2").orderBy("h", "doc_id", "size")
+    fine = Window.partitionBy("source", "b2").orderBy("h", "doc_id", "size", "version")
     within = key.withColumn("cum", F.sum("size").over(fine.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(fine))
     placed = within.join(offsets, same(within, offsets, ["source", "b2"]), "left").select(within["*"], offsets["offset"])
     placed = placed.join(targets, same(placed, targets, ["source"]), "left").select(placed["*"], targets["source_size"], targets["target"], targets["budget"])
     turns = placed.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
     turns = turns.withColumn("finish", F.when(F.col("target") > 0, (F.col("offset") + F.col("cum") + F.col("pass") * F.col("source_size")).cast("double") / F.col("target")))
     slice_no = F.least(F.floor(F.col("finish") * _GRID), F.lit(2 * _GRID)).cast("long")
-    turns = stash(turns.select("doc_id", "source", "size", "h", "nth", "source_size", "target", "budget", "pass", "finish", slice_no.alias("slice")))
+    turns = stash(turns.select("doc_id", "source", "size", "h", "version", "nth", "source_size", "target", "budget", "pass", "finish", slice_no.alias("slice")))
 
     spent = turns.where("slice is not null").groupBy("slice").agg(F.sum("size").alias("in_slice"))
     spent = spent.select("slice", F.coalesce(F.sum("in_slice").over(prior(Window.orderBy("slice"))), F.lit(0)).alias("spent"), "in_slice")
@@ -91,22 +95,23 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ratio: float
     whole = F.when(F.col("spent") < F.col("budget"), F.col("size")).otherwise(F.lit(0))
     took = turns.withColumn("took", F.when(F.col("slice").isNull(), F.lit(0)).when(F.col("cut"), part).otherwise(whole).cast("long"))
     each = [F.sum(F.when(F.col("pass") == i, F.col("took"))).alias(f"p{i}") for i in range(repeats)]
-    out = took.groupBy("source", "h", "doc_id", "nth").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *each)
+    out = took.groupBy("source", "h", "doc_id", "nth").agg(F.first("size").alias("size"), F.first("version").alias("version"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *each)
     passes = F.array(*[F.col(f"p{i}") for i in range(repeats)])
-    return out.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"), F.aggregate(passes, F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"), F.aggregate(passes, F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), "h", "version")
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The documents of the mix: one row for each pass that takes words of a document.
 
     A document taken in part keeps its first words, joined by spaces; ``n_chars`` follows.
-    Documents without words take nothing and do not appear. Rows that agree in id, source and size (nulls are
+    Documents without words take nothing and do not appear. Rows that agree in id, source and text (nulls are
     equal) all follow the one that takes most.
     """
-    mixed = fair_mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("passes").alias("__passes"))
-    mixed = mixed.select(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "size")], "__passes")
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(mixed["__of_doc_id"]) & rows["source"].eqNullSafe(mixed["__of_source"]) & (rows["__size"] == mixed["__of_size"])
+    mixed = fair_mix(docs, **options).groupBy("doc_id", "source", "h", "version").agg(F.max("passes").alias("__passes"))
+    mixed = mixed.select(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "h", "version")], "__passes")
+    rows = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__h", _place()).withColumn("__version", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(mixed["__of_doc_id"]) & rows["source"].eqNullSafe(mixed["__of_source"])
+    same &= (rows["__h"] == mixed["__of_h"]) & (rows["__version"] == mixed["__of_version"])
     rows = rows.join(mixed, same).select(*docs.columns, "__size", F.explode("__passes").alias("__took")).where("__took > 0")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__took").cast("int")), " ")
     text = F.when(F.col("__took") >= F.col("__size"), F.col("text")).otherwise(first)
