@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity
+from sessionloom.llm import extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity, vafile
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_fair_mix": mixing.op8_fair_mix,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_va_clusters": vafile.op11_va_clusters,
 }
 
 SQL = {
     "op1_hnsw": hnsw.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
     "op8_fair_mix": mixing.OP8_SQL,
+    "op11_va_clusters": vafile.OP11_SQL,
 }
