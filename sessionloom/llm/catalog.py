@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity, vafile
+from sessionloom.llm import divergence, extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity, vafile
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
     "op11_va_clusters": vafile.op11_va_clusters,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op2_topk": topk.OP2_SQL,
     "op8_fair_mix": mixing.OP8_SQL,
     "op11_va_clusters": vafile.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
 }
