@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import divergence, extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity, vafile
+from sessionloom.llm import automata, divergence, extraction, hnsw, language, mixing, packing, simhash, suffixes, token_counts, topk, toxicity, vafile
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_va_clusters": vafile.op11_va_clusters,
     "op12_divergence": divergence.op12_divergence,
+    "op13_automata": automata.op13_automata,
 }
 
 SQL = {
