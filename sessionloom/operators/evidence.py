@@ -154,22 +154,28 @@ def candidates(events: DataFrame, chunk: Column | None = None, max_decisions: in
     points are changes of the permission mode and short assistant texts directly
     followed by a changing tool call; the providers differ in which tools count. Every
     such text is a candidate unless the caller limits them per session. ``chunk`` must
-    not fall as ``ordinal`` rises.
+    not fall as ``ordinal`` rises. Events are read twice: once without texts for the state before and
+    after every event, once for the texts of the few that are picked.
     """
     chunk = chunk_of(F.col("ordinal"), CHUNK_ROWS) if chunk is None else chunk
     key = ["repo_id", "provider", "session_ref"]
     provider, kind = F.col("provider"), F.col("event_kind")
-    user = (F.col("role") == "user") & (kind == "message") & F.col("text").isNotNull()
-    short = (F.col("role") == "assistant") & (kind == "message") & (F.length("text") <= DECISION_CHARS)
-    tool = (kind == "tool-call") & ((provider != RESPONSE_PROVIDER) | F.col("tool_name").isin("Edit", "Write"))
-    title = (kind == "title") & F.col("text").isNotNull() & (provider == RESPONSE_PROVIDER)
-    code = F.when(user, F.lit(_USER)).when(short, F.lit(_TEXT)).when(tool, F.lit(_TOOL))
+    is_user = (F.col("role") == "user") & (kind == "message") & F.col("text").isNotNull()
+    is_short = (F.col("role") == "assistant") & (kind == "message") & (F.length("text") <= DECISION_CHARS)
+    is_tool = (kind == "tool-call") & ((provider != RESPONSE_PROVIDER) | F.col("tool_name").isin("Edit", "Write"))
+    is_title = (kind == "title") & F.col("text").isNotNull() & (provider == RESPONSE_PROVIDER)
+    slim = events.select(
+        *key, "ordinal", "occurred_at", "permission_mode", is_title.alias("_title"), F.xxhash64("text").alias("_text"),
+        F.when(is_user, F.lit(_USER)).when(is_short, F.lit(_TEXT)).when(is_tool, F.lit(_TOOL)).alias("_code"),
+    )
+    code, title = F.col("_code"), F.coalesce("_title", F.lit(False))
+    user, short = code.eqNullSafe(F.lit(_USER)), code.eqNullSafe(F.lit(_TEXT))
     seen = carry_last(
-        events.withColumn("_code", code),
+        slim,
         key,
         "ordinal",
         {
-            "_next": Carry(F.col("_code"), inclusive=False, backward=True),
+            "_next": Carry(code, inclusive=False, backward=True),
             "_user_before": Carry(F.when(user, F.lit(True)), inclusive=False),
             "_user_after": Carry(F.when(user, F.lit(True)), inclusive=False, backward=True),
             "_title_before": Carry(F.when(title, F.lit(True)), inclusive=False),
@@ -189,7 +195,9 @@ def candidates(events: DataFrame, chunk: Column | None = None, max_decisions: in
             role(user & F.col("_user_after").isNull(), 3, "outcome"),
         )
     )
-    found = seen.select(*key, "ordinal", "occurred_at", "text", F.explode(roles).alias("r")).select(*key, "ordinal", "occurred_at", "text", "r.*")
+    picked = seen.select(*key, "ordinal", "_text", "occurred_at", F.explode(roles).alias("r")).select(*key, "ordinal", "_text", "occurred_at", "r.*")
+    texts = events.select(*key, "ordinal", F.xxhash64("text").alias("_text"), "text")
+    found = materialize(picked.join(texts, [*key, "ordinal", "_text"]).drop("_text"))
     decisions = found.filter(F.col("role") == "assistant-decision")
     if max_decisions is not None:
         decisions = ranked(decisions, key, chunk, [F.col("ordinal")], "_n").filter(F.col("_n") <= max_decisions).drop("_n")

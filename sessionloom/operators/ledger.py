@@ -118,9 +118,8 @@ CELL_KEYS = [
 ]
 
 
-def counter_cells(records: DataFrame, chunk_rows: int = CHUNK_ROWS, table: list[tuple] = PRICE_TABLE) -> DataFrame:
-    """Every record of a counter log falls into exactly one cell."""
-    rows = counter_usage(records, chunk_rows)
+def counter_cells(rows: DataFrame, table: list[tuple] = PRICE_TABLE) -> DataFrame:
+    """Every record of a counter log (``counter_usage``) falls into exactly one cell."""
     item = F.col("rec_type") == "response_item"
     event = F.col("rec_type") == "event_msg"
     kind = F.col("payload_type")
@@ -295,9 +294,9 @@ def without_model(records: DataFrame, scope: DataFrame) -> DataFrame:
     return silent.join(started, "source_id").filter(F.col("ordinal") >= F.col("scope_ordinal")).select("source_id").distinct()
 
 
-def response_cells(records: DataFrame, scope: DataFrame, table: list[tuple] = PRICE_TABLE) -> DataFrame:
-    """Ledger rows per log, model, price epoch; tool calls per log and tool."""
-    ledger = response_ledger(records, scope).withColumns(
+def response_cells(records: DataFrame, rows: DataFrame, table: list[tuple] = PRICE_TABLE) -> DataFrame:
+    """Ledger rows (``response_ledger``) per log, model, price epoch; tool calls per log and tool."""
+    ledger = rows.withColumns(
         {"epoch": price_epoch(F.col("ts"), table), "long_context": is_long_context(F.col("usage"))}
     )
     main_chain = ~F.col("is_sidechain")

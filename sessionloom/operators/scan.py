@@ -3,8 +3,8 @@
 A window over a whole session, source or repository puts that group into one
 task, however large it is. Both primitives below bound the group by a *chunk*
 of the order instead: the heavy pass works per ``(key, chunk)``, a summary of
-one row per chunk carries what crosses chunk borders, and the two are joined
-on the partitioning the heavy pass already has.
+one row per chunk carries what crosses chunk borders, and the two are joined.
+Carrying reads its input once, however many values are carried.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+
+from sessionloom.session import materialize
 
 # Rows of one log that share a task. A 100 TB log of 1 KB records has under a
 # million chunks, so the summary pass stays small as well.
@@ -23,7 +24,6 @@ CHUNK_ROWS = 1 << 17
 
 
 _BASE = Decimal(10) ** 15
-_FIXED = (NumericType, BooleanType, TimestampType, DateType)
 
 
 def _any_present(prefix: str, names: list[str]) -> Column:
@@ -78,38 +78,42 @@ def carry_last(
     carries: dict[str, Carry],
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Add one column per carry: the running last non-null value within ``keys``."""
+    """Add one column per carry: the running last non-null value within ``keys``.
+
+    A segmented prefix scan that reads ``df`` once. One pass, partitioned by (keys, chunk) and sorted by ``order``, gives
+    every row the values carried inside its chunk, and leaves on the chunk's border rows what the chunk hands on. It is
+    stored; the border rows, one or two a chunk, are summed up along the chunks and joined back to the rows.
+    """
     chunk = chunk_of(F.col(order)) if chunk is None else chunk
-    base = df.withColumns({"_chunk": chunk, **{f"_v_{n}": c.value for n, c in carries.items()}})
     parts = [*keys, "_chunk"]
+    base = df.withColumns({"_chunk": chunk, **{f"_v_{n}": c.value for n, c in carries.items()}})
+    along = {side: Window.partitionBy(*parts).orderBy(F.desc(order) if side else F.asc(order)) for side in {c.backward for c in carries.values()}}
 
-    def seen_so_far(c: Carry):
-        along = F.desc(order) if c.backward else F.asc(order)
-        return Window.partitionBy(*parts).orderBy(along).rowsBetween(Window.unboundedPreceding, 0 if c.inclusive else -1)
-
-    local = base.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(seen_so_far(c)) for n, c in carries.items()})
-    # Fixed-width values are summarised by a hash aggregate; strings and the like,
-    # which would turn it into a sort, on their own over the rows that carry one.
-    fixed = [n for n in carries if isinstance(base.schema[f"_v_{n}"].dataType, _FIXED)]
-    wide = [n for n in carries if n not in fixed]
+    def inside(n: str, c: Carry) -> Column:
+        return F.last(f"_v_{n}", ignorenulls=True).over(along[c.backward].rowsBetween(Window.unboundedPreceding, 0 if c.inclusive else -1))
 
-    def edge(n: str) -> Column:
-        pick = F.min_by if carries[n].backward else F.max_by
-        return pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_s_{n}")
+    def handed_on(n: str, c: Carry) -> Column:
+        return F.when(F.col(f"_end_{c.backward}"), F.coalesce(f"_v_{n}", f"_l_{n}"))
 
-    summary = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"), *[edge(n) for n in fixed])
-    if wide:
-        carrying = base.filter(_any_present("_v_", wide))
-        summary = summary.join(carrying.groupBy(*parts).agg(*[edge(n) for n in wide]), parts, "left")
+    scanned = (
+        base.withColumns({
+            **{f"_l_{n}": inside(n, c) for n, c in carries.items()},
+            **{f"_end_{side}": F.lead(F.lit(True)).over(window).isNull() for side, window in along.items()},
+        })
+        .withColumns({f"_s_{n}": handed_on(n, c) for n, c in carries.items()})
+        .drop(*[f"_v_{n}" for n in carries])
+    )
+    scanned = materialize(scanned.withColumn("_border", reduce(lambda a, b: a | b, [F.col(f"_end_{side}") for side in along])).drop(*[f"_end_{side}" for side in along]))
 
     def from_other_chunks(c: Carry):
-        along = F.desc("_chunk") if c.backward else F.asc("_chunk")
-        return Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        to = F.desc("_chunk") if c.backward else F.asc("_chunk")
+        return Window.partitionBy(*keys).orderBy(to).rowsBetween(Window.unboundedPreceding, -1)
 
-    crossing = summary.select(
+    borders = scanned.filter("_border").groupBy(*parts).agg(*[F.max(f"_s_{n}").alias(f"_s_{n}") for n in carries])
+    crossing = borders.select(
         *parts, *[F.last(f"_s_{n}", ignorenulls=True).over(from_other_chunks(c)).alias(f"_c_{n}") for n, c in carries.items()]
     ).filter(_any_present("_c_", list(carries)))
-    return local.join(crossing, parts, "left").select(
+    return scanned.join(crossing, parts, "left").select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in carries],
     )

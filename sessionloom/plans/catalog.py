@@ -49,7 +49,7 @@ def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger.counter_usage(driver.counter_records(spark, sf_dir)).filter(F.col("accepted").isNotNull())
+    rows = layers(spark, sf_dir).counter_rows.filter(F.col("accepted").isNotNull())
     return rows.select("source_id", "ordinal", "cwd_now", "model", "provider_now", *tokens("accepted", "input", "cached", "output", "reasoning", "total", "cache_write"))
 
 
@@ -64,7 +64,7 @@ def segment_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def response_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger.response_ledger(driver.response_records(spark, sf_dir))
+    rows = layers(spark, sf_dir).response_ledger
     return rows.select("source_id", "key", "copy_ordinal", "model", "is_sidechain", "is_advisor", "stop_reason", F.size("tools").alias("tool_blocks"), *tokens())
 
 
@@ -88,7 +88,7 @@ def price_lookup_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def response_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price of every single response of the response ledger."""
-    rows = ledger.response_ledger(driver.response_records(spark, sf_dir)).filter(F.col("usage").isNotNull())
+    rows = layers(spark, sf_dir).response_ledger.filter(F.col("usage").isNotNull())
     return price_responses(rows, "model", "usage", F.col("ts")).select(
         "source_id", "key", "model", F.col("cost_nano").cast("bigint").alias("cost_nano"), "cost_micro", "is_priced"
     )

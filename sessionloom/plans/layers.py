@@ -33,24 +33,34 @@ class Inputs:
 class Layers:
     """Lazily built tables over one set of inputs.
 
-    ``counter_cells``, ``response_cells`` and ``sessions`` are materialised because
-    several results read them; the raw records are not read again after that.
+    Tables that several results read are stored: the counter records with their carried state (inside ``counter_rows``), the
+    response ledger, cells, and everything from sessions on. Counter records are read once; response records once each for
+    the scope of their logs, the ledger, child logs, user turns and messages without a model, which prune to few columns.
     """
 
     def __init__(self, inputs: Inputs):
         self.inputs = inputs
 
+    @cached_property
+    def counter_rows(self) -> DataFrame:
+        """Counter records with their state and accepted usage; the pass over the records is stored."""
+        return ledger.counter_usage(self.inputs.counter_records, self.inputs.chunk_rows)
+
     @cached_property
     def counter_cells(self) -> DataFrame:
-        return materialize(ledger.counter_cells(self.inputs.counter_records, self.inputs.chunk_rows))
+        return materialize(ledger.counter_cells(self.counter_rows))
 
     @cached_property
     def response_logs(self) -> DataFrame:
         return materialize(ledger.response_scope(self.inputs.response_records))
 
+    @cached_property
+    def response_ledger(self) -> DataFrame:
+        return materialize(ledger.response_ledger(self.inputs.response_records, self.response_logs))
+
     @cached_property
     def response_cells(self) -> DataFrame:
-        return materialize(ledger.response_cells(self.inputs.response_records, self.response_logs))
+        return materialize(ledger.response_cells(self.inputs.response_records, self.response_ledger))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -180,7 +190,7 @@ class Layers:
         return profile.profiles(self.sessions, self.tool_usage, self.model_usage, self.totals, self.git, self.windows)
 
     def release(self) -> None:
-        for name in ("counter_cells", "response_logs", "response_cells", "names", "file_models", "file_tools", "all_sessions", "repositories", "windows", "sessions", "model_usage", "git"):
+        for name in ("counter_cells", "response_logs", "response_ledger", "response_cells", "names", "file_models", "file_tools", "all_sessions", "repositories", "windows", "sessions", "model_usage", "git"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

@@ -135,18 +135,20 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("conv_id") % 7).alias("repo_id"), provider.alias("provider"), c("conv_id").cast("string").alias("session_ref"), "conv_id", "turn", "role", "text",
         F.timestamp_millis(F.lit(1_704_067_200_000) + c("conv_id") * 3_600_000 + c("turn") * 60_000).alias("occurred_at"),
     )
-    messages = base.select(
-        "repo_id", "provider", "session_ref", (c("turn") * 2).alias("ordinal"), "occurred_at",
-        "role", "text", F.when(c("role") == "system", F.lit("title")).otherwise(F.lit("message")).alias("event_kind"),
+    message = F.struct(
+        (c("turn") * 2).alias("ordinal"), c("text").alias("text"),
+        F.when(c("role") == "system", F.lit("title")).otherwise(F.lit("message")).alias("event_kind"),
         F.when(c("role") == "user", F.when(c("turn") % 4 < 2, F.lit("plan")).otherwise(F.lit("default"))).alias("permission_mode"),
         none.alias("tool_name"),
     )
-    calls = base.filter((c("role") == "assistant") & ((c("conv_id") + c("turn")) % 3 == 0)).select(
-        "repo_id", "provider", "session_ref", (c("turn") * 2 + 1).alias("ordinal"), "occurred_at", "role", none.alias("text"),
-        F.lit("tool-call").alias("event_kind"), none.alias("permission_mode"),
+    call = F.struct(
+        (c("turn") * 2 + 1).alias("ordinal"), none.alias("text"), F.lit("tool-call").alias("event_kind"), none.alias("permission_mode"),
         F.when(c("conv_id") % 5 == 0, F.lit("Read")).otherwise(F.lit("Edit")).alias("tool_name"),
     )
-    return messages.unionByName(calls)
+    calls = (c("role") == "assistant") & ((c("conv_id") + c("turn")) % 3 == 0)
+    return base.select(
+        "repo_id", "provider", "session_ref", "occurred_at", "role", F.explode(F.when(calls, F.array(message, call)).otherwise(F.array(message))).alias("e")
+    ).select("repo_id", "provider", "session_ref", "e.ordinal", "occurred_at", "role", "e.text", "e.event_kind", "e.permission_mode", "e.tool_name")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
