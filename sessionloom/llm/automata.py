@@ -121,21 +121,6 @@ class Automaton:
         size = max(len(number), 1)
         return cls(list(number), {s * size + w: t for s, moves in enumerate(after) for w, t in moves.items()}, link, length, least)
 
-    def to_bytes(self) -> bytes:
-        words = b"\n".join(self.words)
-        arrays = [np.fromiter(x, np.int64, len(x)) for x in (self.move.keys(), self.move.values(), self.link, self.length, self.least)]
-        arrays = [arrays[0], *(a.astype(np.int32) for a in arrays[1:4]), arrays[4]]
-        return np.array([len(words), len(self.move), len(self.link)], np.int64).tobytes() + words + b"".join(a.tobytes() for a in arrays)
-
-    @classmethod
-    def from_bytes(cls, raw: bytes) -> Automaton:
-        n_words, moves, states = np.frombuffer(raw, np.int64, 3).tolist()
-        at, out = 24 + n_words, []
-        for kind, n in ((np.int64, moves), (np.int32, moves), (np.int32, states), (np.int32, states), (np.int64, states)):
-            out.append(np.frombuffer(raw, kind, n, at).tolist())
-            at += np.dtype(kind).itemsize * n
-        return cls(raw[24 : 24 + n_words].split(b"\n"), dict(zip(out[0], out[1])), *out[2:])
-
     def spans(self, piece: bytes, doc: int, length: int) -> list[tuple[int, int]]:
         """Maximal spans of words covered by matches of at least ``length`` words with a document before ``doc``."""
         move, link, sizes, least, size = self.move.get, self.link, self.length, self.least, max(len(self.words), 1)
@@ -238,18 +223,20 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 13, gram: i
 
     ``docs`` has (key long, version long, text); those in ``copies`` (key, version) get no spans, their texts stand under a smaller key. A
     window belongs to its least gram, so copies of a window meet under one gram, and a gram of one text has none. The different
-    pieces under the remaining grams, each with its least key, are the reference; they are dealt to shards of about ``shard_words`` words by their gram, and each shard's suffix automaton
-    is built once. All pieces stream past the automaton of their shard, which is sent to as many tasks as there are
-    ``stream_rows`` pieces for it. A gram with more than ``crowd`` different pieces is dealt by single windows instead.
+    pieces under the remaining grams, each with its least key, are the reference; they are dealt to shards of about ``shard_words`` words
+    by their gram. All pieces stream past the suffix automaton of their shard. The shard's reference, which is bounded and far
+    smaller than its automaton, is sent to every task that streams pieces of it, one for each ``stream_rows`` of them, and
+    the automaton is built there. A gram with more than ``crowd`` different pieces is dealt by single windows instead.
     """
     rows = _runs(docs, length, gram)
     often = stash(rows.groupBy("gram").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a <> b").select("gram"))
     runs = stash(rows.join(often, "gram", "left_semi").join(copies, ["key", "version"], "left_anti"))
     pieces = stash(_cut_pieces(docs, runs, length))
+    drop_stash(often, runs)
     kind = lambda x: x.groupBy("gram", "piece").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     kinds = stash(kind(pieces))
     crowded = stash(kinds.groupBy("gram").count().where(F.col("count") > crowd).select("gram"))
-    temporary = [often, runs, pieces, kinds, crowded]
+    temporary = [pieces, kinds, crowded]
     if not crowded.isEmpty():
         single = stash(_single_windows(pieces.join(crowded, "gram", "left_semi"), length))
         pieces = pieces.join(crowded, "gram", "left_anti").unionByName(single)
@@ -258,23 +245,18 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 13, gram: i
     words = F.size(F.split(F.col("piece").cast("string"), " "))
     shards = max(1, (kinds.agg(F.sum(words)).first()[0] or 0) // shard_words)
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")
-
-    def build(group: pa.Table) -> pa.Table:
-        made = Automaton.build(group.column("piece").to_pylist(), group.column("key").to_pylist())
-        tasks = -(-sum(group.column("n").to_pylist()) // stream_rows)
-        return pa.table({"shard": group.column("shard")[:1], "tasks": pa.array([tasks], pa.int32()), "automaton": pa.array([made.to_bytes()], pa.binary())})
-
-    automata = stash(kinds.select(shard, "piece", "key", "n").groupBy("shard").applyInArrow(build, "shard long, tasks int, automaton binary"))
-    wide = automata.where("tasks > 1").select("shard", "tasks")
-    dealt = pieces.select(shard, "key", "version", "start", "piece").join(wide, "shard", "left")
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "version", "start"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
-    sent = automata.select("shard", "automaton", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    busy = stash(kinds.groupBy(shard).agg(F.ceil(F.sum("n") / stream_rows).cast("int").alias("tasks")).where("tasks > 1"))
+    spread = F.coalesce("tasks", F.lit(1))
+    dealt = pieces.select(shard, "key", "version", "start", "piece").join(busy, "shard", "left")
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "version", "start"), spread).cast("int")).drop("tasks")
+    reference = kinds.select(shard, "piece", "key").join(busy, "shard", "left")
+    reference = reference.select("shard", "piece", "key", F.explode(F.sequence(F.lit(0), spread - 1)).alias("task"))
     schema = pa.schema([("key", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def stream(pieces: pa.Table, automaton: pa.Table) -> pa.Table:
+    def stream(pieces: pa.Table, reference: pa.Table) -> pa.Table:
         if not pieces.num_rows:
             return schema.empty_table()
-        made = Automaton.from_bytes(automaton.column("automaton")[0].as_py())
+        made = Automaton.build(reference.column("piece").to_pylist(), reference.column("key").to_pylist())
         at, start, end = [], [], []
         for i, (key, first, piece) in enumerate(zip(*(pieces.column(c).to_pylist() for c in ("key", "start", "piece")))):
             for a, b in made.spans(piece, key, length):
@@ -284,8 +266,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 13, gram: i
         rows = pa.array(at, pa.int64())
         return pa.table([pieces.column("key").take(rows), pieces.column("version").take(rows), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=schema)
 
-    found = dealt.groupBy("shard", "task").cogroup(sent.groupBy("shard", "task")).applyInArrow(stream, "key long, version long, start int, end int")
-    found._temporary = (*temporary, automata)
+    found = dealt.groupBy("shard", "task").cogroup(reference.groupBy("shard", "task")).applyInArrow(stream, "key long, version long, start int, end int")
+    found._temporary = (*temporary, busy)
     return found
 
 
