@@ -142,21 +142,21 @@ WHERE u_last = 1 AND NOT EXISTS (SELECT 1 FROM cv4 c WHERE c.session_ref = u.ses
 )
 
 
-def selection(max_excerpts: int, max_chars: int, total: int, per_session: int, decisions: int) -> str:
+def selection(max_excerpts: int, max_chars: int, total: int, per_session: int, decisions: int, total_bytes: int = 1 << 60) -> str:
     """The greedy pass as a recursive query, one candidate per step and repository."""
     return f"""
 fold_in AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY pos, provider, session_ref) AS step FROM ({excerpt('cand', max_chars)})),
 fold AS (
-  SELECT repo_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS chars, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS decided, CAST('' AS VARCHAR) AS verdict FROM fold_in GROUP BY 1
+  SELECT repo_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS chars, CAST(0 AS BIGINT) AS bytes, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS decided, CAST('' AS VARCHAR) AS verdict FROM fold_in GROUP BY 1
   UNION ALL
-  SELECT repo_id, step, kept + (verdict = 'kept')::INT, chars + CASE WHEN verdict = 'kept' THEN size ELSE 0 END,
+  SELECT repo_id, step, kept + (verdict = 'kept')::INT, chars + CASE WHEN verdict = 'kept' THEN size ELSE 0 END, bytes + CASE WHEN verdict = 'kept' THEN octets ELSE 0 END,
     CASE WHEN verdict = 'kept' THEN list_append(taken, session_ref) ELSE taken END,
     CASE WHEN verdict = 'kept' AND role = 'assistant-decision' THEN list_append(decided, session_ref) ELSE decided END, verdict
   FROM (
-    SELECT f.repo_id, i.step, f.kept, f.chars, f.taken, f.decided, i.session_ref, i.role, length(i.clean) AS size,
+    SELECT f.repo_id, i.step, f.kept, f.chars, f.bytes, f.taken, f.decided, i.session_ref, i.role, length(i.clean) AS size, strlen(i.clean) AS octets,
       CASE WHEN f.kept >= {max_excerpts} THEN 'budget' WHEN len(list_filter(f.taken, lambda x: x = i.session_ref)) >= {per_session} THEN 'budget'
         WHEN i.role = 'assistant-decision' AND len(list_filter(f.decided, lambda x: x = i.session_ref)) >= {decisions} THEN 'budget'
-        WHEN i.clean IS NULL THEN 'redaction' WHEN f.chars + length(i.clean) > {total} THEN 'budget' ELSE 'kept' END AS verdict
+        WHEN i.clean IS NULL THEN 'redaction' WHEN f.chars + length(i.clean) > {total} OR f.bytes + strlen(i.clean) > {total_bytes} THEN 'budget' ELSE 'kept' END AS verdict
     FROM fold f JOIN fold_in i ON i.repo_id = f.repo_id AND i.step = f.step + 1
   )
 )"""
@@ -177,6 +177,15 @@ SELECT *, EXISTS (SELECT 1 FROM cat WHERE cat.repo_id = x.rid AND cat.ref = x.r)
 
 _DEFAULT = selection(40, 600, 20000, 6, 3)
 _CLOUD = selection(80, 800, 60000, 8, 4)
+_DEEP = selection(400, 1500, 700 * 1024, 12, 6, 700 * 1024)
+_TIGHT = selection(30, 300, 3000, 2, 1, 3100)
+
+_CHOSEN = f"""
+SELECT i.repo_id, {sid('exc_', 20, 'i.session_ref', 'i.role', iso('i.ts'), 'f.kept - 1')} AS excerpt_id, i.provider, i.session_ref, {iso('i.ts')} AS occurred_at, i.role, i.clean AS text, f.kept - 1 AS index
+FROM fold f JOIN fold_in i USING (repo_id, step) WHERE f.verdict = 'kept'"""
+_AUDITED = """
+SELECT i.repo_id, i.provider, count(*) AS candidates, count(*) FILTER (verdict = 'kept') AS kept, count(*) FILTER (verdict = 'redaction') AS by_redaction,
+  count(*) FILTER (verdict = 'budget') AS by_budget FROM fold f JOIN fold_in i USING (repo_id, step) GROUP BY 1, 2"""
 
 SQL = {
     "provider_selection": f"""
@@ -213,18 +222,10 @@ FROM (
 SELECT CAST(conv_id AS VARCHAR) AS workspace, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text
 FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' AND conv_id % 4 <> 3""",
     "excerpt_candidates": f"SELECT repo_id, provider, session_ref, pos, role, {iso('ts')} AS occurred_at, text FROM cand",
-    "evidence_selection": recursive(
-        f"""
-SELECT i.repo_id, {sid('exc_', 20, 'i.session_ref', 'i.role', iso('i.ts'), 'f.kept - 1')} AS excerpt_id, i.provider, i.session_ref, {iso('i.ts')} AS occurred_at, i.role, i.clean AS text, f.kept - 1 AS index
-FROM fold f JOIN fold_in i USING (repo_id, step) WHERE f.verdict = 'kept'""",
-        _DEFAULT,
-    ),
-    "evidence_audit": recursive(
-        """
-SELECT i.repo_id, i.provider, count(*) AS candidates, count(*) FILTER (verdict = 'kept') AS kept, count(*) FILTER (verdict = 'redaction') AS by_redaction,
-  count(*) FILTER (verdict = 'budget') AS by_budget FROM fold f JOIN fold_in i USING (repo_id, step) GROUP BY 1, 2""",
-        _CLOUD,
-    ),
+    "evidence_selection": recursive(_CHOSEN, _DEFAULT),
+    "evidence_audit": recursive(_AUDITED, _CLOUD),
+    "evidence_deep": recursive(_CHOSEN, _DEEP),
+    "evidence_tight": recursive(_AUDITED, _TIGHT),
     "claim_errors": """
 SELECT repo_id, CAST(number AS INTEGER) AS number, error FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY p, step) AS number FROM (

@@ -246,6 +246,68 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHOSEN = "repo_id bigint, provider string, session_ref string, pos bigint, index bigint, of_session bigint, of_decisions bigint"
 
 
+def _sized(cleaned: DataFrame, budget: Budget) -> DataFrame:
+    """Candidates without a secret: where they stand and what they take, without text."""
+    return cleaned.filter(F.col("clean").isNotNull()).select(
+        "repo_id", "provider", "session_ref", "pos", (F.col("role") == "assistant-decision").alias("is_decision"),
+        F.length("clean").alias("chars"),
+        (F.octet_length("clean") if budget.max_total_bytes is not None else F.lit(0)).alias("bytes"),
+    )
+
+
+def greedy_rounds(cleaned: DataFrame, budget: Budget) -> DataFrame:
+    """The greedy pass in rounds over all repositories at once, for budgets with many candidates of many sizes.
+
+    A round keeps what still fits what is left of the budgets; nothing else can be accepted any more. Supposing that no size is
+    refused, the limits of sessions alone say which of these come next, and of them the longest head whose running sums
+    fit is accepted: so far nothing was refused, so the pass decides alike. The candidate behind the head is the one the
+    pass refuses, and everything up to it is settled. What is left is then smaller than that candidate, so a round
+    ends one size at least, and a repository has as many rounds as refusals that end a head. Windows keep at most
+    ``per_session`` rows of a session and ``max_excerpts`` + 1 of a repository from each task; only these are summed up.
+    """
+    key = ["repo_id", "provider", "session_ref"]
+    place = F.struct("pos", "provider", "session_ref")
+    most, total_bytes = budget.max_excerpts, budget.max_total_bytes
+    of_kind = F.row_number().over(Window.partitionBy(*key, "is_decision").orderBy("pos"))
+    of_session = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
+    in_order = Window.partitionBy("repo_id").orderBy("pos", "provider", "session_ref")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    columns = [*key, "pos", "is_decision", "chars", "bytes"]
+    live = materialize(_sized(cleaned, budget))
+    start = {"_at": F.lit(None).cast("struct<pos:bigint,provider:string,session_ref:string>"), **{c: F.lit(0).cast("long") for c in ("_kept", "_chars", "_bytes", "_taken", "_decided")}}
+    rows, accepted = live.withColumns(start), None
+    while True:
+        fits = (
+            (F.col("_at").isNull() | (place > F.col("_at")))
+            & (F.col("chars") + F.col("_chars") <= budget.max_total_chars)
+            & (F.lit(True) if total_bytes is None else F.col("bytes") + F.col("_bytes") <= total_bytes)
+            & (F.col("_taken") < budget.per_session)
+            & ~(F.col("is_decision") & (F.col("_decided") >= budget.decisions_per_session))
+        )
+        rows = materialize(rows.filter(fits))
+        able = rows.withColumn("_n", of_kind).filter(F.col("_n") <= budget.per_session).filter(~F.col("is_decision") | (F.col("_n") <= budget.decisions_per_session - F.col("_decided")))
+        able = able.withColumn("_n", of_session).filter(F.col("_n") <= budget.per_session).filter(F.col("_n") <= budget.per_session - F.col("_taken"))
+        heads = able.withColumn("_n", F.row_number().over(in_order)).filter(F.col("_n") <= most + 1)
+        fine = (F.col("_n") + F.col("_kept") <= most) & (F.sum("chars").over(so_far) + F.col("_chars") <= budget.max_total_chars)
+        if total_bytes is not None:
+            fine = fine & (F.sum("bytes").over(so_far) + F.col("_bytes") <= total_bytes)
+        heads = materialize(heads.withColumn("_fine", fine).select(*columns, "_fine"))
+        taken = heads.filter("_fine").select(*columns)
+        accepted = taken if accepted is None else materialize(accepted.unionByName(taken))
+        used = accepted.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_kept"), F.sum("chars").alias("_chars"), F.sum("bytes").alias("_bytes"))
+        stops = heads.filter("NOT _fine").groupBy("repo_id").agg(F.min(place).alias("_at"))
+        state = stops.join(used, "repo_id", "left").na.fill(0, ["_kept", "_chars", "_bytes"]).filter(F.col("_kept") < most)
+        if state.isEmpty():
+            break
+        sessions = accepted.groupBy(*key).agg(F.count(F.lit(1)).alias("_taken"), F.count_if("is_decision").alias("_decided"))
+        rows = rows.select(*columns).join(state, "repo_id").join(sessions, key, "left").na.fill(0, ["_taken", "_decided"])
+    in_session = Window.partitionBy(*key).orderBy("pos")
+    return accepted.select(
+        *key, "pos", (F.row_number().over(in_order) - 1).cast("long").alias("index"), F.row_number().over(in_session).cast("long").alias("of_session"),
+        F.sum(F.col("is_decision").cast("long")).over(in_session.rowsBetween(Window.unboundedPreceding, 0)).alias("of_decisions"),
+    )
+
+
 def contenders(cleaned: DataFrame, budget: Budget) -> DataFrame:
     """Every candidate that any greedy pass could accept, a bounded number per repository.
 
@@ -257,11 +319,7 @@ def contenders(cleaned: DataFrame, budget: Budget) -> DataFrame:
     sessions (at most M / per_session sessions with per_session each) and of sessions
     full of decisions (M / decisions_per_session with per_session each).
     """
-    sized = cleaned.filter(F.col("clean").isNotNull()).select(
-        "repo_id", "provider", "session_ref", "pos", (F.col("role") == "assistant-decision").alias("is_decision"),
-        F.length("clean").alias("chars"),
-        (F.octet_length("clean") if budget.max_total_bytes is not None else F.lit(0)).alias("bytes"),
-    )
+    sized = _sized(cleaned, budget)
     size = ["repo_id", "is_decision", "chars", "bytes"]
     in_session = Window.partitionBy(*size, "provider", "session_ref").orderBy("pos")
     in_repository = Window.partitionBy(*size).orderBy("pos", "provider", "session_ref")
@@ -280,17 +338,22 @@ class Selection:
     per_provider: DataFrame
 
 
-def select_evidence(found: DataFrame, budget: Budget = BUDGETS["default"]) -> Selection:
+def select_evidence(found: DataFrame, budget: Budget = BUDGETS["default"], rounds: bool | None = None) -> Selection:
     """Fair round-robin selection per repository under a global budget.
 
     One candidate per session and pass, sessions by (provider, reference). A candidate
     is refused, in this order, when the repository has enough, its session has enough,
     its session has enough decisions, it holds a secret, or it does not fit any more;
     a later, smaller one may still fit. Only sizes and positions of the contenders reach
-    the pass; the counters of everything else follow from the accepted rows by joins.
+    the pass; the counters of everything else follow from the accepted rows by joins. Budgets in bytes have too many
+    sizes to bound the contenders of a repository by much; their pass runs in ``rounds`` over all candidates.
     """
+    rounds = budget.max_total_bytes is not None if rounds is None else rounds
     cleaned = materialize(with_clean_excerpt(found, "text", "clean", budget.max_chars).drop("text"))
-    chosen = contenders(cleaned, budget).groupBy("repo_id").applyInPandas(_fold(budget), _CHOSEN)
+    if rounds:
+        chosen = greedy_rounds(cleaned, budget)
+    else:
+        chosen = contenders(cleaned, budget).groupBy("repo_id").applyInPandas(_fold(budget), _CHOSEN)
     key = ["repo_id", "provider", "session_ref", "pos"]
     excerpts = cleaned.join(chosen, key).select(
         "repo_id", stable_id("exc_", 20, F.col("session_ref"), F.col("role"), iso(F.col("occurred_at")), F.col("index")).alias("excerpt_id"),

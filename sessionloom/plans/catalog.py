@@ -428,6 +428,20 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.excerpts.select("repo_id", "excerpt_id", "provider", "session_ref", iso(F.col("occurred_at")).alias("occurred_at"), "role", "text", "index")
 
 
+@query
+def evidence_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deep budget, chosen in distributed rounds."""
+    chosen = evidence.select_evidence(evidence.candidates(driver.conversation_events(spark, sf_dir)), evidence.BUDGETS["deep"])
+    return chosen.excerpts.select("repo_id", "excerpt_id", "provider", "session_ref", iso(F.col("occurred_at")).alias("occurred_at"), "role", "text", "index")
+
+
+@query
+def evidence_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters under a budget so small that sizes are refused again and again, in rounds."""
+    tight = evidence.Budget(30, 300, 3_000, 3_100, 2, 1)
+    return evidence.select_evidence(evidence.candidates(driver.conversation_events(spark, sf_dir)), tight).per_provider
+
+
 @query
 def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.select_evidence(evidence.candidates(driver.conversation_events(spark, sf_dir)), evidence.BUDGETS["cloud"]).per_provider

@@ -157,3 +157,62 @@ def test_selection_matches_the_plain_greedy_pass(spark, seed):
             taken[ref] = taken.get(ref, 0) + 1
             decided[ref] = decided.get(ref, 0) + (role == "assistant-decision")
         assert audit[repo] == (len(rows), kept, red, len(rows) - kept - red)
+
+
+def plain_pass(rows, budget):
+    """One candidate after the other: (pos, provider, session, is_decision, chars, bytes)."""
+    chars = size = 0
+    taken, decided, kept = {}, {}, []
+    for pos, provider, ref, decision, c, b in sorted(rows):
+        if len(kept) >= budget.max_excerpts:
+            break
+        if taken.get(ref, 0) >= budget.per_session or (decision and decided.get(ref, 0) >= budget.decisions_per_session):
+            continue
+        if chars + c > budget.max_total_chars or (budget.max_total_bytes is not None and size + b > budget.max_total_bytes):
+            continue
+        chars, size = chars + c, size + b
+        taken[ref] = taken.get(ref, 0) + 1
+        decided[ref] = decided.get(ref, 0) + decision
+        kept.append((ref, pos, len(kept), taken[ref], decided[ref]))
+    return kept
+
+
+def test_rounds_choose_like_the_plain_pass_of_a_huge_repository(spark):
+    """A million candidates of one repository, most in one session, and a few small repositories."""
+    n = 1_000_000
+    size = lambda i: 40 + (i * 7919) % 1400
+    ref = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 5003).cast("string")))
+    wide = (F.col("id") * 7919 % 1400 + 40).cast("int")
+    huge = spark.range(n).select(
+        F.lit(1).cast("long").alias("repo_id"), F.lit("codex").alias("provider"), ref.alias("session_ref"), F.col("id").alias("pos"),
+        F.when(F.col("id") % 2 == 0, F.lit("assistant-decision")).otherwise(F.lit("user-intent")).alias("role"),
+        F.when(F.col("id") % 5 == 4, F.concat(F.repeat(F.lit("é"), F.lit(40)), F.repeat(F.lit("x"), wide - 40))).otherwise(F.repeat(F.lit("x"), wide)).alias("clean"),
+    )
+    rng = random.Random(9)
+    few = [(2 + i % 5, "codex", f"s{rng.randrange(4)}", i, rng.choice(["assistant-decision", "outcome"]), None if rng.random() < 0.1 else "y" * rng.choice([3, 50, 400, 1500])) for i in range(300)]
+    cleaned = huge.unionByName(spark.createDataFrame(few, "repo_id bigint, provider string, session_ref string, pos bigint, role string, clean string"))
+    mine = [(i, "codex", "hot" if i % 3 == 0 else f"s{i % 5003}", i % 2 == 0, size(i), size(i) + (40 if i % 5 == 4 else 0)) for i in range(n)]
+    small = {}
+    for repo, provider, s, pos, role, clean in few:
+        if clean is not None:
+            small.setdefault(repo, []).append((pos, provider, s, role == "assistant-decision", len(clean), len(clean)))
+    for budget in (evidence.BUDGETS["deep"], evidence.Budget(60, 1500, 12_345, 12_400, 2, 1)):
+        got = {}
+        for r in evidence.greedy_rounds(cleaned, budget).collect():
+            got.setdefault(r.repo_id, []).append((r.session_ref, r.pos, r["index"], r.of_session, r.of_decisions))
+        for repo, rows in {1: mine, **small}.items():
+            assert sorted(got[repo], key=lambda x: x[2]) == plain_pass(rows, budget)
+
+
+def test_raw_tables_are_read_once(spark):
+    """With a shared folder every pass is stored, so plans show what is still read from the raw tables."""
+    from sessionloom.plans.catalog import QUERIES
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        pytest.skip("passes are only cached without a shared folder")
+    sf, plan = "/root/testdata/sf0.001", lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name, raw in (("token_deltas", "events"), ("response_ledger", "events"), ("response_costs", "events"), ("excerpt_candidates", "conversations")):
+        assert plan(QUERIES[name](spark, sf)).count(f"{raw}.parquet") == 0
+    records = spark.createDataFrame([("a", 1, 2), ("a", 2, None)], "k string, o bigint, v bigint")
+    scans = plan(carry_last(records, ["k"], "o", {"x": Carry(F.col("v")), "y": Carry(F.col("v"), False, True)}))
+    assert "ExistingRDD" not in scans and scans.count("FileScan parquet") == 2  # the stored pass and its border rows
