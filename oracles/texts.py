@@ -167,6 +167,11 @@ def recursive(sql: str, parts: str) -> str:
     return f"/*fold*/{parts}/*end*/{sql}"
 
 
+CTES["mu_doc"] = "SELECT repo_id, model_provider, model, calls, cost_micro, repriced, p_total AS pt FROM mu"
+CTES["snap"] = f"""
+SELECT w_all.repo_id, {iso('window_start')} AS ws, {iso('window_end')} AS we, sessions, turns, CAST(tool_calls AS BIGINT) AS tool_calls,
+  concat_ws(',' || chr(10), '      "cache_read": ' || read, '      "input": ' || input, '      "output": ' || output) AS string_agg_tokens
+FROM w_all JOIN tot USING (repo_id)"""
 CTES["cl"] = """
 SELECT repo_id, p, concat('moments.', p, '.title') AS path, CASE WHEN p % 11 = 0 THEN '' ELSE concat('Session with ', turns, ' turns') END AS text,
   CASE WHEN p % 13 = 0 THEN [] ELSE [ref, CASE WHEN p % 5 = 0 THEN 'S999' WHEN p % 7 = 0 THEN ref ELSE 'S01' END] END AS refs
@@ -211,6 +216,29 @@ SELECT doc_id, CASE WHEN shown = '' THEN 'unknown' WHEN length(shown) > 1000 THE
 SELECT repo_id, count(*) AS rows, count(*) FILTER (secret <> '' OR place <> '') AS leaking_rows, count(*) FILTER (secret <> '') AS secret_rows,
   count(*) FILTER (secret <> '' OR place <> '') = 0 AS passed
 FROM (SELECT repo_id, {found(SECRET_RULES, 'text')} AS secret, {found(LOCATION_RULES, 'text')} AS place FROM dt) GROUP BY 1""",
+    "nested_leaks": f"""
+WITH RECURSIVE nd AS (SELECT doc_id, source, text, doc_id % 11 = 0 AS cut FROM documents),
+ln AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM nd WHERE NOT cut)),
+fd AS (SELECT doc_id, concat('$.body.lines[', i, ']') AS path, {found(SECRET_RULES, 'line')} AS s, {found(LOCATION_RULES, 'line')} AS l FROM ln)
+SELECT doc_id, '$' AS path, 'invalid' AS kind, 'json' AS category FROM nd WHERE cut
+UNION ALL SELECT doc_id, '$.body.extra[0].prompt', 'key', 'prompt' FROM nd WHERE NOT cut AND doc_id % 3 = 1
+UNION ALL SELECT doc_id, path, 'secret', unnest(string_split(s, ',')) FROM fd WHERE s <> ''
+UNION ALL SELECT doc_id, path, 'location', unnest(string_split(l, ',')) FROM fd WHERE l <> ''""",
+    "snapshot_documents": """
+SELECT repo_id, concat('{\n  "models": ', coalesce((SELECT concat('[\n    ', string_agg(concat('{\n      "calls": ', calls, ',\n      "cost_micro": ', coalesce(CAST(cost_micro AS VARCHAR), 'null'),
+    ',\n      "model": "', model, '",\n      "model_provider": "', model_provider, '",\n      "priced": {\n        "second_lookup": ', repriced,
+    CASE WHEN pt IS NULL THEN '' ELSE concat(',\n        "total": ', pt) END, '\n      }\n    }'), ',\n    ' ORDER BY model_provider, model), '\n  ]') FROM mu_doc m WHERE m.repo_id = w.repo_id), '[]'),
+  ',\n  "notes": [],\n  "totals": {\n    "sessions": ', sessions, ',\n    "tokens": {\n', string_agg_tokens, '\n    },\n    "tool_calls": ', tool_calls, ',\n    "turns": ', turns,
+  '\n  },\n  "window": {\n    "end": "', we, '",\n    "since": null,\n    "start": "', ws, '"\n  }\n}\n') AS document
+FROM snap w""",
+    "publish_verdicts": f"""
+SELECT r.repo_id, coalesce(s.n, 0) + coalesce(p.n, 0) AS documents, coalesce(p.bad, 0) AS leaking_documents, coalesce(p.bad, 0) = 0 AS passed FROM repos r
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM s_dedup GROUP BY 1) s USING (repo_id)
+LEFT JOIN (SELECT page_id % 4 AS repo_id, count(*) AS n, CAST(count(*) FILTER ({found(SECRET_RULES, 'url')} <> '' OR {found(LOCATION_RULES, 'url')} <> '') AS BIGINT) AS bad FROM pages GROUP BY 1) p USING (repo_id)""",
+    "published_sessions": f"""
+SELECT repo_id, session_ref, provider, {iso('started_at')} AS started_at, {iso('ended_at')} AS ended_at, turns, assistant_messages, CAST(tool_calls AS BIGINT) AS tool_calls,
+  coalesce((SELECT string_agg(DISTINCT model, '|' ORDER BY model) FROM m_all m WHERE m.repo_id = s.repo_id AND m.session_ref = s.session_ref), '') AS models
+FROM s_dedup s WHERE repo_id NOT IN (SELECT page_id % 4 FROM pages)""",
     "remote_identity": """
 SELECT page_id, concat('sha256:', sha256(CASE WHEN host IS NOT NULL THEN concat(host, '/', path) ELSE concat('/repo/', page_id) END)) AS fingerprint,
   CASE WHEN host IS NOT NULL THEN 'canonical-remote' ELSE 'local-path' END AS fingerprint_basis, CASE WHEN host IS NOT NULL THEN concat('sha256:', sha256(path)) END AS path_hash

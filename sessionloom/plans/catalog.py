@@ -18,7 +18,9 @@ from sessionloom.operators import timeline as timeline_ops
 from sessionloom.operators.pricing import price_epoch, price_lookup, price_responses
 from sessionloom.operators.scope import remote_identity as remote_identity_of
 from sessionloom.operators.scope import scope_directories
-from sessionloom.plans import report
+from sessionloom.functions.canonical import document
+from sessionloom.operators import documents as document_ops
+from sessionloom.plans import publish, report
 from sessionloom.plans.driver_layers import layers
 from sessionloom.schema import COUNTERS
 from sessionloom.sources import chat_blobs
@@ -401,6 +403,55 @@ def leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ops.publish_gate(driver.texts(spark, sf_dir), "text")
 
 
+@query
+def nested_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in nested documents a forbidden key, a secret or a private location stands."""
+    nodes = document_ops.document_nodes(driver.nested_documents(spark, sf_dir), ["doc_id"], "document")
+    return document_ops.document_leaks(nodes, ["doc_id"], quality_ops.FORBIDDEN_KEYS)
+
+
+@query
+def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested canonical document per repository, over its totals, window and models."""
+    built, c = layers(spark, sf_dir), F.col
+    model = F.struct("model_provider", "model", "calls", F.struct("priced.total", c("repriced").alias("second_lookup")).alias("priced"), "cost_micro")
+    models = built.model_usage.groupBy("repo_id").agg(F.array_sort(F.collect_list(model)).alias("models"))
+    window = F.struct(iso(c("window_start")).alias("start"), iso(c("window_end")).alias("end"), F.lit(None).cast("string").alias("since"), F.lit(None).cast("string").alias("until"))
+    totals = built.totals.select("repo_id", F.struct("sessions", "turns", "tool_calls", F.struct("usage.input", "usage.output", "usage.cache_read").alias("tokens")).alias("totals"))
+    rows = built.windows.select("repo_id", window.alias("window")).join(totals, "repo_id", "left").join(models, "repo_id", "left")
+    rows = rows.select("repo_id", F.struct("window", "totals", "models", F.array().cast("array<string>").alias("notes")).alias("snapshot"))
+    return rows.select("repo_id", document(c("snapshot"), rows.schema["snapshot"].dataType, {"window.since", "models.cost_micro"}).alias("document"))
+
+
+def _published(spark: SparkSession, sf_dir: str) -> tuple[dict[str, publish.Section], DataFrame, str]:
+    c, path = F.col, publish.scratch(spark)
+    sessions = layers(spark, sf_dir).all_sessions.select(
+        "repo_id", "session_ref", "provider", F.struct(iso(c("started_at")).alias("start"), iso(c("ended_at")).alias("end")).alias("span"),
+        F.struct("turns", "assistant_messages", "tool_calls").alias("counts"), c("model_refs").alias("models"),
+    )
+    pages = driver.remotes(spark, sf_dir).select((c("page_id") % 4).alias("repo_id"), "page_id", F.struct(c("url").alias("origin")).alias("found"))
+    sections = {"sessions": publish.Section(sessions), "remotes": publish.Section(pages)}
+    verdict, _ = publish.publish(sections, path)
+    return sections, verdict, path
+
+
+@query
+def publish_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of every repository and addresses of pages in some: what the check says about each."""
+    return _published(spark, sf_dir)[1]
+
+
+@query
+def published_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions read back from what was published: those of the repositories without addresses."""
+    sections, _, path = _published(spark, sf_dir)
+    rows = publish.read_published(spark, path, "sessions", sections["sessions"].schema)
+    return rows.select(
+        "repo_id", "session_ref", "provider", F.col("span.start").alias("started_at"), F.col("span.end").alias("ended_at"),
+        "counts.turns", "counts.assistant_messages", "counts.tool_calls", F.array_join("models", "|").alias("models"),
+    )
+
+
 @query
 def remote_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = F.concat(F.lit("/repo/"), F.col("page_id").cast("string"))

@@ -155,6 +155,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("repo_id"), "text")
 
 
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as nested JSON documents: lines in an array, the source under a key that may or may not be published, some cut off."""
+    c = F.col
+    key = F.when(c("doc_id") % 3 == 0, F.lit("title")).when(c("doc_id") % 3 == 1, F.lit("prompt")).otherwise(F.lit("note"))
+    body = F.struct(F.split("text", "\n").alias("lines"), F.array(F.create_map(key, c("source"))).alias("extra"))
+    text = F.to_json(F.struct(c("lang").alias("lang"), body.alias("body")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(c("doc_id") % 11 == 0, F.left(text, F.lit(20))).otherwise(text).alias("document"))
+
+
 def remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url")
 
