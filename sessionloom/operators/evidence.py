@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -98,7 +99,7 @@ def response_events(records: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def counter_events(carried: DataFrame, sessions: DataFrame, scope: DataFrame) -> DataFrame:
-    """Messages and tool calls inside the repository; event text wins over response text.
+    """Messages and tool calls inside the repository, messages of both kinds of record; ``number_events`` chooses between them.
 
     ``carried``: counter records with their working directory (``cwd_now``) and text.
     """
@@ -110,17 +111,34 @@ def counter_events(carried: DataFrame, sessions: DataFrame, scope: DataFrame) ->
     reply = F.when(item & (kind == "message") & F.col("role").isin("user", "assistant"), F.col("role"))
     tool = F.when(item, counter_tool(kind, F.col("tool_raw")))
     owned = _owned(carried, sessions, COUNTER_PROVIDER).join(scope.select("cwd_now", "repo_id"), ["cwd_now", "repo_id"], "left_semi")
-    rows = owned.select(
+    return owned.select(
         "repo_id", "provider", "session_ref", "ordinal", F.coalesce("ts", F.timestamp_millis(F.lit(0))).alias("occurred_at"),
         F.coalesce(says, reply, F.when(tool.isNotNull(), F.lit("assistant"))).alias("role"),
         F.when(tool.isNull() & (F.length("text") > 0), F.col("text")).alias("text"),
         F.when(tool.isNotNull(), F.lit("tool-call")).otherwise(F.lit("message")).alias("event_kind"),
-        F.lit(None).cast("string").alias("permission_mode"), tool.alias("tool_name"), says.isNotNull().alias("_is_event"),
+        F.lit(None).cast("string").alias("permission_mode"), tool.alias("tool_name"),
+        F.when(says.isNotNull(), F.lit("event")).when(reply.isNotNull(), F.lit("response")).alias("copy"),
     ).filter(F.col("role").isNotNull() & (F.col("text").isNotNull() | F.col("tool_name").isNotNull()))
-    preferred = rows.filter(F.col("_is_event")).select("repo_id", "session_ref").distinct().withColumn("_has_events", F.lit(True))
-    return rows.join(preferred, ["repo_id", "session_ref"], "left").filter(
-        (F.col("event_kind") == "tool-call") | F.col("_is_event") | F.col("_has_events").isNull()
-    ).select(*EVENT_COLUMNS)
+
+
+def number_events(*parts: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The common events of all dialects, each with its ``number`` in its session, from 1 without gaps in what was read.
+
+    Only a session's first title counts. A log that holds every message twice, as an event and as a response (``copy``), keeps
+    the events, or the responses where it has no event; dropped copies keep their numbers. The table is stored, it is what everything about
+    conversations reads. Numbers are counted per chunk of records and offset, so one session may be of any length.
+    """
+    key = ["repo_id", "provider", "session_ref"]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if "copy" not in every.columns:
+        every = every.withColumn("copy", F.lit(None).cast("string"))
+    every = materialize(every)
+    titles = every.filter("event_kind = 'title'").select(*key, "ordinal")
+    later = titles.join(titles.groupBy(*key).agg(F.min("ordinal").alias("_first")), key).filter("ordinal > _first").select(*key, "ordinal")
+    numbered = ranked(every.join(later, [*key, "ordinal"], "left_anti"), key, record_chunk(chunk_rows), [F.col("ordinal")], "number")
+    with_events = every.filter("copy = 'event'").select(*key).distinct().withColumn("_events", F.lit(True))
+    kept = numbered.join(with_events, key, "left").filter("copy IS NULL OR copy = 'event' OR _events IS NULL")
+    return kept.select(*EVENT_COLUMNS, "number")
 
 
 def blob_events(messages: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.functions.redaction import has_known_secret, known_secrets, private_locations
+from sessionloom.functions.redaction import known_secrets, private_locations
 from sessionloom.functions.tables import constant_table
 from sessionloom.operators.sessions import PROVIDER_LABELS
 from sessionloom.schema import BLOB_PROVIDER, COUNTER_PROVIDER, DETECT_ONLY_PROVIDER, RESPONSE_PROVIDER
@@ -186,54 +186,12 @@ def assumptions(selection: DataFrame) -> DataFrame:
 # Publish gate ----------------------------------------------------------------------------
 
 
-def forbidden_columns(df: DataFrame) -> list[str]:
-    """Forbidden field names anywhere in a table's schema."""
-    found: list[str] = []
-
-    def visit(data_type) -> None:
-        for field in getattr(data_type, "fields", []):
-            if field.name in FORBIDDEN_KEYS:
-                found.append(field.name)
-            visit(field.dataType)
-        for part in ("elementType", "valueType"):
-            if hasattr(data_type, part):
-                visit(getattr(data_type, part))
-
-    visit(df.schema)
-    return sorted(set(found))
-
-
-def has_forbidden_key(document: Column) -> Column:
-    """A forbidden object key anywhere in a JSON text."""
-    return document.rlike('"(?:' + "|".join(FORBIDDEN_KEYS) + r')"\s*:')
-
-
-def leaks(rows: DataFrame, text: str, document: bool = False) -> DataFrame:
-    """Per row: secret and location categories, and forbidden keys of JSON documents."""
-    return rows.withColumns(
-        {
-            "secrets": known_secrets(F.col(text)),
-            "locations": private_locations(F.col(text)),
-            "forbidden": has_forbidden_key(F.col(text)) if document else F.lit(False),
-        }
-    )
-
-
-def publish_gate(rows: DataFrame, text: str, document: bool = False) -> DataFrame:
-    """Per repository: fails if any of its rows leaks; nothing of it may be published then."""
-    checked = leaks(rows, text, document)
-    bad = (F.size("secrets") > 0) | (F.size("locations") > 0) | F.col("forbidden")
+def publish_gate(rows: DataFrame, text: str) -> DataFrame:
+    """Per repository: fails if any of its texts leaks; nothing of it may be published then. Nested documents: ``plans.publish``."""
+    checked = rows.withColumns({"secrets": known_secrets(F.col(text)), "locations": private_locations(F.col(text))})
+    bad = (F.size("secrets") > 0) | (F.size("locations") > 0)
     return checked.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(bad, F.lit(1))).alias("leaking_rows"),
         F.count(F.when(F.size("secrets") > 0, F.lit(1))).alias("secret_rows"),
         (~F.bool_or(bad)).alias("passed"),
     )
-
-
-def publishable(rows: DataFrame, gate: DataFrame) -> DataFrame:
-    """Rows of repositories that passed the gate."""
-    return rows.join(gate.filter(~F.col("passed")), "repo_id", "left_anti")
-
-
-def contains_secret(rows: DataFrame, text: str) -> DataFrame:
-    return rows.filter(has_known_secret(F.col(text)))

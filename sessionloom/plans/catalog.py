@@ -23,8 +23,9 @@ from sessionloom.operators import documents as document_ops
 from sessionloom.plans import publish, report
 from sessionloom.plans.driver_layers import layers
 from sessionloom.schema import COUNTERS
-from sessionloom.sources import chat_blobs
-from sessionloom.views import driver
+from sessionloom.sources import chat_blobs, jsonl
+from sessionloom.sources import counter_logs, response_logs
+from sessionloom.views import driver, raw_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +115,58 @@ def fallback_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Raw logs ----------------------------------------------------------------------------
+
+
+def _parsed_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counter_logs.counter_records(jsonl.raw_records(raw_logs.counter_lines(spark, sf_dir), raw_logs.LINE_BYTES))
+
+
+def _parsed_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = jsonl.raw_records(raw_logs.response_lines(spark, sf_dir), raw_logs.LINE_BYTES)
+    return response_logs.response_records(raw, raw_logs.sidecars(spark, sf_dir))
+
+
+@query
+def parsed_counter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of counter logs as typed records; lines that are no object or too long give none."""
+    fields = [F.col(f"{u}.{c}").alias(f"{u}_{c}") for u in ("cum", "direct") for c in ("input", "cached", "output", "reasoning", "total", "cache_write")]
+    return _parsed_counter(spark, sf_dir).select(
+        "source_id", "source_kind", "ordinal", iso(F.col("ts")).alias("ts"), iso(F.col("meta_ts")).alias("meta_ts"), "ts_invalid", "rec_type", "payload_type",
+        "cwd", "raw_session_id", "model_provider", "meta_model", "ctx_model", "role", "tool_raw", "text", *fields,
+    )
+
+
+@query
+def parsed_response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of response logs and of their child logs as typed records."""
+    fields = [F.col(f"usage.{c}").alias(f"usage_{c}") for c in COUNTERS]
+    return _parsed_response(spark, sf_dir).select(
+        "source_id", "source_kind", "child_id", "agent_type", "ordinal", iso(F.col("ts")).alias("ts"), "ts_invalid", "rec_type", "cwd", "raw_session_id",
+        "permission_mode", "is_sidechain", "is_tool_result", "has_message", "response_id", "model", "stop_reason", "has_text", "text", "title",
+        F.array_join("tools", "|").alias("tools"), *fields, F.size("advisors").alias("advisors"),
+        F.get("advisors", F.lit(0))["model"].alias("advisor_model"), F.get("advisors", F.lit(0))["usage"]["total"].alias("advisor_total"),
+    )
+
+
+@query
+def scan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per log that are too long or no JSON object."""
+    lines = raw_logs.counter_lines(spark, sf_dir).unionByName(raw_logs.response_lines(spark, sf_dir))
+    return jsonl.scan_audit(lines, raw_logs.LINE_BYTES)
+
+
+@query
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation events of both dialects from their raw lines, numbered per session."""
+    built = layers(spark, sf_dir)
+    carried = ledger.with_carried_state(_parsed_counter(spark, sf_dir))
+    scope = scope_directories(carried.select("cwd_now").distinct(), built.inputs.repositories)
+    parts = evidence.response_events(_parsed_response(spark, sf_dir), built.all_sessions), evidence.counter_events(carried, built.all_sessions, scope)
+    rows = evidence.number_events(*parts)
+    return rows.select("repo_id", "provider", "session_ref", "number", iso(F.col("occurred_at")).alias("occurred_at"), "role", "text", "event_kind", "permission_mode", "tool_name")
+
+
 # Sessions ----------------------------------------------------------------------------
 
 

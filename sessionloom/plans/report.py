@@ -1,8 +1,8 @@
-"""Report lines, text blocks, and the snapshot written to and read from files."""
+"""Report lines and text blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import compact_tokens, iso, usd
@@ -57,31 +57,3 @@ def facts_lines(totals: DataFrame, git: DataFrame, profile_rows: DataFrame) -> D
         _say("Archetype: ", F.col("archetype"), " (", F.col("rationale"), ")"), _say("Profile scores: ", scores),
     )
     return rows.select("repo_id", F.posexplode(lines).alias("line_no", "line"))
-
-
-def canonical_json(df: DataFrame) -> Column:
-    """A row as JSON with sorted keys; absent optional values are left out."""
-    return F.to_json(F.struct(*sorted(c for c in df.columns if c != "repo_id")))
-
-
-def write_sections(sections: dict[str, DataFrame], path: str) -> None:
-    """``<path>/<section>/repo_id=N/*.txt``, one canonical JSON document per row."""
-    for name, rows in sections.items():
-        rows.select("repo_id", canonical_json(rows).alias("value")).write.mode("overwrite").partitionBy("repo_id").text(f"{path}/{name}")
-
-
-def read_section(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A section of a written snapshot, for re-query and reconciliation."""
-    raw = spark.read.text(f"{path}/{name}")
-    return raw.select("repo_id", F.from_json("value", schema).alias("r")).select("repo_id", "r.*")
-
-
-def scan_ids(sections: dict[str, DataFrame]) -> DataFrame:
-    """Content id per repository, from order-free digests of every section."""
-    digests = None
-    for name, rows in sorted(sections.items()):
-        part = F.conv(F.left(F.sha2(F.concat(F.lit(name), canonical_json(rows)), 256), F.lit(14)), 16, 10).cast("decimal(38,0)")
-        one = rows.select("repo_id", F.lit(name).alias("section"), part.alias("part")).groupBy("repo_id", "section").agg(F.sum("part").alias("total"))
-        digests = one if digests is None else digests.unionByName(one)
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "section", F.col("total").cast("string")))), ";")
-    return digests.groupBy("repo_id").agg(F.concat(F.lit("scan_"), F.left(F.sha2(text, 256), F.lit(24))).alias("scan_id"))

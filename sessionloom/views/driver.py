@@ -15,21 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def shaped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """With columns spelled as in ``views.shapes``."""
     return df.selectExpr("*", *[f"{spell(sql, 'spark')} AS {name}" for name, sql in columns.items()])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
-    shaped = raw.select(
+    prepared = raw.select(
         "event_id", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.floor(F.col("value") * 100).cast("long").alias("tok"),
         F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd").alias("week"),
         F.timestamp_millis(F.unix_millis(ts) + SHIFT_DAYS * 86_400_000).alias("ts"),
     )
-    return _with(shaped, COMMON)
+    return shaped(prepared, COMMON)
 
 
 def _usage(present: Column, **fields: Column) -> Column:
@@ -42,7 +43,7 @@ def _usage(present: Column, **fields: Column) -> Column:
 def counter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even users: logs with cumulative counters."""
     zero, c = F.lit(0), F.col
-    rows = _with(events(spark, sf_dir).filter(c("user_id") % 2 == 0), COUNTER)
+    rows = shaped(events(spark, sf_dir).filter(c("user_id") % 2 == 0), COUNTER)
     write = F.coalesce(c("cum_write"), zero)
     return rows.select(
         "source_id", "source_kind", "ordinal", "ts",
@@ -65,7 +66,7 @@ def counter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd users: logs with one usage value per response, and child logs."""
     zero, c = F.lit(0), F.col
-    rows = _with(events(spark, sf_dir).filter(c("user_id") % 2 == 1), RESPONSE)
+    rows = shaped(events(spark, sf_dir).filter(c("user_id") % 2 == 1), RESPONSE)
     advisor = F.when(
         c("adv_input").isNotNull(),
         F.array(
@@ -99,7 +100,7 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with(table(spark, sf_dir, "orders"), COMMITS)
+    rows = shaped(table(spark, sf_dir, "orders"), COMMITS)
     day = (F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date")) % 45).cast("long")
     start = F.unix_millis(F.lit("2026-08-20T00:00:00Z").cast("timestamp"))
     return rows.select(
