@@ -17,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a temporary one of the driver, in local mode only (tests)."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sessionloom-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not folder:
+            folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="sessionloom-")
     return folder.rstrip("/")
 
 
@@ -48,6 +54,14 @@ def drop_stash(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def drawn(column: str, share: float) -> Column:
+    """Whether a row belongs to a sample of this share, by a hash of one column; any positive share draws rows."""
+    parts = max(1, int(share * 1_000_000))
+    rest = min(1.0, share * 1_000_000 / parts)
+    first = F.pmod(F.xxhash64(column), F.lit(1_000_000)) < parts
+    return first & (F.lit(True) if rest == 1.0 else F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(column)), 1) < F.lit(int(rest * (1 << 63))))
+
+
 def id_fold(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo; null where the id is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.base import id_fold, per_batch, table
+from sessionloom.llm.base import drawn, id_fold, per_batch, table
 
 DIMENSIONS = 1024
 _QUANTUM = 1 << 20
@@ -94,7 +94,7 @@ def prototypes(docs: DataFrame, max_rows: int = 24_000, dimensions: int = DIMENS
     """
     known = docs.where("lang is not null and doc_id is not null")
     share = min(1.0, max_rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang")
+    picked = known.where(drawn("doc_id", share)).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile, sums = Profiler(dimensions), {}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sessionloom.llm.base import id_fold, per_batch, table
+from sessionloom.llm.base import drawn, id_fold, per_batch, table
 
 BITS = 20
 _WORD = re.compile(r"\w+")
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, epochs: in
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     share = min(1.0, max_rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = known.where(drawn("doc_id", share))
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "label", "text")
     size = 1 << bits
 

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import automata, catalog, divergence, vafile
+from sessionloom.llm import automata, base, catalog, divergence, extraction, vafile
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, version double, term string, value int, spans int"
@@ -217,3 +218,33 @@ def test_hashes_and_anchors_do_not_depend_on_slices():
     assert automata.word_hashes(text, 5).tolist() == automata.word_hashes(text).tolist()
     begin, end = automata.word_places(text)
     assert [text[a:b] for a, b in zip(begin, end)] == text.split()
+
+
+# Earlier operators: markup in linear time, samples of any share, the shared folder -----------
+
+
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+
+
+def test_markup_is_what_one_expression_finds():
+    rng = random.Random(1)
+    parts = ["<", ">", '"', "'", "<a ", '<div class="x>y">', "</div>", "<!--", "-->", "<script", "</script >", "</SCRIPT>", "<style>", "x", "=", "/", "<!DOCTYPE", "<?", "<p>", "svg", "<svg:r ", "-", " ", "<1", "é"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        want = [(m.start(), m.end(), m[2] or "", m[3], m[4] or "") for m in MARKUP.finditer(page)]
+        assert list(extraction.markup(page)) == want, page
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", '<a " ', "<a ' \" ", "<", "<!--", "<!x ", "<ul>"])
+def test_markup_that_never_ends_takes_seconds(part):
+    page = part * 300_000 + "</ol>" * 100_000 * (part == "<ul>")
+    start = time.process_time()
+    extraction.blocks(page)
+    assert time.process_time() - start < 20
+
+
+def test_samples_draw_rows_at_any_share(spark):
+    rows = spark.range(20_000_000)
+    assert rows.where(base.drawn("id", 5e-7)).count() in range(1, 40)  # 24,000 of 5 * 10**10 rows
+    assert abs(rows.where(base.drawn("id", 0.01)).count() - 200_000) < 3_000
+    assert rows.limit(100).where(base.drawn("id", 1.0)).count() == 100 and rows.limit(100).where(base.drawn("id", 0.0)).count() == 0
