@@ -113,24 +113,24 @@ UNION ALL SELECT repo_id, 'GIT', 'git', NULL, window_end, 0, 0, 0 FROM git_ev"""
         "sig0": " UNION ALL ".join(
             f"SELECT repo_id, '{i}' AS id, '{fam}' AS family, {head} AS headline, {detail} AS detail, CAST({value} AS BIGINT) AS value, '{unit}' AS unit, CAST({note} AS BIGINT) AS notability, {ref} AS session_ref FROM facts WHERE {cond}"
             for i, fam, cond, head, detail, value, unit, note, ref in [
-                ("night-owl-share", "rhythm", f"{pct('night', 'n')} >= 20", f"{pct('night', 'n')} || '% of your sessions started between 10pm and 5am'", "night || ' of ' || n || ' sessions began in that window.'", pct("night", "n"), "%", cap(pct("night", "n") + " * 15e-1"), "NULL"),
-                ("longest-session", "rhythm", "longest >= 60 AND med_min > 0 AND longest >= med_min * 2", "'Your longest session ran ' || longest // 60 || 'h ' || longest % 60 || 'm'",
-                 f"'Started at ' || lpad(longest_hr::VARCHAR, 2, '0') || ':00 local time - ' || {tenth(div('longest', 'med_min'))} || 'x your median session.'", "longest", "minutes", cap(div("longest", "med_min") + " * 15"), "longest_ref"),
-                ("busiest-day", "rhythm", "day_n >= 3 AND day_n >= n * 25e-2", "'Your busiest day was ' || dy || ', with ' || day_n || ' sessions'", f"'That''s ' || {pct('day_n', 'n')} || '% of every session in this build.'", "day_n", "sessions", cap(pct("day_n", "n") + " * 15e-1"), "NULL"),
-                ("weekend-share", "rhythm", f"{pct('weekend', 'n')} >= 30", f"{pct('weekend', 'n')} || '% of your sessions happened on a weekend'", "weekend || ' of ' || n || ' sessions.'", pct("weekend", "n"), "%", cap(pct("weekend", "n") + " * 12e-1"), "NULL"),
-                ("busiest-weekday", "rhythm", "n >= 4 AND wd_n >= 3 AND wd_n >= n * 28e-2", f"{pct('wd_n', 'n')} || '% of your sessions landed on ' || ['Sunday','Monday','Tuesday','Wednesday','Thursday','Friday','Saturday'][wd + 1] || 's'", "wd_n || ' of ' || n || ' sessions.'", pct("wd_n", "n"), "%", cap(pct("wd_n", "n") + " * 14e-1"), "NULL"),
-                ("longest-gap", "rhythm", "n >= 4 AND gap >= 172800000", f"'You took a ' || {rnd('gap / 864e5')} || '-day break mid-build'", "'The longest stretch between two consecutive sessions in this window.'", rnd("gap / 864e5"), "days", cap("gap / 864e5 * 8"), "NULL"),
-                ("tool-dominance", "tooling", "calls > 0 AND top_calls >= 10", "'You called ' || top_tool || ' ' || top_calls || ' times'", f"'That''s ' || {pct('top_calls', 'calls')} || '% of every tool call across this build.'", "top_calls", "calls", cap(pct("top_calls", "calls") + " * 13e-1"), "NULL"),
-                ("tool-breadth", "tooling", "n_tools >= 8", "'You reached for ' || n_tools || ' different tools'", "'A wide toolkit for one build window.'", "n_tools", "tools", cap("n_tools * 5"), "NULL"),
-                ("subagent-usage", "tooling", "subagents > 0", f"'You delegated to subagents ' || {plural('subagents', 'time')}", "'Work handed off to a subagent instead of handled directly.'", "subagents", "invocations", cap("subagents * 8"), "NULL"),
-                ("most-talkative-session", "conversation", "talk >= 10 AND med_turns > 0 AND talk >= med_turns * 2", "'Your most active session had ' || talk || ' back-and-forth turns'", f"{tenth(div('talk', 'med_turns'))} || 'x your median session.'", "talk", "turns", cap(div("talk", "med_turns") + " * 15"), "talk_ref"),
-                ("completion-rate", "conversation", f"n >= 3 AND {pct('completed', 'n')} <= 60", f"{pct('completed', 'n')} || '% of your sessions ran to completion'", "(n - completed) || ' of ' || n || ' sessions ended aborted, incomplete, or unresolved.'", pct("completed", "n"), "%", cap("100 - " + pct("completed", "n")), "NULL"),
-                ("plan-mode-discipline", "conversation", f"plan_turns > 0 AND {pct('plan_turns', 'turns')} >= 15", f"{pct('plan_turns', 'turns')} || '% of your turns happened in plan mode'", "plan_turns || ' of ' || turns || ' turns were spent planning before editing.'", pct("plan_turns", "turns"), "%", cap(pct("plan_turns", "turns") + " * 12e-1"), "NULL"),
-                ("cache-hit-ratio", "spend", f"t_input > 0 AND {pct('t_cached', 't_input')} >= 20", f"{pct('t_cached', 't_input')} || '% of your input tokens were served from cache'", f"{comma('t_cached')} || ' of ' || {comma('t_input')} || ' input tokens.'", pct("t_cached", "t_input"), "%", cap(pct("t_cached", "t_input") + " * 11e-1"), "NULL"),
-                ("reasoning-share", "spend", f"t_total > 0 AND t_reasoning > 0 AND {pct('t_reasoning', 't_total')} >= 10", f"{pct('t_reasoning', 't_total')} || '% of your tokens went to model reasoning'", f"{comma('t_reasoning')} || ' reasoning tokens out of ' || {comma('t_total')} || ' total.'", pct("t_reasoning", "t_total"), "%", cap(pct("t_reasoning", "t_total") + " * 15e-1"), "NULL"),
-                ("token-heaviest-session", "spend", "n_tokens >= 2 AND med_tok > 0 AND heavy >= med_tok * 2", f"'One session alone used ' || {comma('heavy')} || ' tokens'", f"{tenth(div('heavy', 'med_tok'))} || 'x your median session''s token usage.'", "heavy", "tokens", cap(div("heavy", "med_tok") + " * 12"), "heavy_ref"),
-                ("lines-per-commit", "output", f"commits > 0 AND {rnd(div('insertions + deletions', 'commits'))} >= 50", f"'You averaged ' || {rnd(div('insertions + deletions', 'commits'))} || ' changed lines per commit'", f"{comma('insertions')} || ' insertions and ' || {comma('deletions')} || ' deletions across ' || commits || ' commits.'", rnd(div("insertions + deletions", "commits")), "lines", cap(rnd(div("insertions + deletions", "commits")) + " / 3"), "NULL"),
-                ("merge-ratio", "output", f"commits > 0 AND merge_commits > 0 AND {pct('merge_commits', 'commits')} >= 10", f"{pct('merge_commits', 'commits')} || '% of your commits were merges'", "merge_commits || ' of ' || commits || ' commits.'", pct("merge_commits", "commits"), "%", cap(pct("merge_commits", "commits")), "NULL"),
+                ("night-owl-share", "rhythm", f"{pct('night', 'n')} >= 20", f"{pct('night', 'n')} || '% of sessions began at night (22:00 to 05:00)'", "night || ' of ' || n || ' session starts lie in these hours.'", pct("night", "n"), "%", cap(pct("night", "n") + " * 15e-1"), "NULL"),
+                ("longest-session", "rhythm", "longest >= 60 AND med_min > 0 AND longest >= med_min * 2", "'Longest session: ' || longest // 60 || 'h ' || longest % 60 || 'm'",
+                 f"'Begun at ' || lpad(longest_hr::VARCHAR, 2, '0') || ':00 local time, ' || {tenth(div('longest', 'med_min'))} || 'x the median session.'", "longest", "minutes", cap(div("longest", "med_min") + " * 15"), "longest_ref"),
+                ("busiest-day", "rhythm", "day_n >= 3 AND day_n >= n * 25e-2", "day_n || ' sessions on one day, ' || dy", f"{pct('day_n', 'n')} || '% of all sessions shown.'", "day_n", "sessions", cap(pct("day_n", "n") + " * 15e-1"), "NULL"),
+                ("weekend-share", "rhythm", f"{pct('weekend', 'n')} >= 30", f"{pct('weekend', 'n')} || '% of sessions lie on Saturdays and Sundays'", "weekend || ' weekend sessions among ' || n || '.'", pct("weekend", "n"), "%", cap(pct("weekend", "n") + " * 12e-1"), "NULL"),
+                ("busiest-weekday", "rhythm", "n >= 4 AND wd_n >= 3 AND wd_n >= n * 28e-2", f"{pct('wd_n', 'n')} || '% of sessions share one weekday: ' || ['Sunday','Monday','Tuesday','Wednesday','Thursday','Friday','Saturday'][wd + 1]", "wd_n || ' sessions on that weekday among ' || n || '.'", pct("wd_n", "n"), "%", cap(pct("wd_n", "n") + " * 14e-1"), "NULL"),
+                ("longest-gap", "rhythm", "n >= 4 AND gap >= 172800000", f"'Longest pause: ' || {rnd('gap / 864e5')} || ' days'", "'Measured between the starts of neighbouring sessions.'", rnd("gap / 864e5"), "days", cap("gap / 864e5 * 8"), "NULL"),
+                ("tool-dominance", "tooling", "calls > 0 AND top_calls >= 10", "'Most used tool: ' || top_tool || ' (' || top_calls || ')'", f"{pct('top_calls', 'calls')} || '% of all tool calls.'", "top_calls", "calls", cap(pct("top_calls", "calls") + " * 13e-1"), "NULL"),
+                ("tool-breadth", "tooling", "n_tools >= 8", "'Tools in use: ' || n_tools", "'Counted by name, each once.'", "n_tools", "tools", cap("n_tools * 5"), "NULL"),
+                ("subagent-usage", "tooling", "subagents > 0", f"'Subagents were started ' || {plural('subagents', 'time')}", "'Runs of child agents, as their logs count them.'", "subagents", "invocations", cap("subagents * 8"), "NULL"),
+                ("most-talkative-session", "conversation", "talk >= 10 AND med_turns > 0 AND talk >= med_turns * 2", "'Most turns in one session: ' || talk", f"{tenth(div('talk', 'med_turns'))} || 'x the median session.'", "talk", "turns", cap(div("talk", "med_turns") + " * 15"), "talk_ref"),
+                ("completion-rate", "conversation", f"n >= 3 AND {pct('completed', 'n')} <= 60", f"{pct('completed', 'n')} || '% of sessions ended as completed'", "(n - completed) || ' of ' || n || ' have another status.'", pct("completed", "n"), "%", cap("100 - " + pct("completed", "n")), "NULL"),
+                ("plan-mode-discipline", "conversation", f"plan_turns > 0 AND {pct('plan_turns', 'turns')} >= 15", f"{pct('plan_turns', 'turns')} || '% of turns were made in plan mode'", "plan_turns || ' of ' || turns || ' turns carry that mode.'", pct("plan_turns", "turns"), "%", cap(pct("plan_turns", "turns") + " * 12e-1"), "NULL"),
+                ("cache-hit-ratio", "spend", f"t_input > 0 AND {pct('t_cached', 't_input')} >= 20", f"{pct('t_cached', 't_input')} || '% of input tokens came out of the cache'", f"{comma('t_cached')} || ' of ' || {comma('t_input')} || ' tokens of input.'", pct("t_cached", "t_input"), "%", cap(pct("t_cached", "t_input") + " * 11e-1"), "NULL"),
+                ("reasoning-share", "spend", f"t_total > 0 AND t_reasoning > 0 AND {pct('t_reasoning', 't_total')} >= 10", f"{pct('t_reasoning', 't_total')} || '% of all tokens are reasoning'", f"{comma('t_reasoning')} || ' of ' || {comma('t_total')} || ' tokens.'", pct("t_reasoning", "t_total"), "%", cap(pct("t_reasoning", "t_total") + " * 15e-1"), "NULL"),
+                ("token-heaviest-session", "spend", "n_tokens >= 2 AND med_tok > 0 AND heavy >= med_tok * 2", f"'Largest session: ' || {comma('heavy')} || ' tokens'", f"{tenth(div('heavy', 'med_tok'))} || 'x the median session in tokens.'", "heavy", "tokens", cap(div("heavy", "med_tok") + " * 12"), "heavy_ref"),
+                ("lines-per-commit", "output", f"commits > 0 AND {rnd(div('insertions + deletions', 'commits'))} >= 50", f"'Changed lines per commit: ' || {rnd(div('insertions + deletions', 'commits'))}", f"'+' || {comma('insertions')} || ', -' || {comma('deletions')} || ', ' || commits || ' commits.'", rnd(div("insertions + deletions", "commits")), "lines", cap(rnd(div("insertions + deletions", "commits")) + " / 3"), "NULL"),
+                ("merge-ratio", "output", f"commits > 0 AND merge_commits > 0 AND {pct('merge_commits', 'commits')} >= 10", f"{pct('merge_commits', 'commits')} || '% of commits are merges'", "merge_commits || ' merges, ' || commits || ' commits.'", pct("merge_commits", "commits"), "%", cap(pct("merge_commits", "commits")), "NULL"),
             ]
         ),
         "sig": """
@@ -164,17 +164,17 @@ SELECT w.repo_id, h.peak_hours, list_transform(d.peak_days, lambda x: ['Sunday',
   coalesce(y.n_tools, 0) AS distinct_tools
 FROM w_all w LEFT JOIN rhy r USING (repo_id) LEFT JOIN med m USING (repo_id) LEFT JOIN x_long l USING (repo_id) LEFT JOIN x_tools y USING (repo_id) LEFT JOIN top_h h USING (repo_id) LEFT JOIN top_d d USING (repo_id)""",
         "arch": f"""
-SELECT repo_id, coalesce(name, 'Shipping Machine') AS archetype, coalesce(why, 'Execution scored ' || execution || '; it was the clearest delivery signal in this window.') AS rationale FROM sc JOIN wp USING (repo_id) LEFT JOIN (
+SELECT repo_id, coalesce(name, 'Shipping Machine') AS archetype, coalesce(why, 'No other rule applies; execution has ' || execution || ' points.') AS rationale FROM sc JOIN wp USING (repo_id) LEFT JOIN (
   SELECT repo_id, name, why FROM sc JOIN wp USING (repo_id), LATERAL (VALUES
-    (0, 'Night Owl', CASE WHEN night_share >= 20 THEN night_share END, night_share || '% of sessions started between 10pm and 5am ' || timezone_label || '.'),
-    (1, 'Early Bird', CASE WHEN morning_share >= 20 THEN morning_share END, morning_share || '% of sessions started between 5am and 10am ' || timezone_label || '.'),
-    (2, 'Weekend Warrior', CASE WHEN weekend_share >= 30 THEN weekend_share END, weekend_share || '% of sessions landed on a weekend.'),
+    (0, 'Night Owl', CASE WHEN night_share >= 20 THEN night_share END, night_share || '% of sessions start from 22:00 to 05:00 ' || timezone_label || '.'),
+    (1, 'Early Bird', CASE WHEN morning_share >= 20 THEN morning_share END, morning_share || '% of sessions start from 05:00 to 10:00 ' || timezone_label || '.'),
+    (2, 'Weekend Warrior', CASE WHEN weekend_share >= 30 THEN weekend_share END, weekend_share || '% of sessions are on Saturdays and Sundays.'),
     (3, 'Marathon Coder', CASE WHEN median_minutes > 0 AND longest_minutes >= 60 AND longest_minutes >= median_minutes * 2
        THEN least(100, {rnd("floor(" + div('longest_minutes', 'median_minutes') + " * 10 + 5e-1) / 10 * 20")}) END,
-       'Longest session ran ' || longest_minutes || ' minutes — ' || {tenth(div('longest_minutes', 'median_minutes'))} || '× the median.'),
-    (4, 'Architect', CASE WHEN planning >= 70 AND engineering >= 60 THEN {rnd('(planning + engineering) / 2')} END, 'Planning scored ' || planning || ' and engineering scored ' || engineering || '.'),
-    (5, 'Quality Guardian', CASE WHEN engineering >= 70 AND planning >= 55 THEN engineering END, 'Engineering scored ' || engineering || ' with planning at_ ' || planning || '.'),
-    (7, 'Explorer', CASE WHEN distinct_tools >= 8 THEN least(100, distinct_tools * 8) END, 'Reached for ' || distinct_tools || ' different tools in this window.')
+       'The longest session takes ' || longest_minutes || ' minutes, ' || {tenth(div('longest_minutes', 'median_minutes'))} || ' times the median.'),
+    (4, 'Architect', CASE WHEN planning >= 70 AND engineering >= 60 THEN {rnd('(planning + engineering) / 2')} END, 'Scores: planning ' || planning || ', engineering ' || engineering || '.'),
+    (5, 'Quality Guardian', CASE WHEN engineering >= 70 AND planning >= 55 THEN engineering END, 'Scores: engineering ' || engineering || ', planning ' || planning || '.'),
+    (7, 'Explorer', CASE WHEN distinct_tools >= 8 THEN least(100, distinct_tools * 8) END, 'Number of tools: ' || distinct_tools || '.')
   ) v(o, name, score, why) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, o) = 1
 ) USING (repo_id)""",
         "dn": """
@@ -248,16 +248,16 @@ SELECT repo_id, CASE WHEN coalesce(t.total, 0) = 0 THEN '' ELSE ', ' || CASE WHE
 FROM tot t LEFT JOIN cr USING (repo_id)""",
     "reasoned_narrative": """
 SELECT repo_id, section, CAST(position AS INTEGER) AS position, text FROM arch JOIN sc USING (repo_id) JOIN wp USING (repo_id), LATERAL (VALUES
-  ('headline', 0, archetype || ': a builder profile'),
-  ('narrative', 0, concat('The measured profile reads as ', archetype, '. The strongest observed signals are planning ', planning, ', steering ', steering, ', execution ', execution,
-    ', engineering ', engineering, ', productInstinct ', product_instinct, '. This is a metrics-backed pattern, not a personality diagnosis; the qualitative story depends on the source excerpts when they are available.')),
-  ('turningPoint', 0, 'The clearest measured pattern is ' || rationale),
-  ('learnings', 0, 'Primary model: ' || coalesce(primary_model, 'no primary model recorded') || '.'),
-  ('learnings', 1, 'Most active hours: ' || array_to_string(list_transform(peak_hours, lambda h: lpad(h::VARCHAR, 2, '0') || ':00'), ', ') || ' ' || timezone_label || '.'),
-  ('learnings', 2, 'Median session length: ' || median_minutes || ' minutes.'),
-  ('decisionPatterns', 0, 'Plans, exploratory work, and delivery activity were compared as aggregate signals rather than inferred intent.'),
-  ('standoutTraits', 0, archetype || ' is the closest rule-based archetype for this scan window.'),
-  ('standoutTraits', 1, concat('The strongest score signal is ', CASE greatest(planning, steering, execution, engineering, product_instinct)
+  ('headline', 0, archetype || ', from the numbers'),
+  ('narrative', 0, concat('By its scores this repository is closest to ', archetype, '. The scores: planning ', planning, ', steering ', steering, ', execution ', execution,
+    ', engineering ', engineering, ', productInstinct ', product_instinct, '. They count what the logs and commits record and say nothing about reasons.')),
+  ('turningPoint', 0, 'What decided it: ' || rationale),
+  ('learnings', 0, 'Model with most calls: ' || coalesce(primary_model, 'none recorded') || '.'),
+  ('learnings', 1, 'Hours with most sessions: ' || array_to_string(list_transform(peak_hours, lambda h: lpad(h::VARCHAR, 2, '0') || ':00'), ', ') || ' ' || timezone_label || '.'),
+  ('learnings', 2, 'Half of the sessions are shorter than ' || median_minutes || ' minutes.'),
+  ('decisionPatterns', 0, 'Counts of plan turns, reading tools, writing tools and commits were set against each other.'),
+  ('standoutTraits', 0, archetype || ' has the highest points of all types whose rule holds.'),
+  ('standoutTraits', 1, concat('Highest of the five scores: ', CASE greatest(planning, steering, execution, engineering, product_instinct)
     WHEN planning THEN 'planning' WHEN steering THEN 'steering' WHEN execution THEN 'execution' WHEN engineering THEN 'engineering' ELSE 'productInstinct' END, '.')),
-  ('growthEdge', 0, 'Use this profile as a prompt for reflection, not as a verdict; the product-instinct score is especially provisional.')) v(section, position, text)""",
+  ('growthEdge', 0, 'The scores are rough; that of product instinct rests on two counts only.')) v(section, position, text)""",
 }
