@@ -111,6 +111,17 @@ UNION ALL
 SELECT DISTINCT p.repo, NULL, 'SESSION_MODEL_UNKNOWN', 'info', 'No model identifier was present in an assistant message.' FROM r1 m JOIN r_place p USING (source_id) JOIN repos r ON r.repo_id = p.repo
 WHERE m.child_id IS NULL AND m.rec_type = 'assistant' AND m.has_message AND NOT coalesce(m.is_sidechain, false) AND coalesce(m.model, '') = '' AND m.ordinal >= p.scope_ordinal
 UNION ALL
+SELECT s.repo_id, s.session_ref, v.code, 'warning', v.message FROM s_in s JOIN (
+  SELECT source_id, count(*) FILTER (event_id % 37 = 5 OR event_id % 41 = 3) AS bad, count(*) FILTER (event_id % 61 = 2 AND NOT (event_id % 37 = 5 OR event_id % 41 = 3)) AS big
+  FROM (SELECT source_id, event_id FROM c1 UNION ALL SELECT source_id, event_id FROM r1 WHERE child_id IS NULL) GROUP BY 1
+) a USING (source_id), LATERAL (VALUES (bad > 0, 'SESSION_LINE_INVALID_JSON', 'At least one JSONL record was invalid and ignored.'),
+  (big > 0, 'SESSION_LINE_TOO_LARGE', 'At least one JSONL record exceeded the 4 MiB safety limit and was ignored.')) v(holds, code, message) WHERE holds
+UNION ALL
+SELECT r.repo_id, NULL, 'SESSION_MISSING_METADATA', 'info', v.message FROM repos r, (VALUES
+  (EXISTS (SELECT 1 FROM (SELECT source_id, bool_or(rec_type = 'session_meta') AS meta FROM c_rows GROUP BY 1) l WHERE NOT meta AND NOT EXISTS (SELECT 1 FROM c_in c WHERE c.source_id = l.source_id)),
+   'A Codex JSONL file had no repository-scoping metadata in its discovery prefix.'),
+  (EXISTS (SELECT 1 FROM r_logs l WHERE l.raw_id IS NULL AND l.started_at IS NULL), 'A Claude Code transcript had no repository-scoping metadata in its discovery prefix.')) v(holds, message) WHERE holds
+UNION ALL
 SELECT repo_id, NULL, 'CURSOR_ROOT_UNAVAILABLE', 'info', 'Cursor''s local workspace storage directory was not found; treated as not installed.' FROM repos""".replace(
             "c.source_id = s.source_id AND c.repo = s.repo_id", "c.source_id = source_id_ AND c.repo = repo_id_"
         ).replace("SELECT s.*, coalesce", "SELECT s.*, s.source_id AS source_id_, s.repo_id AS repo_id_, coalesce"),

@@ -26,6 +26,14 @@ ROOT_UNAVAILABLE = {
     DETECT_ONLY_PROVIDER: ("GEMINI_ANTIGRAVITY_ROOT_UNAVAILABLE", "Google Antigravity's local data directory was not found; treated as not installed."),
 }
 
+# Messages about stores and logs that cannot be placed or read.
+UNVERIFIED_FORMAT = "Cursor's local conversation format is not yet verified against a real installation; session metrics are best-effort."
+UNREAD_BLOBS = "A Cursor workspace database had no recognizable user or assistant messages in its unverified local format."
+UNPLACED_LOG = {
+    COUNTER_PROVIDER: "A Codex JSONL file had no repository-scoping metadata in its discovery prefix.",
+    RESPONSE_PROVIDER: "A Claude Code transcript had no repository-scoping metadata in its discovery prefix.",
+}
+
 # What every report assumes, and what it assumes per provider.
 ASSUMPTIONS = [
     (None, "When no explicit start is supplied, the scanner defaults to full observed history, starting at the earliest session."),
@@ -95,6 +103,9 @@ def _warning(condition: Column, code: str, severity: str, message: Column | str)
     return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), text.alias("message")))
 
 
+# The messages below are fixed values as well.
+
+
 def session_warnings(sessions: DataFrame, undated: DataFrame, scan_audit: DataFrame | None = None) -> DataFrame:
     """Warnings about single sessions; ``scan_audit``: source_id, oversized, invalid_json."""
     c = F.col
@@ -114,7 +125,7 @@ def session_warnings(sessions: DataFrame, undated: DataFrame, scan_audit: DataFr
             _warning(c("unknown_model"), "SESSION_MODEL_UNKNOWN", "info", "At least one token count was recorded before any model identifier was established and was billed under a placeholder model name."),
             _warning(logs & (c("status") == "incomplete") & (c("source_kind") == "active"), "SESSION_ACTIVE_AT_SCAN_END", "info",
                      F.concat(F.lit("An active "), label, F.lit(" session had no completion marker at the observed boundary."))),
-            _warning(~logs, "PROVIDER_FORMAT_UNVERIFIED", "info", "Cursor's local conversation format is not yet verified against a real installation; session metrics are best-effort."),
+            _warning(~logs & (F.coalesce(c("turns"), F.lit(0)) + F.coalesce(c("assistant_messages"), F.lit(0)) == 0), "SESSION_MISSING_METADATA", "info", UNREAD_BLOBS),
         )
     )
     about = rows.select("repo_id", "session_ref", F.explode(found).alias("w")).select("repo_id", "session_ref", "w.*")
@@ -125,6 +136,22 @@ def session_warnings(sessions: DataFrame, undated: DataFrame, scan_audit: DataFr
     return about.unionByName(excluded)
 
 
+def repository_warnings(repositories: DataFrame, sessions: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Warnings without a session, once per repository: a store whose format is not verified, and logs that name no directory.
+
+    ``unmatched``: provider of every log that could be placed nowhere. Every repository looks at every log, so one such
+    log warns all of them; only the providers are multiplied, at most one row each.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda df, code, message: df.select("repo_id", none.alias("session_ref"), F.lit(code).alias("code"), F.lit("info").alias("severity"), message.alias("message"))
+    stores = sessions.filter((F.col("provider") == BLOB_PROVIDER) & (F.coalesce("turns", F.lit(0)) + F.coalesce("assistant_messages", F.lit(0)) > 0))
+    unverified = row(stores.select("repo_id").distinct(), "PROVIDER_FORMAT_UNVERIFIED", F.lit(UNVERIFIED_FORMAT))
+    found = unmatched.groupBy().agg(F.collect_set("provider").alias("providers"))  # at most as many as there are dialects
+    texts = F.create_map(*[F.lit(x) for pair in UNPLACED_LOG.items() for x in pair])
+    unplaced = repositories.select("repo_id").join(F.broadcast(found)).select("repo_id", F.explode("providers").alias("provider"))
+    return unverified.unionByName(row(unplaced, "SESSION_MISSING_METADATA", F.try_element_at(texts, F.col("provider"))).filter("message IS NOT NULL"))
+
+
 def model_warnings(repositories: DataFrame) -> DataFrame:
     """One warning for each repository with a log that holds an assistant message without a model."""
     return repositories.select(

@@ -152,6 +152,10 @@ def parsed_response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines per log that are too long or no JSON object."""
+    return _audited(spark, sf_dir)
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = raw_logs.counter_lines(spark, sf_dir).unionByName(raw_logs.response_lines(spark, sf_dir))
     return jsonl.scan_audit(lines, raw_logs.LINE_BYTES)
 
@@ -391,8 +395,9 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = layers(spark, sf_dir)
     selection = quality_ops.provider_selection(built.inputs.repositories, built.all_sessions, built.sessions, _found(spark, sf_dir))
-    every = quality_ops.session_warnings(built.all_sessions, built.undated).unionByName(quality_ops.provider_warnings(selection))
+    every = quality_ops.session_warnings(built.all_sessions, built.undated, _audited(spark, sf_dir)).unionByName(quality_ops.provider_warnings(selection))
     every = every.unionByName(quality_ops.model_warnings(built.without_model))
+    every = every.unionByName(quality_ops.repository_warnings(built.inputs.repositories, built.all_sessions, built.files.unmatched))
     return quality_ops.distinct_warnings(every, built.sessions)
 
 
