@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import insights, logs, texts, usage
+from oracles import insights, logs, story, texts, usage
 
-SQL = {**usage.SQL, **insights.SQL, **texts.SQL, **logs.SQL}
+SQL = {**usage.SQL, **insights.SQL, **texts.SQL, **logs.SQL, **story.SQL}

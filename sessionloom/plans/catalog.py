@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions import redaction
+from sessionloom.functions.tables import constant_table
 from sessionloom.functions.text import iso
 from sessionloom.operators import claims as claims_ops
 from sessionloom.operators import git as git_ops
@@ -26,6 +27,7 @@ from sessionloom.schema import COUNTERS
 from sessionloom.sources import chat_blobs, jsonl
 from sessionloom.sources import counter_logs, response_logs
 from sessionloom.views import driver, raw_logs
+from sessionloom.views.shapes import STORY_PLACES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -585,6 +587,33 @@ def claim_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo_id", "path", "text", _joined("refs"), _joined("fallbacks"))
 
 
+def _story(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claimed reports of every kind, repaired from the defaults of their repository."""
+    built, c = layers(spark, sf_dir), F.col
+    places = constant_table(spark, STORY_PLACES, "mode int, path string, i int, field string")
+    kind = (c("repo_id") + c("i")) % 5
+    refs = F.when(c("i") % 3 == 2, F.array(F.lit("S01"), F.lit("GIT"), F.lit("S01"))).when(c("i") % 2 == 0, F.array(F.lit("S01"))).otherwise(F.array(F.lit("S999")))
+    text = F.when((kind == 2) & (c("field") != "title"), F.lit(" ")).otherwise(F.concat_ws(" ", F.lit("Claim"), "field", "i", F.lit("of"), c("repo_id").cast("string")))
+    rows = built.inputs.repositories.withColumn("mode", (c("repo_id") % 4).cast("int")).join(places, "mode").select("repo_id", "path", text.alias("text"), refs.alias("refs"))
+    return claims_ops.repair_story(rows, claims_ops.default_claims(built.profiles, built.totals, built.git, built.catalog), built.catalog)
+
+
+@query
+def story_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _story(spark, sf_dir)[0].select("repo_id", "path", "text", _joined("refs"))
+
+
+@query
+def story_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _story(spark, sf_dir)[1]
+
+
+@query
+def default_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = layers(spark, sf_dir)
+    return claims_ops.default_claims(built.profiles, built.totals, built.git, built.catalog).select("repo_id", "path", "text", _joined("refs"))
+
+
 @query
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = layers(spark, sf_dir)

@@ -128,3 +128,11 @@ CHANGES = {
     "deletions": "CAST(round(l_discount * 100) AS BIGINT)",
 }
 STATUS_CODES = ["??", "!!", " M", "M ", "MM", "A ", "UU", "AA", "R ", " D"]
+
+# Places of a report that are claimed, by the remainder of the repository's number: lists too long, too short, absent, and as wanted.
+_FIELDS = {"moments": ("title", "whatHappened", "whyItMattered"), "decisions": ("title", "rationale", "outcome"), "learnings": ("title", "detail"), "standoutTraits": ("title", "detail")}
+_ITEMS = {0: (7, 6, 5, 3), 1: (2, 1, 1, 2), 2: (0, 0, 0, 0), 3: (4, 2, 2, 0)}
+STORY_PLACES = [
+    (mode, f"{name}.{i}.{field}", i, field)
+    for mode, sizes in _ITEMS.items() for name, size in zip(_FIELDS, sizes) for i in range(size) for field in _FIELDS[name]
+] + [(mode, path, i, path.split(".")[-1]) for mode in (0, 1, 3) for i, path in enumerate(["hero.headline", "buildArc.decide.headline", "turningPoint.quote", "growthEdge.title"])]
