@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import CTES, iso
+from oracles.base import CTES, iso, sid
 
 _READ = "NOT (event_id % 37 = 5 OR event_id % 41 = 3 OR event_id % 61 = 2)"
 _TS = "CASE WHEN event_id % 43 <> 1 THEN ts END"
@@ -41,6 +41,11 @@ FROM (
   UNION ALL SELECT source_id, ordinal, 0, t_at, rec_type, text, 'message', CASE WHEN rec_type = 'user' THEN permission_mode END, NULL FROM lr0 WHERE child_id IS NULL AND NOT is_sidechain AND text IS NOT NULL
   UNION ALL SELECT source_id, ordinal, i, t_at, 'assistant', NULL, 'tool-call', NULL, tools[i] FROM (SELECT *, unnest(range(1, len(tools) + 1)) AS i FROM lr0 WHERE child_id IS NULL AND NOT is_sidechain AND rec_type = 'assistant')
 ) e JOIN s_dedup s ON s.source_id = e.source_id AND s.provider = 'claude-code'""",
+        "ws": """
+SELECT CAST(conv_id AS VARCHAR) AS workspace, TIMESTAMP '2026-01-01' + to_minutes(conv_id) AS at_,
+  CASE conv_id % 8 WHEN 0 THEN concat('/repo/', conv_id % 7) WHEN 1 THEN concat('/repo/', conv_id % 7, '/sub dir+x') WHEN 2 THEN concat('/C:/repo/', conv_id % 7)
+    WHEN 3 THEN concat('/repo/', conv_id % 7, '/only') WHEN 5 THEN concat('/repo/', conv_id % 7, '/./x/../y') END AS folder
+FROM (SELECT DISTINCT conv_id FROM conversations)""",
         "le": "SELECT *, row_number() OVER (PARTITION BY repo_id, provider, session_ref ORDER BY ordinal, slot) AS number FROM (SELECT * FROM le_c UNION ALL SELECT * FROM le_r)",
     }
 )
@@ -74,6 +79,15 @@ SELECT source_id, count(*) FILTER (big) AS oversized, count(*) FILTER (bad) AS i
   SELECT source_id, event_id % 37 = 5 OR event_id % 41 = 3 AS bad, event_id % 61 = 2 AND NOT (event_id % 37 = 5 OR event_id % 41 = 3) AS big FROM c1
   UNION ALL SELECT CASE WHEN child_id IS NOT NULL THEN {_CHILD} ELSE source_id END, event_id % 37 = 5 OR event_id % 41 = 3,
     event_id % 61 = 2 AND NOT (event_id % 37 = 5 OR event_id % 41 = 3) FROM r1) GROUP BY 1""",
+    "workspace_folders": f"SELECT workspace, folder, {iso('at_')} AS modified_at FROM ws WHERE folder IS NOT NULL",
+    "every_session": f"""
+SELECT repo_id, session_ref, provider, source_kind, {iso('started_at')} AS started_at, {iso('ended_at')} AS ended_at, relation, turns, assistant_messages, status FROM s_dedup
+UNION ALL
+SELECT r.repo_id, {sid('ses_', 20, "'cursor'", 'r.fingerprint', 'workspace')}, 'cursor', 'active', {iso('at_')}, {iso('at_')},
+  CASE WHEN folder = r.root THEN 'repository-root' ELSE 'subdirectory' END, u, a, 'unknown'
+FROM ws JOIN repos r ON starts_with(concat(folder, '/'), concat(r.root, '/'))
+JOIN (SELECT CAST(conv_id AS VARCHAR) AS workspace, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations
+  WHERE role IN ('user', 'assistant') AND text <> '' AND conv_id % 4 <> 3 GROUP BY 1) m USING (workspace)""",
     "log_events": f"""
 SELECT repo_id, provider, session_ref, number, {iso("coalesce(t_at, TIMESTAMP '1970-01-01')")} AS occurred_at, role, text, event_kind, permission_mode, tool_name FROM le
 WHERE copy IS NULL OR copy = 'event' OR NOT EXISTS (SELECT 1 FROM le e WHERE e.copy = 'event' AND e.repo_id = le.repo_id AND e.provider = le.provider AND e.session_ref = le.session_ref)""",

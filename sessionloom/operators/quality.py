@@ -144,7 +144,7 @@ def repository_warnings(repositories: DataFrame, sessions: DataFrame, unmatched:
     """
     none = F.lit(None).cast("string")
     row = lambda df, code, message: df.select("repo_id", none.alias("session_ref"), F.lit(code).alias("code"), F.lit("info").alias("severity"), message.alias("message"))
-    stores = sessions.filter((F.col("provider") == BLOB_PROVIDER) & (F.coalesce("turns", F.lit(0)) + F.coalesce("assistant_messages", F.lit(0)) > 0))
+    stores = sessions.filter(F.col("provider") == BLOB_PROVIDER)
     unverified = row(stores.select("repo_id").distinct(), "PROVIDER_FORMAT_UNVERIFIED", F.lit(UNVERIFIED_FORMAT))
     found = unmatched.groupBy().agg(F.collect_set("provider").alias("providers"))  # at most as many as there are dialects
     texts = F.create_map(*[F.lit(x) for pair in UNPLACED_LOG.items() for x in pair])

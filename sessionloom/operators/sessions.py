@@ -276,7 +276,7 @@ def response_sessions(
 
 
 def blob_sessions(messages: DataFrame, workspaces: DataFrame, repositories: DataFrame) -> SessionTables:
-    """One session per workspace; its only time is when the store was last written.
+    """One session per workspace that holds a message of any role; its only time is when the store was last written.
 
     ``workspaces``: workspace, folder, modified_at.
     """

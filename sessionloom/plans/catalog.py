@@ -15,6 +15,7 @@ from sessionloom.operators import git as git_ops
 from sessionloom.operators import evidence, ledger, receipt, usage
 from sessionloom.operators import profile as profile_ops
 from sessionloom.operators import quality as quality_ops
+from sessionloom.operators import sessions as session_ops
 from sessionloom.operators import timeline as timeline_ops
 from sessionloom.operators.pricing import price_epoch, price_lookup, price_responses
 from sessionloom.operators.scope import remote_identity as remote_identity_of
@@ -186,6 +187,23 @@ def sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def workspace_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_blobs.workspace_folders(driver.workspaces(spark, sf_dir))
+    return rows.select("workspace", "folder", iso(F.col("modified_at")).alias("modified_at"))
+
+
+@query
+def every_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all three dialects; chat stores are placed by their workspace's folder."""
+    built = layers(spark, sf_dir)
+    folders = chat_blobs.workspace_folders(driver.workspaces(spark, sf_dir))
+    stores = session_ops.blob_sessions(chat_blobs.blob_messages(driver.chat_blobs(spark, sf_dir)), folders, built.inputs.repositories).sessions
+    columns = ["repo_id", "session_ref", "provider", "source_kind", "started_at", "ended_at", "relation", "turns", "assistant_messages", "status"]
+    rows = built.all_sessions.select(*columns).unionByName(session_ops.latest_copies(stores).select(*columns))
+    return rows.withColumns({x: iso(F.col(x)) for x in ("started_at", "ended_at")})
+
+
 @query
 def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers(spark, sf_dir).all_sessions.groupBy("repo_id", "provider", "status").agg(F.count(F.lit(1)).alias("sessions"))

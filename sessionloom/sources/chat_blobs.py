@@ -78,9 +78,14 @@ def blob_messages(blobs: DataFrame, max_messages: int | None = None, max_depth:
 
 
 def workspace_folders(workspaces: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """``(workspace, folder, modified_at)`` from workspace descriptions with a folder URI."""
-    uri = F.get_json_object("json", "$.folder")
-    path = F.regexp_replace(uri, "^file://(?:localhost)?", "")
+    """``(workspace, folder, modified_at)`` from workspace descriptions with a folder URI.
+
+    A drive may follow two slashes or three. Other hosts than this one, encoded slashes and broken escapes give no folder;
+    a query or fragment is no part of it.
+    """
+    uri = F.regexp_replace(F.get_json_object("json", "$.folder"), "^file://([A-Za-z]:/)", "file:///$1")
+    path = F.regexp_extract(uri, "^file://(?:(?i:localhost))?(/[^?#]*)", 1)
+    path = F.when((F.length(path) > 0) & ~path.rlike("(?i)%2f"), path)
     decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return (
         (workspaces if max_bytes is None else workspaces.filter(F.octet_length("json") <= max_bytes))

@@ -183,3 +183,16 @@ def chat_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("conv_id").cast("string").alias("workspace"), F.lit("cursorDiskKV").alias("tbl"), key.alias("key"),
         F.to_json(F.struct(tabs.alias("tabs"))).alias("value"),
     )
+
+
+def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(workspace, json, modified_at): a description beside every chat store, with folders written in many ways."""
+    c, r = F.col, (F.col("conv_id") % 7).cast("string")
+    uris = ["file:///repo/", "file://localhost/repo/", "file://C:/repo/", "file:///repo/", "vscode-remote://ssh/repo/", "file:///repo/", "file:///repo/", "file://server/repo/"]
+    ends = ["", "/sub%20dir+x", "", "/only", "", "/./x/../y?q=1#f", "/a%2Fb", ""]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (c("conv_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return rows.select(
+        c("conv_id").cast("string").alias("workspace"), F.to_json(F.struct(F.concat(of(uris), r, of(ends)).alias("folder"))).alias("json"),
+        F.timestamp_millis(F.lit(1_767_225_600_000) + c("conv_id") * 60_000).alias("modified_at"),
+    )
