@@ -320,3 +320,16 @@ def without_repeated_spans(docs: DataFrame, length: int = 13, gram: int = 5, **l
 
 def op13_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_spans(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+least_ AS (SELECT t, min(doc_id) AS m FROM windows GROUP BY t),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN least_ USING (t) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -26,4 +26,5 @@ SQL = {
     "op8_fair_mix": mixing.OP8_SQL,
     "op11_va_clusters": vafile.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
+    "op13_automata": automata.OP13_SQL,
 }
