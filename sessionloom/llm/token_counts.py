@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.llm.base import per_batch, table
 
-# Fixed value: how byte_bpe_50k.json cuts text into pre-tokens.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The added token of byte_bpe_50k.json, cut out of the text before all else, and how the rest is cut into
+# pre-tokens: punctuation ends where the token begins, and white space before it is whole.
+ADDED = "<|endoftext|>"
+_ADDED = regex.escape(ADDED)
+PRETOKEN = regex.compile(rf"{_ADDED}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{_ADDED})[^\s\p{{L}}\p{{N}}])+|\s+(?:(?!\S)|(?={_ADDED}))|\s+")
 #: Spans that a privacy edit replaces: (pattern, replacement).
 EDITS = (
     (regex.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "<EMAIL>"),
@@ -34,7 +37,7 @@ class Counter:
         if count is None:
             if len(self.cache) >= self.words:
                 self.cache.clear()
-            count = self.cache[piece] = len(self.model.tokenize("".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])))
+            count = self.cache[piece] = 1 if piece == ADDED else len(self.model.tokenize("".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])))
         return count
 
 
@@ -42,7 +45,7 @@ class Tree:
     """A document's pre-tokens in leaves of up to ``fan`` pieces, under a binary tree of character and token sums.
 
     An edit touches the leaves it overlaps and their neighbours' boundary: pre-tokens are cut anew from the start of the one
-    before the edit until a cut falls on an old one again; only these are encoded, the rest of the leaf is kept. Sums
+    before the edit, or the length of an added token before it, until a cut falls on an old one again; only these are encoded, the rest of the leaf is kept. Sums
     are updated along the path to the root. A leaf that grows past twice its size is split, and the tree above is
     rebuilt from the leaves' sums when the number of leaves has doubled.
     """
@@ -101,12 +104,12 @@ class Tree:
     def replace(self, start: int, end: int, new: str) -> None:
         """Replace characters start to end; counts are those of the whole new text."""
         first, begin = self._find(max(0, start - 1))
-        while first and start - begin < 2:  # a cut depends on at most two characters behind it
+        while first and start - begin < 2 + len(ADDED):  # a cut depends on at most so many characters behind it
             first -= 1
             begin -= self.chars_of[self.size + first]
         keep, at = 0, begin  # pre-tokens of the first leaf that end before the one before the edit stay
         leaf = self.leaves[first]
-        while keep + 2 < len(leaf) and at + len(leaf[keep]) + len(leaf[keep + 1]) < start:
+        while keep + 2 < len(leaf) and at + len(leaf[keep]) + len(leaf[keep + 1]) + len(ADDED) < start:
             at += len(leaf[keep])
             keep += 1
         last, last_begin = self._find(end)
@@ -128,13 +131,13 @@ class Tree:
                 if here >= start - at + len(new) and here in cuts:
                     resume = cuts[here]
                     break
-                if m.start() >= len(edited) or not done and m.end() + 2 > len(edited) + len(ahead):  # more context may change this cut
+                if m.start() >= len(edited) or not done and m.end() + len(ADDED) > len(edited) + len(ahead):  # more context may change this cut
                     break
                 pieces.append(m.group())
                 counts.append(self.count(m.group()))
                 self.encoded += len(m.group())
                 here = m.end()
-            if resume is None and here == len(edited) and (done or len(ahead) >= 2):
+            if resume is None and here == len(edited) and (done or len(ahead) >= len(ADDED)):
                 resume = len(old)
             if resume is not None:
                 break

@@ -242,8 +242,11 @@ def test_edit_counts_equal_a_fresh_count():
 
     path, rng = packing.public_tokenizer("byte_bpe_50k.json"), random.Random(4)
     plain, count = Tokenizer.from_file(path), token_counts.Counter(path)
-    letters = "ab é' \n\ts1.9ßre   "
-    for _ in range(1500):
+    plainly = "ab é' \n\ts1.9ßre   "
+    added = ["<|endoftext|>", "<|endoftext|>", "<|", "endoftext", "|>", "<", "|", " ", "a", "!", "  ", "<|endof", "text|>"]
+    assert token_counts.Tree("a <|endoftext|> b", count).total == 4 and token_counts.Tree("<|endoftext|>", count).total == 1
+    for turn in range(3000):
+        letters = added if turn % 2 else plainly
         s = "".join(rng.choice(letters) for _ in range(rng.randint(0, rng.choice([3, 30, 300]))))
         tree = token_counts.Tree(s, count, fan=rng.choice([2, 4, 64]))
         for _ in range(rng.randint(1, 5)):
