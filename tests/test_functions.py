@@ -216,3 +216,26 @@ def test_raw_tables_are_read_once(spark):
     records = spark.createDataFrame([("a", 1, 2), ("a", 2, None)], "k string, o bigint, v bigint")
     scans = plan(carry_last(records, ["k"], "o", {"x": Carry(F.col("v")), "y": Carry(F.col("v"), False, True)}))
     assert "ExistingRDD" not in scans and scans.count("FileScan parquet") == 2  # the stored pass and its border rows
+
+
+def test_event_numbers_do_not_depend_on_chunks(spark):
+    """A hot session over many chunks, later titles dropped, copies chosen per session, dropped copies keeping their numbers."""
+    slots, rows = 1 << 31, []
+    for i in range(1, 200):
+        rows.append((1, "codex", "hot", i, "user", f"t{i}", "message", "event" if i % 3 else "response"))
+        rows.append((1, "codex", "plain", i, "user", f"t{i}", "message", "response"))
+        rows.append((2, "claude-code", "b", i * slots, "system" if i % 40 == 7 else "assistant", f"t{i}", "title" if i % 40 == 7 else "message", None))
+        rows.append((2, "claude-code", "b", i * slots + 1, "assistant", None, "tool-call", None))
+    df = spark.createDataFrame(rows, "repo_id bigint, provider string, session_ref string, ordinal bigint, role string, text string, event_kind string, copy string")
+    df = df.withColumns({"occurred_at": F.timestamp_seconds(F.lit(0)), "permission_mode": F.lit(None).cast("string"), "tool_name": F.lit(None).cast("string")}).repartition(5)
+    want, count, titled = {}, {}, set()
+    for repo, provider, ref, ordinal, _, _, kind, copy in sorted(rows, key=lambda r: (r[2], r[3])):
+        if kind == "title" and ref in titled:
+            continue
+        titled |= {ref} if kind == "title" else set()
+        count[ref] = count.get(ref, 0) + 1
+        if copy != "response" or ref == "plain":
+            want[ref, ordinal] = count[ref]
+    for chunk_rows in (7, 1 << 17):
+        got = {(r.session_ref, r.ordinal): r.number for r in evidence.number_events(df, chunk_rows=chunk_rows).collect()}
+        assert got == want
