@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -164,22 +165,23 @@ _SECRETS, _LOCATIONS = (tuple(rule.step for rule in rules) for rules in (SECRET_
 
 
 def has_known_secret(text: Column) -> Column:
-    return F.pandas_udf(scanner.column_of(scanner.any_match, steps=_SECRETS, shape=_SHAPE), "boolean")(text)
+    return F.arrow_udf(scanner.column_of(scanner.any_match, pa.bool_(), steps=_SECRETS, shape=_SHAPE), "boolean")(text)
 
 
 def known_secrets(text: Column) -> Column:
     """Sorted categories of known secret formats found in a whole text."""
-    return F.pandas_udf(scanner.column_of(scanner.categories, steps=_SECRETS, shape=_SHAPE), "array<string>")(text)
+    return F.arrow_udf(scanner.column_of(scanner.categories, pa.list_(pa.string()), steps=_SECRETS, shape=_SHAPE), "array<string>")(text)
 
 
 def private_locations(text: Column) -> Column:
     """Sorted categories of private locations found in a whole text."""
-    return F.pandas_udf(scanner.column_of(scanner.categories, steps=_LOCATIONS, shape=_SHAPE), "array<string>")(text)
+    return F.arrow_udf(scanner.column_of(scanner.categories, pa.list_(pa.string()), steps=_LOCATIONS, shape=_SHAPE), "array<string>")(text)
 
 
 def _metadata(text: Column, limit: int) -> Column:
-    scan = scanner.frame_of(scanner.metadata, steps=_SECRETS, shape=_SHAPE, limit=limit)
-    return F.pandas_udf(scan, "clean string, truncated boolean, counts array<int>")(text)
+    kind = pa.struct([("clean", pa.string()), ("truncated", pa.bool_()), ("counts", pa.list_(pa.int32()))])
+    scan = scanner.column_of(scanner.metadata, kind, steps=_SECRETS, shape=_SHAPE, limit=limit)
+    return F.arrow_udf(scan, "clean string, truncated boolean, counts array<int>")(text)
 
 
 def with_clean_metadata(df: DataFrame, text: Column, out: str, limit: int = 160) -> DataFrame:
@@ -189,8 +191,8 @@ def with_clean_metadata(df: DataFrame, text: Column, out: str, limit: int = 160)
 
 def with_clean_excerpt(df: DataFrame, text: str, out: str, limit: int) -> DataFrame:
     """``out``: conversation text for an excerpt; null when a known secret occurs, locations replaced."""
-    scan = scanner.column_of(scanner.excerpt, secrets=_SECRETS, locations=_LOCATIONS, shape=_SHAPE, limit=limit)
-    return df.withColumn(out, F.pandas_udf(scan, "string")(F.col(text)))
+    scan = scanner.column_of(scanner.excerpt, pa.string(), secrets=_SECRETS, locations=_LOCATIONS, shape=_SHAPE, limit=limit)
+    return df.withColumn(out, F.arrow_udf(scan, "string")(F.col(text)))
 
 
 def with_redaction_counts(df: DataFrame, text: str, limit: int) -> DataFrame:
