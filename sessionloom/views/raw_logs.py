@@ -19,7 +19,7 @@ def _stored(rows: DataFrame) -> DataFrame:
 
     Some lines are cut off, some hold an array, some are padded beyond the limit, some have a number written as text.
     """
-    return materialize(materialize(rows).select("source_id", "source_kind", "ordinal", _rendered(F.col("line")).alias("line")))
+    return materialize(rows.select("source_id", "source_kind", "ordinal", _rendered(F.col("line")).alias("line")))
 
 
 def _rendered(line: Column) -> Column:
