@@ -12,6 +12,9 @@ from sessionloom.session import materialize
 
 _NESTED = "^(OBJECT|ARRAY)"
 
+# Levels that are split in one pass; what is still open after them is stored, so that plans stay short at any depth.
+LEVELS = 6
+
 
 def _step(parent: Column, key: Column, at: Column) -> Column:
     """``$.a[0].b``; keys other than plain names are quoted."""
@@ -20,44 +23,63 @@ def _step(parent: Column, key: Column, at: Column) -> Column:
     return F.concat(parent, F.when(key.isNotNull(), name).otherwise(F.concat(F.lit("["), at.cast("string"), F.lit("]"))))
 
 
+def _kind(value: Column) -> Column:
+    shape = F.schema_of_variant(value)
+    return F.when(shape.rlike(_NESTED), F.lit("nested")).when(shape == "STRING", F.lit("string")).otherwise(F.lit("other"))
+
+
+def _split(level: DataFrame, keys: list[str]) -> DataFrame:
+    """One level further down: an open object or array gives itself, now closed, and its parts; every other node stays."""
+    c, none = F.col, F.lit(None).cast("string")
+
+    def node(path: Column, key: Column, value: Column, kind: Column) -> Column:
+        return F.struct(path.alias("path"), key.alias("key"), value.alias("value"), kind.alias("kind"))
+
+    pairs = F.map_entries(F.try_variant_get("value", F.lit("$"), "map<string,variant>"))
+    members = F.transform(pairs, lambda e: node(_step(c("path"), e["key"], F.lit(0)), e["key"], e["value"], none))
+    values = F.try_variant_get("value", F.lit("$"), "array<variant>")
+    elements = F.transform(values, lambda v, i: node(_step(c("path"), none, i), none, v, none))
+    itself = F.array(node(c("path"), c("key"), F.when(c("kind") != "nested", c("value")), c("kind")))
+    parts = F.when(F.schema_of_variant("value").startswith("OBJECT"), members).otherwise(elements)
+    nodes = F.when(~c("_open"), itself).when(c("path") == "$", parts).otherwise(F.concat(itself, parts))
+    kind = F.coalesce("e.kind", _kind(c("e.value")))
+    split = level.select(*keys, F.explode(nodes).alias("e")).select(*keys, "e.path", "e.key", "e.value", kind.alias("kind"), c("e.kind").isNull().alias("_open"))
+    return split.withColumn("_open", c("_open") & (c("kind") == "nested"))
+
+
 def document_nodes(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
     """(keys, path, key, kind, text): every member and element of every document, and a document that is a single value.
 
-    ``kind`` is nested, string or other; ``text`` is the value of a string. Documents are parsed once. A pass splits every
-    object and array of one depth into its parts, all documents together, and is stored; there are as many passes as the
-    deepest document has levels, and nothing is cut off. Text that is no JSON gives one node of kind invalid.
+    ``kind`` is nested, string or other; ``text`` is the value of a string. One pass over ``rows`` splits objects and
+    arrays ``LEVELS`` levels deep, all documents together, and neither stores nor moves a node; what is open below them is
+    stored for the next pass. There are as many as the deepest document needs, and nothing is cut off; ``rows`` are also
+    read to see whether a level is open. Text that is no JSON gives one node of kind invalid.
     """
-    parsed = rows.select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(document).alias("value"), F.col(document).isNotNull().alias("_given"))
-    shape = F.schema_of_variant("value")
-    here = parsed.withColumn("kind", F.when(F.col("value").isNull(), F.lit("invalid")).when(shape.rlike(_NESTED), F.lit("nested")).when(shape == "STRING", F.lit("string")).otherwise(F.lit("other")))
-    level = materialize(here.filter("_given").drop("_given"))
-    found = [level.filter("kind <> 'nested'")]
-    while True:
-        open_ = level.filter("kind = 'nested'")
-        if open_.isEmpty():
-            break
-        inside = F.try_variant_get("value", F.lit("$"), "map<string,variant>")
-        parts = open_.select(*keys, "path", F.schema_of_variant("value").startswith("OBJECT").alias("_object"), "value")
-        members = parts.filter("_object").select(*keys, "path", F.explode(inside).alias("key", "value")).select(*keys, _step(F.col("path"), F.col("key"), F.lit(0)).alias("path"), "key", "value")
-        elements = parts.filter("NOT _object").select(*keys, "path", F.posexplode(F.try_variant_get("value", F.lit("$"), "array<variant>")).alias("_at", "value"))
-        elements = elements.select(*keys, _step(F.col("path"), F.lit(None).cast("string"), F.col("_at")).alias("path"), F.lit(None).cast("string").alias("key"), "value")
-        level = members.unionByName(elements)
-        shape = F.schema_of_variant("value")
-        level = materialize(level.withColumn("kind", F.when(shape.rlike(_NESTED), F.lit("nested")).when(shape == "STRING", F.lit("string")).otherwise(F.lit("other"))))
-        found.append(level)
-    every = reduce(DataFrame.unionByName, found)
+    parsed = rows.filter(F.col(document).isNotNull()).select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(document).alias("value"))
+    kind = F.when(F.col("value").isNull(), F.lit("invalid")).otherwise(_kind(F.col("value")))
+    level = parsed.withColumn("kind", kind).withColumn("_open", F.col("kind") == "nested")
+    found, depth = [], 0
+    while not level.filter("_open").isEmpty():
+        if depth == LEVELS:
+            found.append(level.filter("NOT _open"))
+            level, depth = materialize(level.filter("_open")), 0
+        level, depth = _split(level, keys), depth + 1
+    every = reduce(DataFrame.unionByName, [*found, level])
     return every.select(*keys, "path", "key", "kind", F.when(F.col("kind") == "string", F.try_variant_get("value", F.lit("$"), "string")).alias("text"))
 
 
 def document_leaks(nodes: DataFrame, keys: list[str], forbidden: list[str]) -> DataFrame:
-    """(keys, path, kind, category): forbidden keys, secrets and private locations in strings, and texts that are no JSON."""
-    none = F.array().cast("array<string>")
-    banned = nodes.filter(F.col("key").isin(forbidden)).select(*keys, "path", F.lit("key").alias("kind"), F.col("key").alias("category"))
-    broken = nodes.filter("kind = 'invalid'").select(*keys, "path", F.lit("invalid").alias("kind"), F.lit("json").alias("category"))
-    strings = nodes.filter("kind = 'string'").select(*keys, "path", known_secrets(F.col("text")).alias("s"), private_locations(F.col("text")).alias("l"))
+    """(keys, path, kind, category): forbidden keys, secrets and private locations in strings, and texts that are no JSON.
+
+    One pass over the nodes, which are read once.
+    """
+    none, c = F.array().cast("array<string>"), F.col
+    banned = F.when(c("key").isin(forbidden), F.array(c("key")))
+    broken = F.when(c("kind") == "invalid", F.array(F.lit("json")))
+    read = nodes.select(*keys, "path", banned.alias("k"), broken.alias("b"), known_secrets(c("text")).alias("s"), private_locations(c("text")).alias("l"))
 
     def tagged(found: str, kind: str) -> Column:
         return F.transform(F.coalesce(F.col(found), none), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("category")))
 
-    inside = strings.select(*keys, "path", F.explode(F.concat(tagged("s", "secret"), tagged("l", "location"))).alias("f")).select(*keys, "path", "f.*")
-    return banned.unionByName(broken).unionByName(inside)
+    inside = F.concat(tagged("k", "key"), tagged("b", "invalid"), tagged("s", "secret"), tagged("l", "location"))
+    return read.select(*keys, "path", F.explode(inside).alias("f")).select(*keys, "path", "f.*")
