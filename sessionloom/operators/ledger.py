@@ -46,8 +46,8 @@ def with_carried_state(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
     """Scope, model, provider, previous counters of every record of a counter log."""
     is_meta = F.col("rec_type") == "session_meta"
     is_context = F.col("rec_type") == "turn_context"
-    shown = _tracked(F.coalesce(F.col("cum"), F.col("direct")))
-    total = _tracked(F.col("cum"))
+    usage = {"shown": F.coalesce(F.col("cum"), F.col("direct")), "cum": F.col("cum")}
+    tracked = {f"_{n}": F.when(u.isNotNull(), F.struct(*[v.alias(c) for c, v in _tracked(u).items()])) for n, u in usage.items()}
     carried = carry_last(
         records,
         ["source_id"],
@@ -57,8 +57,7 @@ def with_carried_state(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
             "active_model": Carry(F.when(is_context, blank_to_null(F.col("ctx_model")))),
             "session_model": Carry(F.when(is_meta, F.col("meta_model"))),
             "provider_now": Carry(F.when(is_meta, F.col("model_provider"))),
-            **{f"shown_{c}": Carry(v, inclusive=False) for c, v in shown.items()},
-            **{f"cum_{c}": Carry(v, inclusive=False) for c, v in total.items()},
+            **{n: Carry(v, inclusive=False) for n, v in tracked.items()},
         },
         chunk_of(F.col("ordinal"), chunk_rows),
     )
@@ -66,8 +65,9 @@ def with_carried_state(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
         {
             "cwd_now": F.coalesce("cwd_now", "default_cwd"),
             "provider_now": F.coalesce("provider_now", F.lit("unknown")),
+            **{f"{n}_{c}": F.col(f"_{n}.{c}") for n in usage for c in _TRACKED},
         }
-    )
+    ).drop(*tracked)
 
 
 def with_accepted_usage(carried: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.tables import constant_table
 from sessionloom.functions.text import trim_all
+from sessionloom.session import materialize
 
 PRICING_TABLE_VERSION = "2026-08-08.1-api-equivalent"
 LONG_CONTEXT_TOKENS = 272_000
@@ -155,9 +156,12 @@ def micro_usd(nano: Column) -> Column:
 
 
 def with_price(df: DataFrame, model: str, epoch: Column, table: list[tuple] = PRICE_TABLE) -> DataFrame:
-    """Left join of the price struct onto rows that are already aggregated per model."""
+    """Left join of the price struct onto rows that are already aggregated per model.
+
+    The prices of the models asked for are stored: the join knows how few they are and does not move the rows.
+    """
     keyed = df.withColumn("_epoch", epoch)
-    prices = price_lookup(keyed.select(F.col(model).alias("model"), F.col("_epoch").alias("epoch")), table)
+    prices = materialize(price_lookup(keyed.select(F.col(model).alias("model"), F.col("_epoch").alias("epoch")), table))
     return keyed.join(
         prices.select(F.col("model").alias(model), F.col("epoch").alias("_epoch"), "price"), [model, "_epoch"], "left"
     )

@@ -82,11 +82,13 @@ def carry_last(
 
     A segmented prefix scan that reads ``df`` once. One pass, partitioned by (keys, chunk) and sorted by ``order``, gives
     every row the values carried inside its chunk, and leaves on the chunk's border rows what the chunk hands on. It is
-    stored; the border rows, one or two a chunk, are summed up along the chunks and joined back to the rows.
+    stored; the border rows, one or two a chunk, are summed up along the chunks and joined back to the rows. What crosses is
+    stored as well, only keys that span chunks have any: the join knows its size and leaves the rows where they are.
     """
     chunk = chunk_of(F.col(order)) if chunk is None else chunk
     parts = [*keys, "_chunk"]
-    base = df.withColumns({"_chunk": chunk, **{f"_v_{n}": c.value for n, c in carries.items()}})
+    moved = df.withColumn("_chunk", chunk).repartition(*parts)  # before the carried values are spelled out beside the columns they come from
+    base = moved.withColumns({f"_v_{n}": c.value for n, c in carries.items()})
     along = {side: Window.partitionBy(*parts).orderBy(F.desc(order) if side else F.asc(order)) for side in {c.backward for c in carries.values()}}
 
     def inside(n: str, c: Carry) -> Column:
@@ -109,10 +111,13 @@ def carry_last(
         to = F.desc("_chunk") if c.backward else F.asc("_chunk")
         return Window.partitionBy(*keys).orderBy(to).rowsBetween(Window.unboundedPreceding, -1)
 
-    borders = scanned.filter("_border").groupBy(*parts).agg(*[F.max(f"_s_{n}").alias(f"_s_{n}") for n in carries])
+    borders = scanned.filter("_border").select(*parts, *[f"_s_{n}" for n in carries])
+    if len(along) > 1:  # the first and the last row of a chunk
+        borders = borders.groupBy(*parts).agg(*[F.max(f"_s_{n}").alias(f"_s_{n}") for n in carries])
     crossing = borders.select(
         *parts, *[F.last(f"_s_{n}", ignorenulls=True).over(from_other_chunks(c)).alias(f"_c_{n}") for n, c in carries.items()]
-    ).filter(_any_present("_c_", list(carries)))
+    )
+    crossing = materialize(crossing.filter(_any_present("_c_", list(carries))))
     return scanned.join(crossing, parts, "left").select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in carries],

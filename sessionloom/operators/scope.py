@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import digest, trim_all
+from sessionloom.session import materialize
 
 
 def path_parts(path: Column) -> Column:
@@ -29,7 +30,9 @@ def scope_directories(directories: DataFrame, repositories: DataFrame, column: s
     """``(column, repo_id, fingerprint, relation)`` for every enclosing repository.
 
     Each distinct directory is exploded into itself and its ancestors and matched
-    by an equi-join; nested repositories legitimately match more than once.
+    by an equi-join; nested repositories legitimately match more than once. The
+    result is stored: several joins read it, and its size is known to them, so that
+    many records are not moved to meet a few directories.
     """
     parts = path_parts(F.col(column))
     ancestors = F.transform(
@@ -45,10 +48,11 @@ def scope_directories(directories: DataFrame, repositories: DataFrame, column: s
         .select(column, normal_path(F.col(column)).alias("_self"), F.explode(ancestors).alias("_root"))
     )
     roots = repositories.select("repo_id", "fingerprint", normal_path(F.col("root")).alias("_root"))
-    return exploded.join(roots, "_root").select(
+    scope = exploded.join(roots, "_root").select(
         column, "repo_id", "fingerprint",
         F.when(F.col("_self") == F.col("_root"), F.lit("repository-root")).otherwise(F.lit("subdirectory")).alias("relation"),
     )
+    return materialize(scope)
 
 
 # Fixed values: ``[user@]host:path``, and a drive path, which is local. A URL fits

@@ -71,18 +71,17 @@ def usage_sum(present: Column, column: Column | None = None, zero_write: Column
     return F.when(F.bool_or(present), F.struct(*fields).cast(USAGE))
 
 
-def priced_models(cells: DataFrame, keys: list[str], provider: Column, table: list[tuple] = PRICE_TABLE) -> DataFrame:
-    """Model rows per session: totals, their priced and unpriced parts, exact cost.
-
-    ``cells`` holds one row per key, model (redacted name), price epoch and context
-    class; prices join this small table.
-    """
+def with_cost(cells: DataFrame, table: list[tuple] = PRICE_TABLE) -> DataFrame:
+    """``_cost`` of cells: one row per key, model (redacted name), price epoch and context class."""
     priced = with_price(cells, "model", F.coalesce("epoch", F.lit(-1)), table)
-    used = F.col("responses") > 0
-    cost = F.when(used, cost_nano({c: F.col(c) for c in COUNTERS}, F.col("price"), F.col("long_context")))
-    rows = priced.withColumn("_cost", cost)
-    some_price = F.col("_cost").isNotNull()
-    return rows.groupBy(*keys, "model").agg(
+    cost = cost_nano({c: F.col(c) for c in COUNTERS}, F.col("price"), F.col("long_context"))
+    return priced.withColumn("_cost", F.when(F.col("responses") > 0, cost)).drop("price", "_epoch")
+
+
+def priced_models(costed: DataFrame, keys: list[str], provider: Column) -> DataFrame:
+    """Model rows per session: totals, their priced and unpriced parts, exact cost, from cells ``with_cost``."""
+    used, some_price = F.col("responses") > 0, F.col("_cost").isNotNull()
+    return costed.groupBy(*keys, "model").agg(
         F.max(provider).alias("_provider"),
         F.sum("calls").alias("calls"),
         usage_sum(used, zero_write=F.sum("responses") > 1).alias("usage"),
@@ -173,8 +172,8 @@ def counter_sessions(cells: DataFrame, names: DataFrame, repositories: DataFrame
     named = scoped.filter(F.col("name").isNotNull()).join(names, "name")
     models = (
         priced_models(
-            named.filter(F.col("cell") != "tool").withColumns({"model": F.col("clean"), "calls": F.col("responses")}),
-            ["repo_id", "source_id"], F.struct("last_ordinal", "provider_now"), table,
+            with_cost(named.filter(F.col("cell") != "tool").withColumns({"model": F.col("clean"), "calls": F.col("responses")}), table),
+            ["repo_id", "source_id"], F.struct("last_ordinal", "provider_now"),
         )
         .withColumn("name", F.col("_provider.provider_now"))
         .join(names, "name")
@@ -249,10 +248,10 @@ def response_sessions(
         .select(*SESSION_COLUMNS)
     )
     repos = placed.select("repo_id", "source_id")
-    named = cells.join(names, "name").join(repos, "source_id")
-    models = priced_models(
-        named.filter(kind == "usage").withColumn("model", F.col("clean")), ["repo_id", "source_id"], F.lit("anthropic"), table
-    ).select(
+    called = cells.join(names, "name")
+    # priced before they are placed: rows that meet on their log are then summed where they are
+    costed = with_cost(called.filter(kind == "usage").withColumn("model", F.col("clean")), table).join(repos, "source_id")
+    models = priced_models(costed, ["repo_id", "source_id"], F.lit("anthropic")).select(
         "repo_id", "source_id", F.lit(RESPONSE_PROVIDER).alias("provider"), F.col("_provider").alias("model_provider"), *MODEL_COLUMNS[4:]
     )
     label = (
@@ -261,7 +260,8 @@ def response_sessions(
         .otherwise(F.col("clean"))
     )
     tools = (
-        named.filter(kind != "usage")
+        called.filter(kind != "usage")
+        .join(repos, "source_id")
         .groupBy("repo_id", "source_id", label.alias("tool"))
         .agg(F.sum("calls").alias("calls"))
         .withColumn("provider", F.lit(RESPONSE_PROVIDER))
