@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, epochs: in
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w[kept], pa.float64())], ["feature", "weight"])
 
     label = dict(labels.dtypes)["toxic"]
-    featured = rows.mapInArrow(per_batch(make), f"doc_id string, label {label}, features array<int>")
+    featured = rows.mapInArrow(per_batch(make, 1 << 20), f"doc_id string, label {label}, features array<int>")
     one = featured.repartition(1).sortWithinPartitions("doc_id", "features").select("label", "features")
     got = one.mapInArrow(fit, "feature long, weight double").orderBy("feature").collect()
     return np.array([r["feature"] for r in got], np.int64), np.array([r["weight"] for r in got])
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
         return step
 
     schema = StructType([*wanted.schema.fields[:-1], StructField(name, DoubleType())])
-    return wanted.mapInArrow(per_batch(make), schema)
+    return wanted.mapInArrow(per_batch(make, 1 << 20), schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:

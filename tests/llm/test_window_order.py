@@ -1,11 +1,12 @@
-"""The suffix sort of repeated windows."""
+"""The suffix sort of repeated windows, and how much of a batch the suffix stage holds at a time."""
 
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sessionloom.llm import suffixes
+from sessionloom.llm import base, suffixes
 
 
 def runs(texts, length, gram):
@@ -70,3 +71,17 @@ def test_joined_texts_have_the_runs_of_each():
     alone = [suffixes.anchors(np.frombuffer(t, np.uint8), 100, 36) for t in texts]
     assert which.tolist() == [i for i, a in enumerate(alone) for _ in a[0]]
     assert all(np.array_equal(x, np.concatenate([a[k] for a in alone])) for k, x in enumerate(joined[:4]))
+
+
+def test_large_batches_are_worked_on_in_slices():
+    """No step of the suffix stage gets a whole batch of long texts; all rows are kept, in order."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["x" * 20_000] * 300)], ["doc_id", "text"])
+    sizes = []
+
+    def step(part):
+        sizes.append(part.nbytes)
+        return part
+
+    out = list(base.per_batch(lambda: step, suffixes._SLICE)([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(out).column("doc_id").to_pylist() == list(range(300))
+    assert max(sizes) <= 2 * suffixes._SLICE and len(list(base.per_batch(lambda: step)([batch]))) == 1
